@@ -43,7 +43,8 @@ def targets(sources: DataFrame, share: float = SHARE, weights=WEIGHTS, cap: floa
     before = by.rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("left", F.lit(share) * F.sum("source_size").over(all_) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     s = s.withColumn("level", F.col("left") / (F.sum("w").over(all_) - F.coalesce(F.sum("w").over(before), F.lit(0.0))))
-    s = s.withColumn("level", F.min(F.when(F.col("level") * F.col("w") <= F.col("cap"), F.col("level"))).over(all_))
+    fits = F.when(F.col("level") * F.col("w") <= F.col("cap"), F.struct(F.row_number().over(by).alias("k"), "level"))
+    s = s.withColumn("fits", fits).withColumn("level", F.min("fits").over(all_)["level"])
     return s.select("source", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("w"), F.col("cap"))).alias("target"))
 
 

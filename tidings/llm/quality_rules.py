@@ -29,9 +29,8 @@ def let(value: Column, use) -> Column:
 
 
 def words(text: Column) -> Column:
-    """The words of a text as an array."""
-    found = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), f"^{GAP}|{GAP}$", ""), GAP)
-    return F.when(F.element_at(found, 1) == "", F.array().cast("array<string>")).otherwise(found)
+    """The words of a text as an array; split makes one empty string of a text without words, which goes."""
+    return F.filter(F.split(F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES)), GAP), lambda x: x != "")
 
 
 def repeated_words(w: Column, span: int = 5) -> Column:
@@ -59,16 +58,16 @@ def repeated_words(w: Column, span: int = 5) -> Column:
     return let(w, lambda x: let(hashes(x), covered)).cast("long")
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """The base statistics of a text, by name. Each is a long; all are 0 without words."""
+def statistics(text: Column, w: Column) -> dict[str, Column]:
+    """The base statistics of a text and its words, by name. Each is a long; all but n_symbols are 0 without words."""
     t = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
     return {
-        "n_words": F.size(words(text)).cast("long"),
-        "word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
+        "n_words": F.size(w).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(words(text)),
+        "n_repeat_words": repeated_words(w),
     }
 
 
@@ -89,7 +88,7 @@ BASE = (
 MORE = (
     Rule("symbols", ("n_words", "n_symbols"), lambda s: s["n_symbols"] * 10 > s["n_words"]),
     Rule("word_length", ("n_words", "word_chars"), lambda s: (s["word_chars"] < s["n_words"] * 2) | (s["word_chars"] > s["n_words"] * 15)),
-    Rule("dup_lines", ("n_words", "n_dup_lines"), lambda s: s["n_dup_lines"] * 25 > s["n_words"]),
+    Rule("dup_lines", ("n_words", "n_dup_lines"), lambda s: s["n_dup_lines"] * 10 > s["n_words"]),
 )
 
 
@@ -98,11 +97,10 @@ def measured_order(docs: DataFrame, rules, sample_rows: int = 2000, text: str =
     sample = docs.select(text).limit(sample_rows).cache()
     try:
         n = max(1, sample.count())
-        stats = statistics(F.col(text))
         scored = []
         for rule in rules:
             began = time.perf_counter()
-            rejected = sample.select(F.count_if(rule.test(stats)).alias("n")).first()["n"]
+            rejected = sample.select(F.count_if(verdict([rule], F.col(text)).isNotNull()).alias("n")).first()["n"]
             scored.append((rejected / n / max(1e-6, time.perf_counter() - began), rule))
     finally:
         sample.unpersist()
@@ -117,21 +115,23 @@ def cascade(rules, stats: dict[str, Column]) -> Column:
     return out
 
 
-def filtered(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
-    """The documents that no rule rejects, with the columns they came with.
+def verdict(rules, text: Column) -> Column:
+    """The cascade over a text: words are split once, other statistics are computed when a rule first asks."""
+    return let(words(text), lambda w: cascade(rules, statistics(text, w)))
+
 
-    The cascade runs over the text itself: a statistic is computed only for rows that reach a rule that needs it."""
-    order = measured_order(docs, (*BASE, *MORE), sample_rows)
-    return docs.filter(cascade(order, statistics(F.col("text"))).isNull())
+def filtered(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
+    """The documents that no rule rejects, with the columns they came with."""
+    return docs.filter(verdict(measured_order(docs, (*BASE, *MORE), sample_rows), F.col("text")).isNull())
 
 
 def judged(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
     """Each document's statistics, base verdict and verdict."""
     order = measured_order(docs, MORE, sample_rows)
-    stats = docs.select("doc_id", *[c.alias(k) for k, c in statistics(F.col("text")).items()])
-    s = {k: F.col(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-    base = cascade(BASE, s).isNotNull()
-    out = stats.withColumn("base_failed", base)
+    stats = let(words(F.col("text")), lambda w: F.struct(*[c.alias(k) for k, c in statistics(F.col("text"), w).items()]))
+    out = docs.select("doc_id", stats.alias("s")).select("doc_id", "s.*")
+    s = {k: F.col(k) for k in out.columns[1:]}
+    out = out.withColumn("base_failed", cascade(BASE, s).isNotNull())
     return out.withColumn("kept", ~F.col("base_failed") & cascade(order, s).isNull())
 
 
@@ -149,6 +149,6 @@ s as (select t.doc_id, len(w)::bigint as n_words,
       from t join w using (r) left join rep using (r)),
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from s)
 select *, not base_failed and not (n_symbols * 10 > n_words or word_chars < n_words * 2 or word_chars > n_words * 15
-       or n_dup_lines * 25 > n_words) as kept
+       or n_dup_lines * 10 > n_words) as kept
 from b
 """
