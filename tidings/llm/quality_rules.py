@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from tidings.llm.common import GAP
 
+#: Rows of the sample that only sets the order, and the longest text in it: at most 50 MB come to the driver.
+SAMPLE_ROWS, SAMPLE_CHARS = 500, 100_000
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -92,18 +94,16 @@ MORE = (
 )
 
 
-def measured_order(docs: DataFrame, rules, sample_rows: int = 2000, text: str = "text") -> list[Rule]:
+def measured_order(docs: DataFrame, rules, sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[Rule]:
     """The rules by rejections per second, most first, as measured on sample_rows rows (a documented bound)."""
-    sample = docs.select(text).limit(sample_rows).cache()
-    try:
-        n = max(1, sample.count())
-        scored = []
-        for rule in rules:
-            began = time.perf_counter()
-            rejected = sample.select(F.count_if(verdict([rule], F.col(text)).isNotNull()).alias("n")).first()["n"]
-            scored.append((rejected / n / max(1e-6, time.perf_counter() - began), rule))
-    finally:
-        sample.unpersist()
+    # as the last step a limit reads no more partitions than it needs
+    rows = docs.select(F.col(text).cast("string").alias("text")).filter(F.length("text") <= SAMPLE_CHARS).limit(sample_rows).collect()
+    sample = docs.sparkSession.createDataFrame(rows, "text string")
+    scored = []
+    for rule in rules:
+        began = time.perf_counter()
+        rejected = sample.select(F.count_if(verdict([rule], F.col("text")).isNotNull()).alias("n")).first()["n"]
+        scored.append((rejected / max(1, len(rows)) / max(1e-6, time.perf_counter() - began), rule))
     return [r for _, r in sorted(scored, key=lambda x: (-x[0], x[1].name))]
 
 
@@ -120,12 +120,12 @@ def verdict(rules, text: Column) -> Column:
     return let(words(text), lambda w: cascade(rules, statistics(text, w)))
 
 
-def filtered(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
+def filtered(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that no rule rejects, with the columns they came with."""
     return docs.filter(verdict(measured_order(docs, (*BASE, *MORE), sample_rows), F.col("text")).isNull())
 
 
-def judged(docs: DataFrame, sample_rows: int = 2000) -> DataFrame:
+def judged(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Each document's statistics, base verdict and verdict."""
     order = measured_order(docs, MORE, sample_rows)
     stats = let(words(F.col("text")), lambda w: F.struct(*[c.alias(k) for k, c in statistics(F.col("text"), w).items()]))

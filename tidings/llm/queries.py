@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidings.llm import mixing, quality_rules
+from tidings.llm import decontaminate, mixing, quality_model, quality_rules, simhash, toxicity
 from tidings.llm.common import table
 
 
@@ -14,6 +14,22 @@ def op8_quality_rules(spark, sf_dir):
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op1_decontaminate(spark, sf_dir):
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_simhash(spark, sf_dir):
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_model(spark, sf_dir):
+    return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
