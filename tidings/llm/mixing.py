@@ -121,3 +121,15 @@ def mixed(docs: DataFrame, share: float = SHARE, weights=WEIGHTS, cap: int = CAP
 def mix_rows(docs: DataFrame) -> DataFrame:
     m = mixed(docs)
     return m.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "rate", "copies")
+
+
+def mix(docs: DataFrame) -> DataFrame:
+    """The documents, each as often as the mix takes it, with the columns they came with.
+
+    Rows that share a doc_id (or have none) get their copies in the order of size."""
+    m = mixed(docs).select("doc_id", "size", "copies")
+    m = m.groupBy(F.col("doc_id").alias("mixed_id")).agg(F.array_sort(F.collect_list(F.struct("size", "copies"))).alias("mixed_copies"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(word_count(F.col("text"))))
+    d = docs.withColumn("mixed_nth", nth).join(m, F.col("doc_id").eqNullSafe(F.col("mixed_id")))
+    times = F.get("mixed_copies", F.col("mixed_nth") - 1)["copies"].cast("int")
+    return d.withColumn("mixed_copy", F.explode(F.array_repeat(F.lit(1), times))).select(*[docs[c] for c in docs.columns])

@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
-from tidings.llm import decontaminate, mixing, quality_model, quality_rules, simhash, toxicity
+from tidings.llm import decontaminate, language, lines, mixing, passages, quality_model, quality_rules, simhash, token_files, toxicity
 from tidings.llm.common import table
 
 
+def op4_token_files(spark, sf_dir):
+    return token_files.token_rows(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark, sf_dir):
     return mixing.mix_rows(table(spark, sf_dir, "documents"))
 
 
+def op6_lines(spark, sf_dir):
+    return lines.digest(table(spark, sf_dir, "pages"))
+
+
+def op7_passages(spark, sf_dir):
+    return passages.stripped(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality_rules.judged(table(spark, sf_dir, "documents"))
 
@@ -18,6 +30,10 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_language(spark, sf_dir):
+    return language.predicted(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
@@ -35,4 +51,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op8_quality_rules": quality_rules.ORACLE}
+    return {"op6_lines": lines.ORACLE, "op8_quality_rules": quality_rules.ORACLE}

@@ -163,6 +163,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def one_each(docs: DataFrame) -> DataFrame:
-    """The documents whose id names their group: of each group of near copies, the smallest doc_id stays."""
+    """Of each group of near copies the row with the smallest doc_id; rows without doc_id stay.
+
+    Rows that share a doc_id are one document, of which one row stays."""
     found = near_copies(docs.select("doc_id", "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("keep")).distinct()
-    return docs.join(found, docs["doc_id"] == found["keep"], "left_semi")
+    named = docs.join(found, docs["doc_id"] == found["keep"], "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.filter("doc_id is null"))
