@@ -198,17 +198,17 @@ def gr3(spark, d):
 
 @query("gr4_bfs", f"""with recursive {PAIRS.format(least=0.35)}, t as (select a as node, b as other, sim from p union all select b, a, sim from p),
  k as (select *, row_number() over (partition by node order by sim desc, other) as r from t), e as (select node, other from k where r <= 12),
- b(root, node, depth) as (select vec_id, vec_id, 0 from embeddings where vec_id % 50 = 0 union select b.root, e.other, b.depth + 1 from b join e on e.node = b.node where b.depth < 3) select root, node, min(depth)::int as depth from b group by 1, 2""")
+ b(root, node, depth) as (select vec_id, vec_id, 0 from embeddings where vec_id % 100 = 0 union select b.root, e.other, b.depth + 1 from b join e on e.node = b.node where b.depth < 3) select root, node, min(depth)::int as depth from b group by 1, 2""")
 def gr4(spark, d):
     v = vectors(spark, d)
     p = similarity.similar_pairs(v, 0.35).withColumnRenamed("sim", "weight")
-    return graph.neighbourhood(p, v.filter("id % 50 = 0").select(F.col("id").alias("node")), 3)
+    return graph.neighbourhood(p, v.filter("id % 100 = 0").select(F.col("id").alias("node")), 3)
 
 
-@query("gr5_entities_that_tie", """with m as (select distinct l_suppkey as s, l_partkey as e from lineitem where l_suppkey <= 20), c as (select e, count(*) as n from m group by 1), r as (select m.s, m.e, c.n, row_number() over (partition by m.s order by c.n desc, m.e) as k from m join c using (e))
+@query("gr5_entities_that_tie", """with m as (select distinct l_suppkey as s, l_partkey as e from lineitem), c as (select e, count(*) as n from m group by 1), r as (select m.s, m.e, c.n, row_number() over (partition by m.s order by c.n desc, m.e) as k from m join c using (e))
  select s as story, e as entity, n as stories from r where n >= 2 or k <= 3""")
 def gr5(spark, d):
-    m = Tables(spark, d).lineitem.filter("l_suppkey <= 20").select(F.col("l_suppkey").alias("story"), F.col("l_partkey").alias("entity")).distinct()
+    m = Tables(spark, d).lineitem.select(F.col("l_suppkey").alias("story"), F.col("l_partkey").alias("entity")).distinct()
     m = m.join(m.groupBy("entity").agg(F.count("*").alias("stories")), "entity")
     k = F.row_number().over(Window.partitionBy("story").orderBy(F.desc("stories"), "entity"))
     return m.withColumn("k", k).filter((F.col("stories") >= 2) | (F.col("k") <= 3)).select("story", "entity", "stories")

@@ -148,12 +148,12 @@ def tr2(spark, d):
     return triage.second_opinions(first, second)
 
 
-@query("tr3_overrides", """with f as (select l_partkey as story_id, arg_max(case when l_returnflag = 'R' then -1 else 1 end, l_orderkey * 10 + l_linenumber) as vote from lineitem where l_orderkey % 10 = 0 group by 1)
+@query("tr3_overrides", """with f as (select l_partkey as story_id, arg_max(case when l_returnflag = 'R' then -1 else 1 end, l_orderkey * 10 + l_linenumber) as vote from lineitem where l_returnflag <> 'N' group by 1)
  select p_partkey as story_id, case when vote = 1 then true when vote = -1 then false when p_size > 40 and p_size / 10e0 < 4.5e0 and p_size / 10e0 < 4 then false else p_partkey % 2 = 0 end as routed from part left join f on p_partkey = f.story_id""")
 def tr3(spark, d):
     t = Tables(spark, d)
     dec = t.part.select(F.col("p_partkey").alias("story_id"), (F.col("p_partkey") % 2 == 0).alias("routed"), (F.col("p_size") / 10.0).alias("significance"), F.when(F.col("p_size") > 40, -0.3).otherwise(0.0).alias("learned"))
-    fb = t.lineitem.filter("l_orderkey % 10 = 0").select(F.col("l_partkey").alias("story_id"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    fb = t.lineitem.filter("l_returnflag <> 'N'").select(F.col("l_partkey").alias("story_id"), F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
     return triage.overridden(dec, fb).select("story_id", "routed")
 
 
@@ -173,9 +173,9 @@ def tr8(spark, d):
     return triage.scout_state(a).select("c_custkey", "next_status")
 
 
-@query("flt8_not_news", r"select source as story_id, avg(regexp_matches(text[1:60], '(?i)\bthe\b')::int) > 0.5 as not_news from documents group by 1")
+@query("flt8_not_news", r"select source as story_id, avg(regexp_matches(text, '(?i)\bthe\b')::int) > 0.5 as not_news from documents group by 1")
 def flt8(spark, d):
-    return triage.not_news(documents(spark, d).select(F.col("source").alias("story_id"), F.substring("text", 1, 60).alias("title")), r"(?i)\bthe\b")
+    return triage.not_news(documents(spark, d).select(F.col("source").alias("story_id"), F.col("text").alias("title")), r"(?i)\bthe\b")
 
 
 @query("flt15_json_predicate", "select event_id from events where (props->>'k')::int > 50 and props->>'feed' is null")
