@@ -62,7 +62,7 @@ def texts(batch, name: str = "text") -> list[bytes]:
 class WordHash(dict):
     """word -> 64-bit hash of ``norm(word)``; 0 for a word that norm makes empty. Filled as words turn up."""
 
-    LIMIT = 1_000_000
+    LIMIT = 400_000
 
     def __init__(self, norm=None):
         super().__init__()
