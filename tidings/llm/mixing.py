@@ -8,7 +8,8 @@ never reads documents again and no source is gathered in one task.
 
 Rates become copies by systematic rounding: documents of a source stand in the order of (size, salt, doc_id) and
 document k gets floor(C_k + 1/2) - floor(C_{k-1} + 1/2) copies, C being the running sum of rates. A document thus gets
-its rate rounded down or up, and a source's words miss their target by about its longest document at most. Sums run
+its rate rounded down or up, and a source's words miss their target by about its longest document at most; then the
+shortest documents that could as well have been rounded the other way are, as far as that closes the gap. Sums run
 over histogram cells, then salts, then ranks in a salt, in integer units of 2**-20 copies, so reruns agree.
 
 Nulls: a null source is a source of its own (last in order); a null text has size 0. Documents of size 0 take nothing.
@@ -88,6 +89,29 @@ def multipliers(cells: DataFrame, goals: DataFrame, cap: float = CAP, most: int
     return state.select("source", "mean", F.round("lam", 7).alias("lam"))
 
 
+def starts(counts: DataFrame, step: Column) -> DataFrame:
+    """s, z, t, step, start: for each (source, size, salt), the sum of ``step`` over all documents in front of it.
+
+    counts: source, size, salt, n and what step reads. Running sums go over the sizes of a source (their number is bounded
+    by the longest text, not by the rows) and over the salts of a size."""
+    key = [F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull()]
+    c = counts.withColumn("step", step)
+    upto = Window.partitionBy(*key).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    per_size = c.groupBy("source", "size", "step").agg(F.sum("n").alias("n"))
+    per_size = per_size.select(F.col("source").alias("s"), F.col("size").alias("z"), F.coalesce(F.sum(F.col("n") * F.col("step")).over(upto), F.lit(0)).alias("before"))
+    in_size = Window.partitionBy(*key, "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("earlier", F.coalesce(F.sum("n").over(in_size), F.lit(0)))
+    return c.join(per_size, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).select(
+        "s", "z", F.col("salt").alias("t"), "step", (F.col("before") + F.col("earlier") * F.col("step")).alias("start"))
+
+
+def placed(docs: DataFrame, starts_: DataFrame) -> DataFrame:
+    """docs with step and start, and k: the document's place in its (source, size, salt)."""
+    key = [F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull()]
+    k = F.row_number().over(Window.partitionBy(*key, "size", "salt").orderBy("doc_id"))
+    return docs.withColumn("k", k).join(starts_, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("salt") == F.col("t"))).drop("s", "z", "t")
+
+
 def mixed(docs: DataFrame, share: float = SHARE, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies for each document (see the module for the cases)."""
     sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
@@ -97,25 +121,27 @@ def mixed(docs: DataFrame, share: float = SHARE, weights=WEIGHTS, cap: int = CAP
     goals = written(targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), share, weights, cap), "mix-goals")
     lam = multipliers(cells, goals, cap)
 
-    key = [F.coalesce(F.col("source"), F.lit("")), F.col("source").isNull()]
     rated = counts.join(lam.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     rate = F.when((F.col("size") > 0) & F.col("lam").isNotNull(), tilted(F.col("size"), F.col("mean"), F.col("lam"), cap)).otherwise(0.0)
-    rated = rated.withColumn("unit", F.round(rate * UNIT).cast("long"))
-    # running sums: over the sizes of a source (their number is bounded by the longest text), then over the salts
-    per_cell = rated.groupBy("source", "size", "unit").agg(F.sum("n").alias("n"))
-    upto = Window.partitionBy(*key).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    per_cell = per_cell.select(F.col("source").alias("s"), F.col("size").alias("z"), F.coalesce(F.sum(F.col("n") * F.col("unit")).over(upto), F.lit(0)).alias("before"))
-    in_cell = Window.partitionBy(*key, "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    places = rated.withColumn("earlier", F.coalesce(F.sum("n").over(in_cell), F.lit(0)))
-    places = places.join(per_cell, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).select(
-        F.col("source").alias("s"), F.col("size").alias("z"), F.col("salt").alias("t"), "unit", (F.col("before") + F.col("earlier") * F.col("unit")).alias("start"))
-    rank = F.row_number().over(Window.partitionBy(*key, "size", "salt").orderBy("doc_id"))
-    d = sized.withColumn("k", rank).join(places, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("salt") == F.col("t")))
-    at = lambda k: F.floor((F.col("start") + k * F.col("unit") + UNIT // 2) / UNIT)
-    d = d.withColumn("copies", (at(F.col("k")) - at(F.col("k") - 1)).cast("long")).withColumn("rate", F.col("unit") / UNIT).drop("s")
-    goals = goals.withColumnRenamed("source", "s")
-    d = d.join(goals, F.col("source").eqNullSafe(F.col("s")))
-    return d.select("doc_id", "source", "size", "source_size", "target", "rate", "copies")
+    d = placed(sized, starts(rated, F.round(rate * UNIT).cast("long")))
+    at = lambda k: F.floor((F.col("start") + k * F.col("step") + UNIT // 2) / UNIT)
+    d = d.select("doc_id", "source", "size", "salt", F.col("step").alias("unit"), (at(F.col("k")) - at(F.col("k") - 1)).cast("long").alias("copies"))
+    d = written(d, "mix-copies")
+
+    # what a source still misses goes to (or from) its shortest documents that could as well have been rounded the other way
+    taken = d.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("copies") * F.col("size")).alias("taken"))
+    gaps = written(goals.join(taken, F.col("source").eqNullSafe(F.col("s"))).select("source", "source_size", "target", (F.col("target") - F.col("taken")).alias("gap")), "mix-gaps")
+    g = gaps.withColumnRenamed("source", "s")
+    d = d.join(g, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    whole = F.floor(F.col("unit") / UNIT)
+    turn = F.when((F.col("unit") % UNIT > 0) & (F.col("gap") > 0) & (F.col("copies") == whole), 1).when((F.col("unit") % UNIT > 0) & (F.col("gap") < 0) & (F.col("copies") > whole), -1).otherwise(0)
+    d = d.withColumn("turn", turn)
+    free = d.filter("turn <> 0")
+    order = starts(free.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), F.col("size"))
+    turned = placed(free, order).withColumn("turn", F.when(F.col("start") + F.col("k") * F.col("size") <= F.abs("gap"), F.col("turn")).otherwise(0))
+    columns = ["doc_id", "source", "size", "source_size", "target", "unit", "copies", "turn"]
+    d = d.filter("turn = 0").select(*columns).unionByName(turned.select(*columns))
+    return d.select("doc_id", "source", "size", "source_size", "target", (F.col("unit") / UNIT).alias("rate"), (F.col("copies") + F.col("turn")).alias("copies"))
 
 
 def mix_rows(docs: DataFrame) -> DataFrame:
