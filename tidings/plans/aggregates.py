@@ -29,10 +29,10 @@ def epoch(c):
     return F.unix_seconds(c).alias(c)
 
 
-@query("ag1_story_rollup", f"with {STORIES} select story_id, items, outlets, floor(epoch(first_seen))::bigint as first_seen, floor(epoch(last_seen))::bigint as last_seen, round(importance, 6) as importance, significance from s")
+@query("ag1_story_rollup", f"with {STORIES} select story_id, items, outlets, floor(epoch(first_seen))::bigint as first_seen, floor(epoch(last_seen))::bigint as last_seen, round(importance, 10) as importance, significance from s")
 def story_rollup(spark, d):
     s = rollup.stories(Tables(spark, d).items())
-    return s.select("story_id", "items", "outlets", epoch("first_seen"), epoch("last_seen"), F.round("importance", 6).alias("importance"), "significance")
+    return s.select("story_id", "items", "outlets", epoch("first_seen"), epoch("last_seen"), F.round("importance", 10).alias("importance"), "significance")
 
 
 @query("flt1_tk1_top_stories", f"""with {STORIES} select story_id, items, outlets, significance from s, a

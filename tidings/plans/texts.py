@@ -114,7 +114,7 @@ def src14(spark, d):
     return Tables(spark, d).orders.select("o_orderkey", F.when(c.isin(401, 402, 403, 429, 451), "blocked").when(c != 200, "failed").otherwise("ok").alias("status"))
 
 
-@query("src16_links", r"""select page_id, 'article' as kind, regexp_replace(url, '[?#].*$', '') as link from pages""")
+@query("src16_links", r"""select page_id, 'article' as kind, regexp_replace(regexp_replace(url, '#.*$', ''), '[?]utm_source=feed$', '') as link from pages""")
 def src16(spark, d):
     messy = F.concat(F.lit(" "), F.regexp_replace("url", "#.*$", ""), F.when(F.contains("url", F.lit("?")), "&").otherwise("?"), F.lit("utm_source=x&gclid=1#top "))
     return Tables(spark, d).pages.select("page_id", tx.link_kind(F.col("url")).alias("kind"), tx.canonical_link(messy).alias("link"))
