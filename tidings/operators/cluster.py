@@ -1,0 +1,90 @@
+"""Clusters of reports: online leaders, merging and splitting of stories as mappings."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tidings.operators.tracks import with_blocks
+
+
+def online(items: DataFrame, base: float = 0.75, hours: int = 72) -> DataFrame:
+    """shard, item, story (CL1): items in order of time join the nearest story seen within ``hours`` if it is near enough
+    for its size (base + 0.015 log2(size), 0.05 more at most), else they start one; centroids follow their items.
+
+    items: shard, item, at, v. Order-dependent, so a task takes one block of a shard (a desk, a language): a new block
+    begins after a silence longer than ``hours``, when no older story can be joined any more, so blocks are exact."""
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["at", "item"])
+        m = np.array(f["v"].tolist(), float)
+        times = f["at"].to_numpy()
+        centre, size, last, lead, out = np.zeros_like(m), np.zeros(len(m), int), np.zeros(len(m), times.dtype), [], []
+        n = 0
+        limit = np.timedelta64(hours, "h")
+        for k, item in enumerate(f["item"]):
+            live = np.flatnonzero(times[k] - last[:n] <= limit)
+            best, need = -1, 0.0
+            if len(live):
+                sim = centre[live] @ m[k]
+                j = int(np.argmax(sim))
+                best = int(live[j])
+                need = min(base + 0.05, base + 0.015 * np.log2(max(size[best], 1)))
+                if sim[j] < need:
+                    best = -1
+            if best < 0:
+                best, n = n, n + 1
+                lead.append(item)
+                centre[best] = m[k]
+            else:
+                c = centre[best] * size[best] + m[k]
+                centre[best] = c / max(1e-12, float(np.linalg.norm(c)))
+            size[best] += 1
+            last[best] = times[k]
+            out.append((f["shard"].iloc[0], item, lead[best]))
+        return pd.DataFrame(out, columns=["shard", "item", "story"])
+
+    return with_blocks(items, "shard", "at", f"{hours} hours").groupBy("shard", "block").applyInPandas(run, "shard long, item long, story long")
+
+
+def greedy_merges(candidates: DataFrame, most: int = 500) -> DataFrame:
+    """gone, kept (CL3): of candidate pairs (a, b, sim, keep), those that are no one else's better choice.
+
+    A pair merges if it is the best pair of both its stories (sim, then smaller ids), so no story is in two merges of a pass;
+    at most ``most`` pairs, the most similar ones. Further passes merge what these leave over."""
+    ends = candidates.select("a", "b", "sim", "keep", F.explode(F.array("a", "b")).alias("s"))
+    best = ends.groupBy("s").agg(F.max(F.struct("sim", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))).alias("t"))
+    own = ends.join(best, "s").filter((F.col("a") == -F.col("t.na")) & (F.col("b") == -F.col("t.nb")))
+    both = own.groupBy("a", "b", "sim", "keep").count().filter("count = 2").orderBy(F.desc("sim"), "a", "b").limit(most)
+    return both.select(F.when(F.col("keep") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("gone"), F.col("keep").alias("kept"))
+
+
+def rekeyed(rows: DataFrame, key: str, merges: DataFrame) -> DataFrame:
+    """rows with merged stories' keys replaced (CL4)."""
+    m = merges.select(F.col("gone").alias(key), "kept")
+    return rows.join(m, key, "left").withColumn(key, F.coalesce("kept", key)).drop("kept")
+
+
+def rekeyed_pairs(pairs: DataFrame, merges: DataFrame) -> DataFrame:
+    """Pairs (a < b) after merges; pairs that fell together go, repeated ones stay once (CL4)."""
+    p = rekeyed(rekeyed(pairs, "a", merges), "b", merges).filter("a <> b")
+    return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def detached(items: DataFrame, overrides: DataFrame) -> DataFrame:
+    """items with human splits applied (CL5): a detached item is a story of its own, named by minus its id."""
+    o = overrides.select("item_id", F.lit(True).alias("alone")).distinct()
+    return items.join(o, "item_id", "left").withColumn("story_id", F.when(F.col("alone"), -F.col("item_id")).otherwise(F.col("story_id"))).drop("alone")
+
+
+def cited(roots: DataFrame, links: DataFrame, depth: int = 2) -> DataFrame:
+    """root, url, depth (GR7): what sources cite, to a depth, each at its smallest depth. roots: root; links: url, cites."""
+    seen = roots.select("root", F.col("root").alias("url"), F.lit(0).alias("depth"))
+    front = seen
+    for k in range(1, depth + 1):
+        fresh = front.join(links, "url").select("root", F.col("cites").alias("url"), F.lit(k).alias("depth")).distinct()
+        front = fresh.join(seen.select("root", "url"), ["root", "url"], "left_anti")
+        seen = seen.unionByName(front)
+    return seen

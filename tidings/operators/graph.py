@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 from tidings.operators.joins import both_ways
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df through the folder of spark.checkpoint.dir: cuts the lineage of a loop and survives lost executors."""
-    spark = df.sparkSession
+def shared_folder(spark) -> str:
+    """The folder that all executors see: spark.checkpoint.dir; a temporary one only where that is unset."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = tempfile.mkdtemp(prefix="tidings-")
         spark.conf.set("spark.checkpoint.dir", where)
-    path = f"{where.rstrip('/')}/graph-{uuid.uuid4().hex}"
+    return where.rstrip("/")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df through a table in the shared folder: cuts the lineage of a loop and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
