@@ -134,7 +134,7 @@ class Encoder:
     The tokenizer is byte-level BPE whose splitting pattern always breaks before a space that stands before something
     else than white space, so a text may be cut there and its chunks encoded on their own with the same result."""
 
-    LIMIT = 400_000
+    LIMIT, GLUED = 700_000, 32
     CUT = re.compile(r" (?=\S)")
     UNSAFE = re.compile(r" (?:\s|\Z)")
 
@@ -151,20 +151,20 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def learn(self, chunks: list[str]) -> None:
-        for a in range(0, len(chunks), 512):
-            part = chunks[a : a + 512]
-            ids = np.array(self.lib.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
-            stops = np.cumsum([len(c.encode()) + 1 for c in part])
-            reach = np.cumsum(self.bytes_of[ids])
-            ends = np.searchsorted(reach, stops)
-            if len(reach) and reach[-1] == stops[-1] and (reach[ends] == stops).all():
-                raw, begin = ids.tobytes(), 0
-                for c, end in zip(part, ((ends + 1) * 4).tolist()):
-                    self.known[c] = raw[begin:end]
-                    begin = end
-            else:  # text that the byte lengths can't follow (unknown bytes): one by one
-                for c, e in zip(part, self.lib.encode_batch([" " + c for c in part], add_special_tokens=False)):
-                    self.known[c] = np.array(e.ids, "<u4").tobytes()
+        """Encodes chunks, GLUED to a text, and cuts the ids where the bytes of a chunk end."""
+        if not chunks:
+            return
+        glued = [" " + " ".join(chunks[a : a + self.GLUED]) for a in range(0, len(chunks), self.GLUED)]
+        ids = np.array([i for e in self.lib.encode_batch_fast(glued, add_special_tokens=False) for i in e.ids], "<u4")
+        stops = np.cumsum([len(c.encode()) + 1 for c in chunks])
+        reach = np.cumsum(self.bytes_of[ids])
+        ends = np.searchsorted(reach, stops)
+        if reach[-1] == stops[-1] and (reach[ends] == stops).all():
+            raw, stop = ids.tobytes(), ((ends + 1) * 4).tolist()
+            self.known.update((c, raw[a:z]) for c, a, z in zip(chunks, [0, *stop], stop))
+        else:  # some text that the byte lengths can't follow (unknown bytes): one by one
+            for c, one in zip(chunks, self.lib.encode_batch_fast([" " + c for c in chunks], add_special_tokens=False)):
+                self.known[c] = np.array(one.ids, "<u4").tobytes()
 
     def encode(self, group: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.LIMIT:
@@ -174,7 +174,7 @@ class Encoder:
         fresh = set()
         for c in cut:
             fresh.update(c[1:])
-        self.learn([c for c in fresh if c not in self.known])
+        self.learn(list(fresh.difference(self.known)))
         get = self.known.__getitem__
         end = np.array([END], "<u4").tobytes()
         return [np.frombuffer(b"".join([np.array(f.ids, "<u4").tobytes(), *map(get, c[1:]), end]), "<u4") for f, c in zip(firsts, cut)]

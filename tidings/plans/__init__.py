@@ -2,7 +2,7 @@
 
 
 def _registry():
-    from tidings.plans import aggregates, feeds_and_streams, judgement, movement, registry, relations, texts, views  # noqa: F401
+    from tidings.plans import aggregates, feeds_and_streams, judgement, movement, parsers, registry, relations, texts, views  # noqa: F401
 
     return registry
 
