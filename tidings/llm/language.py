@@ -8,8 +8,8 @@ length is a plain sum. The trees of all languages share one automaton whose stat
 text, so one pass over the bytes yields every language's code length; numpy steps many pieces of many texts at once,
 and each piece starts ORDER bytes early, which is all that a state remembers.
 
-Training uses at most ROWS texts of each language (a documented bound), picked by a hash of the id; the automaton's
-tables stay within TABLE_MB. The language of the shortest code wins (ties: first in order); score is its posterior
+Training uses at most ROWS texts of each of the LANGUAGES most frequent languages (documented bounds), picked by a hash
+of the id; the automaton's tables stay within TABLE_MB. The language of the shortest code wins (ties: first in order); score is its posterior
 under equal priors. Null texts, texts without a letter and, without any training text, all texts get `und` and 0.
 """
 
@@ -25,6 +25,7 @@ from tidings.llm.folds import fold
 
 ORDER = 4
 ROWS = 400
+LANGUAGES = 1000
 TABLE_MB = 16
 PIECE = 512
 
@@ -154,9 +155,9 @@ def held_out():
 def trained(docs: DataFrame, rows: int = ROWS) -> Model:
     """The model of a bounded sample of the documents outside the held-out fold whose lang is not null."""
     ids = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out()).select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))
-    sizes = ids.groupBy("l").count().withColumn("share", F.lit(2.0 * rows) / F.col("count")).select(F.col("l").alias("k"), "share")
+    sizes = ids.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).withColumn("share", F.lit(2.0 * rows) / F.col("count")).select(F.col("l").alias("k"), "share")
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 32)) / float(1 << 32)
-    few = ids.join(F.broadcast(sizes.limit(1000)), F.col("l") == F.col("k")).filter(draw < F.col("share"))
+    few = ids.join(F.broadcast(sizes), F.col("l") == F.col("k")).filter(draw < F.col("share"))
     picked = few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(draw, "id"))).filter(F.col("r") <= rows).select("id", "l")
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").join(F.broadcast(picked), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l")))
     counts = sample.select("lang", "text").mapInArrow(grams, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
