@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidings.llm.common import written
+
 RATIO = 0.3
 MIN_PAGES = 5
 JUNK = r"(?is)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
@@ -35,17 +37,19 @@ def page_lines(html: Column) -> Column:
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """host, drop: the hashes of each host's lines above the ratio. pages: host, lines."""
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
+    # written tables on both sides of a join let Spark split a host with very many rows
+    totals = written(pages.groupBy("host").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages), "host-pages")
     each = pages.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("h"))
-    common = each.groupBy("host", "h").agg(F.count("*").alias("n"))
-    above = common.join(totals, "host").filter(F.col("n") > F.col("pages") * ratio)
+    # the smallest host that counts sets what a line needs at least, which leaves few of a host's distinct lines
+    common = each.groupBy("host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > min_pages * ratio)
+    above = written(common.join(totals, "host").filter(F.col("n") > F.col("pages") * ratio).select("host", "h"), "host-lines")
     return above.groupBy("host").agg(F.collect_list("h").alias("drop"))
 
 
 def without_boilerplate(pages: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """page_id, host, n_lines, n_dropped, text: the lines that stay, joined by newlines."""
     lines = pages.select("page_id", host(F.col("url")).alias("host"), page_lines(F.col("html")).alias("lines"))
-    drop = boilerplate(lines, ratio, min_pages)
+    drop = written(boilerplate(lines, ratio, min_pages), "boilerplate")
     kept = F.filter("lines", lambda x: ~F.array_contains(F.coalesce("drop", F.array().cast("array<bigint>")), F.xxhash64(x)))
     out = lines.join(drop, "host", "left").withColumn("kept", kept)
     return out.select("page_id", "host", F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"), F.array_join("kept", "\n").alias("text"))
