@@ -150,7 +150,8 @@ def searched(segments: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """doc_id, spans: for each document that repeats an earlier one, [start, stop) word places, possibly overlapping."""
     every = written(runs(docs), "runs")
-    shared = every.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("m")
+    # written tables on both sides of a join let Spark split a key, window or run that very many documents share
+    shared = written(every.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).filter("a < z").select("m"), "shared-keys")
     some = written(every.join(shared, "m"), "shared-runs")
     dropped(every)
     first = F.min(F.struct(F.col("doc_id").alias("d"), "p")).alias("f")
@@ -160,18 +161,18 @@ def repeats(docs: DataFrame) -> DataFrame:
 
     # the windows of a run that stand in several documents, from the first to the last
     each = parts.select("m", "c", "n", "d", F.posexplode("windows").alias("k", "w"))
-    common = each.groupBy("w").agg(F.min("d").alias("a"), F.max("d").alias("z")).filter("a < z").select("w")
+    common = written(each.groupBy("w").agg(F.min("d").alias("a"), F.max("d").alias("z")).filter("a < z").select("w"), "shared-windows")
     kept = each.join(common, "w").groupBy("m", "c", "n").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
     trimmed = parts.join(kept, ["m", "c", "n"]).select("m", "c", "n", "d", "lo", F.slice("words", F.col("lo") + 1, F.col("hi") - F.col("lo") + WIDTH).alias("words"))
     trimmed = written(trimmed.withColumn("tc", F.xxhash64("words")), "trimmed-runs")
     dropped(parts)
     distinct = written(trimmed.groupBy("m", "tc").agg(F.min("d").alias("d"), F.any_value("words").alias("words")), "segments")
-    found = searched(distinct).withColumnRenamed("hits", "own_hits").join(distinct.select("m", "tc", F.col("d").alias("first_d")), ["m", "tc"])
+    found = written(searched(distinct).withColumnRenamed("hits", "own_hits").join(distinct.select("m", "tc", F.col("d").alias("first_d")), ["m", "tc"]), "segment-hits")
     # later documents with the same words repeat the first one whole
     hits = F.when(F.col("d") > F.col("first_d"), F.array_repeat(F.lit(True), F.size("own_hits"))).otherwise(F.col("own_hits"))
     by_run = written(trimmed.drop("words").join(found, ["m", "tc"]).select("m", "c", "n", "lo", hits.alias("hits")), "run-hits")
 
-    status = reps.join(by_run, ["m", "c", "n"], "left").select("m", "c", "n", "d", "lo", "hits")
+    status = written(reps.join(by_run, ["m", "c", "n"], "left").select("m", "c", "n", "d", "lo", "hits"), "run-status")
     all_ = some.join(status, ["m", "c", "n"])
     whole = F.array(F.struct(F.col("p").alias("a"), (F.col("p") + F.col("n") + (WIDTH - 1)).alias("z")))
     start = lambda k: F.col("p") + F.col("lo") + k
