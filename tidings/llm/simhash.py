@@ -157,7 +157,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     found = links(nodes.filter("rep is not null"))
     labels = components(found)
-    classes = nodes.join(labels, nodes["rep"] == labels["u"], "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
+    # as a written table, Spark can split its join where very many documents have one fingerprint
+    classes = written(nodes.join(labels, nodes["rep"] == labels["u"], "left").select("fp", F.coalesce("label", "rep").alias("component_id")), "simhash-classes")
     out = prints.join(classes, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
