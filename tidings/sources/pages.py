@@ -178,7 +178,7 @@ def post_items(posts: DataFrame, last: DataFrame, as_of: Column, hours: int = 48
     headline: the first line of 8 letters and more, cut at a sentence or 240 letters."""
     p = posts.join(last.select("channel", F.col("id").alias("last_id")), "channel", "left")
     p = p.filter((F.col("id") > F.coalesce("last_id", F.lit(-1))) & (F.col("at") > as_of - F.make_dt_interval(F.lit(0), F.lit(hours))) & (F.length("text") >= 20))
-    line = F.element_at(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: F.length(x) >= 8), 1)
+    line = F.element_at(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) >= 8), 1)
     title = F.coalesce(line, F.col("text"))
     cut = F.regexp_extract(title, r"^(.{20,240}?[.!?])(?:\s|$)", 1)
     return p.select("channel", "id", "at", F.when((F.length(title) > 240) & (cut != ""), cut).otherwise(F.substring(title, 1, 240)).alias("title"), "text", "views", "forward")

@@ -56,7 +56,7 @@ def crossings(waits: DataFrame, towns: DataFrame) -> DataFrame:
     """crossing, lat, lon: border posts placed at a town on their border (SRC27).
 
     A name's variants, the whole and its parts at commas, dashes and brackets, are looked up longest first."""
-    parts = F.filter(F.transform(F.split(F.lower("name"), r"\s*[-,/()]\s*"), F.trim), lambda x: F.length(x) > 2)
+    parts = F.filter(F.transform(F.split(F.lower("name"), r"\s*[-,/()]\s*"), lambda x: F.trim(x)), lambda x: F.length(x) > 2)
     v = waits.select("crossing", "border", F.explode(F.array_distinct(F.concat(F.array(F.lower("name")), parts))).alias("variant"))
     j = v.join(towns.select(F.lower("town").alias("variant"), F.col("border").alias("b"), "lat", "lon"), "variant").filter("border = b")
     r = F.row_number().over(Window.partitionBy("crossing").orderBy(F.desc(F.length("variant")), "variant", "lat", "lon"))
