@@ -153,6 +153,14 @@ def test_simhash_links_equal_brute_force(spark):
         assert [label.get(i, i) for i in range(len(fps))] == [find(i) for i in range(len(fps))]
 
 
+def test_components_of_a_path_in_falling_order(spark):
+    path = [0, *range(119, 0, -1)]  # labels that walk one link a round need 119 rounds
+    found = spark.createDataFrame(list(zip(path, path[1:])), "u long, v long")
+    assert {r["u"]: r["label"] for r in simhash.components(found).collect()} == {i: 0 for i in range(120)}
+    with pytest.raises(RuntimeError):
+        simhash.components(found, rounds=2)
+
+
 def test_simhash_keeps_one_of_each_group(odd):
     kept = simhash.one_each(odd)
     assert kept.columns == odd.columns

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidings.functions import geo, scoring
@@ -107,6 +108,15 @@ def test_components_of_a_long_chain(spark):
     assert all(got[i] == 0 for i in range(50)) and all(got[i] == i for i in range(50, 60))
 
 
+def test_components_of_a_path_in_falling_order(spark):
+    path = [0, *range(119, 0, -1)]  # labels that walk one edge a round need 119 rounds
+    nodes, edges = spark.range(121).select(F.col("id").alias("node")), spark.createDataFrame(list(zip(path, path[1:])), "a long, b long")
+    got = {r["node"]: r["label"] for r in graph.components(nodes, edges).collect()}
+    assert got == {i: 0 for i in range(120)} | {120: 120}
+    with pytest.raises(RuntimeError):
+        graph.components(nodes, edges, rounds=2)
+
+
 def test_grouped_reports(spark):
     t = dt.datetime(2026, 1, 1)
     rows = [(1, 1, t, 50.0, 30.0), (1, 2, t + dt.timedelta(hours=5), 50.01, 30.0), (1, 3, t + dt.timedelta(hours=10), 50.0, 30.01), (1, 4, t + dt.timedelta(hours=2), 51.0, 30.0), (1, 5, t + dt.timedelta(hours=17), 50.0, 30.0)]

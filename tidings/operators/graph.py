@@ -28,19 +28,23 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, label: the smallest node reachable from each (CL2), by minimum labels with pointer jumping."""
+    """node, label: the smallest node reachable from each (CL2), by minimum labels with hooking and pointer jumping.
+
+    The loop ends when no label changes; should `rounds` not suffice, it raises."""
     both = saved(both_ways(edges).select("node", "other").distinct())
     labels = saved(nodes.select("node", F.col("node").alias("label")))
     for _ in range(rounds):
         near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        best = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("best"))
+        own = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), "near")
+        hook = own.groupBy(F.col("old").alias("node")).agg(F.min("near").alias("hook"))
+        best = own.join(hook, "node", "left").select("node", "old", F.least("old", "near", "hook").alias("best"))
         jump = labels.select(F.col("node").alias("best"), F.col("label").alias("far"))
         labels_next = saved(best.join(jump, "best").select("node", "old", F.least("best", "far").alias("label")))
         changed = labels_next.filter("old <> label").limit(1).count()
         labels = labels_next.select("node", "label")
         if not changed:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"labels of components still change after {rounds} rounds")
 
 
 def strongest(edges: DataFrame, per_node: int) -> DataFrame:
