@@ -10,7 +10,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidings.llm import decontaminate, fm_index, language, lines, mixing, passages, quality_model, quality_rules, simhash, token_files, toxicity
+import corpus_pipeline
+from tidings.llm import decontaminate, fm_index, language, lines, minhash, mixing, passages, quality_model, quality_rules, simhash, token_files, toxicity
 
 SF = "/root/testdata/sf0.001"
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -167,6 +168,47 @@ def test_simhash_keeps_one_of_each_group(odd):
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [1, 4, 6, 8, 9, 10]
 
 
+def test_near_copies_by_words_equal_brute_force(spark, odd, none):
+    """Planted copies with edits, a hot group, a chain, and documents that share passages only."""
+    rng = np.random.default_rng(3)
+    texts = [[f"w{x}" for x in rng.integers(0, 5000, 200)] for _ in range(30)]
+    for k in range(30):
+        for edits in (0, 1, 2, 3, 4, 6, 9):
+            t = list(texts[k])
+            for at in rng.choice(200, edits, replace=False):
+                t[at] = f"e{rng.integers(1 << 30)}"
+            texts.append(t)
+    for _ in range(60):  # of one text: most have 0.8 beside it, few beside each other
+        t = list(texts[0])
+        for at in rng.choice(200, 4, replace=False):
+            t[at] = f"h{rng.integers(1 << 30)}"
+        texts.append(t)
+    chain = list(texts[1])
+    for step in range(20):
+        chain = chain[:step * 9] + ["c"] + chain[step * 9 + 1 :]
+        texts.append(chain)
+    texts += [texts[2][:120] + texts[3][120:], texts[4][:3], texts[4][:4], []]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    frame = spark.createDataFrame([(i, " ".join(t).upper()) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in minhash.one_each(frame).collect()}
+    assert kept == set(root) and len(kept) < len(texts) / 2
+    assert sorted(r["doc_id"] for r in minhash.one_each(odd).collect() if r["doc_id"] is not None) == [1, 4, 6, 8, 9, 10]
+    assert minhash.one_each(none).count() == 0
+
+
+def test_stage_drops_near_copies(spark):
+    text = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(text)), (2, " ".join(text[:150] + ["other"] + text[151:])), (3, " ".join(text[:150] + [f"x{i}" for i in range(150)]))]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
 # --- token files -----------------------------------------------------------------------------
 
 
