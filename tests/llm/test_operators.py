@@ -104,6 +104,20 @@ def test_language_is_right_on_held_out_documents(docs):
     assert r["a"] >= 0.95
 
 
+def test_language_tells_200_languages(spark):
+    rng = np.random.default_rng(7)
+    names = [f"l{k:03d}" for k in range(200)]
+    spare = "".join(chr(c) for c in range(0xC0, 0x180))  # so that texts have about 140 distinct bytes
+    lexicon = {x: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for x in names}
+    rows = [(200 * r + k, " ".join(rng.choice(lexicon[x], 40)) + " " + spare, x) for r in range(12) for k, x in enumerate(names)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.predicted(frame).filter("held_out").collect()
+    want = {r[0]: r[2] for r in rows}
+    assert len({r["lang_pred"] for r in got}) > 100
+    assert sum(r["lang_pred"] == want[r["doc_id"]] for r in got) >= 0.95 * len(got)
+    assert all(language.contexts(w, language.per_group(w, n)) >= language.CONTEXTS for w in (30, 200, 258) for n in (1, 4, 20, 50, 140, 1000))
+
+
 def test_language_of_odd_texts(odd, none):
     r = language.predicted(odd).collect()
     assert len(r) == len(ODD) and all(x["lang_pred"] == "und" and x["score"] == 0 for x in r if x["doc_id"] in (1, 2, 3, 10))

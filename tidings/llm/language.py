@@ -9,7 +9,8 @@ text, so one pass over the bytes yields every language's code length; numpy step
 and each piece starts ORDER bytes early, which is all that a state remembers.
 
 Training uses at most ROWS texts of each of the LANGUAGES most frequent languages (documented bounds), picked by a hash
-of the id; the automaton's tables stay within TABLE_MB. The language of the shortest code wins (ties: first in order); score is its posterior
+of the id. Each language keeps CONTEXTS contexts at least: where the tables of all languages would outgrow TABLE_MB, the languages
+are dealt into groups with an automaton each, read one after the other. A language's code length does not depend on its group. The language of the shortest code wins (ties: first in order); score is its posterior
 under equal priors. Null texts, texts without a letter and, without any training text, all texts get `und` and 0.
 """
 
@@ -20,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidings.llm.common import texts
+from tidings.llm.common import texts, written
 from tidings.llm.folds import fold
 
 ORDER = 4
 ROWS = 400
 LANGUAGES = 1000
 TABLE_MB = 16
+CONTEXTS = 500
 PIECE = 512
 
 
@@ -49,11 +51,21 @@ def grams(batches):
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(np.full(len(gram), n, np.int32)), pa.array(gram), pa.array(times)], names=["lang", "n", "gram", "times"])
 
 
+def contexts(width: int, langs: int) -> int:
+    """How many contexts each of the given number of languages may keep in one automaton."""
+    return int(np.clip(TABLE_MB * 1e6 / (width * 4 * (1 + langs)), 64, 20_000)) // langs
+
+
+def per_group(width: int, langs: int) -> int:
+    """How many languages share an automaton, each with CONTEXTS contexts at least."""
+    return next((g for g in range(langs, 1, -1) if contexts(width, g) >= CONTEXTS), 1)
+
+
 class Model:
     """The automaton: symbol of a byte, next state, and each language's cost of a symbol in a state."""
 
-    def __init__(self, counts):
-        """counts: a frame with columns lang, n, gram, times."""
+    def __init__(self, counts, most: int = 0):
+        """counts: a frame with columns lang, n, gram, times; most: how many contexts a language keeps, if given."""
         self.langs = sorted(counts["lang"].unique())
         if not self.langs:
             return
@@ -62,7 +74,7 @@ class Model:
         self.symbol[seen] = np.arange(len(seen))
         self.pad = len(seen) + 1
         width = len(seen) + 2
-        most = int(np.clip(TABLE_MB * 1e6 / (width * 4 * (1 + len(self.langs))), 64, 20_000)) // len(self.langs)
+        most = most or contexts(width, len(self.langs))
         trees, union = [], {(0, 0)}
         for lang in self.langs:
             own = counts[counts["lang"] == lang]
@@ -152,8 +164,8 @@ def held_out():
     return fold(F.col("doc_id"), 4) == 2
 
 
-def trained(docs: DataFrame, rows: int = ROWS) -> Model:
-    """The model of a bounded sample of the documents outside the held-out fold whose lang is not null."""
+def trained(docs: DataFrame, rows: int = ROWS):
+    """The models, group by group of languages, of a bounded sample of the documents outside the held-out fold whose lang is not null."""
     ids = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out()).select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))
     sizes = ids.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).withColumn("share", F.lit(2.0 * rows) / F.col("count")).select(F.col("l").alias("k"), "share")
     draw = F.pmod(F.xxhash64("id"), F.lit(1 << 32)) / float(1 << 32)
@@ -164,25 +176,40 @@ def trained(docs: DataFrame, rows: int = ROWS) -> Model:
     # strings whose context is too rare to be kept in a tree stay behind
     busy = counts.groupBy(F.col("lang").alias("l"), F.col("n").alias("m"), F.shiftright("gram", 8).alias("ctx")).agg(F.sum("times").alias("all")).filter("all >= 8")
     kept = counts.join(busy, F.expr("lang = l and n = m and shiftright(gram, 8) = ctx"), "left_semi")
-    return Model(kept.toPandas())
+    kept = written(kept, "language-counts")
+    langs = sorted(r["lang"] for r in kept.select("lang").distinct().collect())
+    width = kept.filter("n = 1").select("gram").distinct().count() + 2
+    size = per_group(width, max(len(langs), 1))
+    most = contexts(width, min(size, max(len(langs), 1)))
+    for k in range(0, len(langs), size):  # the driver holds one group's counts at a time
+        yield Model(kept.filter(F.col("lang").isin(langs[k : k + size])).toPandas(), most)
 
 
 def predicted(docs: DataFrame, rows: int = ROWS) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each document."""
-    model = docs.sparkSession.sparkContext.broadcast(trained(docs, rows))  # TABLE_MB at most
+    context = docs.sparkSession.sparkContext
+    groups = []
+    for m in trained(docs, rows):
+        groups.append((context.broadcast(m), m.langs))  # TABLE_MB at most each
+    models, langs = [m for m, _ in groups], [x for _, own in groups for x in own]
+
+    def lengths(model, group):
+        bits = model.value.lengths(group)
+        if len(models) > 1 and hasattr(model, "_value"):
+            del model._value  # a worker holds one group's tables at a time and reads them again for the next batch
+        return bits
 
     def run(batches):
-        m = model.value
         for b in batches:
             group = texts(b)
             pred, score = [], []
-            if m.langs:
-                bits = m.lengths(group)
+            if langs:
+                bits = np.concatenate([lengths(m, group) for m in models], axis=1)
                 best = bits.argmin(axis=1) if len(group) else []
                 post = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -60)).sum(axis=1) if len(group) else []
             for k, text in enumerate(group):
-                known = bool(m.langs) and has_letter(text)
-                pred.append(m.langs[best[k]] if known else "und")
+                known = bool(langs) and has_letter(text)
+                pred.append(langs[best[k]] if known else "und")
                 score.append(float(post[k]) if known else 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
