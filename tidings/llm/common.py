@@ -25,29 +25,58 @@ def word_count(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that all executors see: spark.checkpoint.dir. Only a local session may leave it unset; it gets a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tidings-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
+_made: list[str] = []  # the folders of written(), oldest first
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _made:
+        _made.remove(path)
+
+
 def dropped(df: DataFrame) -> None:
     """Deletes the files of a table that written() made and that nothing reads any more."""
-    spark = df.sparkSession
-    folder = shared_folder(spark).split(":", 1)[-1].lstrip("/")
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if folder in path:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    names = {f.rsplit("/", 2)[-2] for f in df.inputFiles()}
+    for path in [p for p in _made if p.rsplit("/", 1)[-1] in names]:
+        deleted(df.sparkSession, path)
+
+
+def made() -> list[str]:
+    """The tables that written() has made and nothing has dropped; pass it to dropped_since() later."""
+    return list(_made)
+
+
+def dropped_since(spark: SparkSession, before: list[str], keep: DataFrame) -> None:
+    """Deletes the tables made since made() gave ``before``, but for the one that ``keep`` reads."""
+    names = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()}
+    for path in set(_made).difference(before):
+        if path.rsplit("/", 1)[-1] not in names:
+            deleted(spark, path)
+
+
+def text_keys(text: Column, names: tuple[str, str] = ("ka", "kb")) -> list[Column]:
+    """Two hashes of a text (96 bits together; null counts as empty): stand for the text where a row's id is null or repeated."""
+    t = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(t).alias(names[0]), F.crc32(t.cast("binary")).alias(names[1])]
 
 
 def texts(batch, name: str = "text") -> list[bytes]:

@@ -3,14 +3,18 @@
 A seed is a fixed mask over consecutive words: words at its 1s are hashed, words at its 0s are ignored, so a
 substituted word breaks only the seeds that have a 1 there. Seeds of the benchmark and of the documents meet in an
 equi-join; around each hit the aligned words are compared one by one and the best run, in which a match counts +1
-and a substitution -2, decides. Words are lower-cased and lose surrounding punctuation first.
+and a substitution -2, decides. A run reaches at most REACH words beyond the outermost hit around it; nothing else bounds
+it. Words are lower-cased and lose surrounding punctuation first.
 
 A bitmap of fixed size (2**BITS bits, whatever the benchmark's size) lets each document drop seeds that no benchmark
 item has before anything is shuffled; it never drops one that an item has. Documents with hits send on only the
-stretches of word hashes around them. Spark picks the join strategy by size; nothing is broadcast by hand but the bitmap.
+stretches of word hashes around them. Equal texts, of documents or of items, are compared once: texts are known by two
+hashes of theirs, which then meet the ids. Spark picks the join strategies by size; by hand only the bitmap is broadcast.
 
-Items shorter than the shortest mask, and null or empty texts on either side, match nothing. Equal items each
-report. Repeated documents each report. Long items match by any stretch of MATCH words. Other columns are ignored.
+Items of SHORTEST to 9 words, which no mask fits, match as a whole only: their words in a row. Items of fewer words, and
+null or empty texts on either side, match nothing. Equal items each report, and so do equal documents; rows that share a
+doc_id (or have none) and an item_id are one row of the result, its best run. Long items match by any MATCH equal words. Other
+columns are ignored whatever their names; an empty table on either side gives no rows.
 """
 
 from __future__ import annotations
@@ -22,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import WordHash, bitmap, in_bitmap, mixed, texts, written
+from tidings.llm.common import WordHash, bitmap, dropped, in_bitmap, mixed, text_keys, texts, written
 
 #: 1: a word that is hashed; 0: a word that may differ.
 MASKS = ("11101001011", "1101101011", "10110011101")
 BITS = 25
-#: Words around a hit that are compared, and the longest stretch that travels as one row.
-REACH, LONGEST = 128, 2048
+#: Words around a hit that are compared; items of fewer words than SHORTEST match nothing.
+REACH, SHORTEST = 128, 5
 #: A run of MATCH equal words counts, or SHARE of a shorter item's words.
 MATCH, SHARE = 12, 0.6
 
@@ -47,50 +51,48 @@ def word_hashes(text: bytes) -> np.ndarray:
     return h[h != 0]
 
 
-def seeds(h: np.ndarray):
-    """For each mask, the hashes of its seeds at each place of h where it fits."""
-    for m, mask in enumerate(MASKS):
+def seeds(h: np.ndarray, wholes: tuple[int, ...] = ()):
+    """For each mask, the hashes of its seeds at each place of h where it fits; then the same for runs of ``wholes`` words."""
+    for mask in (*MASKS, *("1" * n for n in wholes)):
         n = len(h) - len(mask) + 1
-        total = np.full(max(0, n), m + 1, np.uint64)
+        total = np.full(max(0, n), int(mask, 2), np.uint64)
         for k, bit in enumerate(mask):
             if bit == "1" and n > 0:
                 total = (total + h[k : k + n]) * np.uint64(0x9FB21C651E98DF25 + 2 * k)
         yield mixed(total)
 
 
-def item_seeds(items: DataFrame) -> DataFrame:
-    """h, item_id, at: each seed of each benchmark item."""
-
-    def run(batches):
-        for b in batches:
-            for item, text in zip(b.column(0).to_pylist(), texts(b)):
-                h = word_hashes(text)
-                for s in seeds(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array([item] * len(s), pa.int64()), pa.array(np.arange(len(s), dtype=np.int32))], names=["h", "item_id", "at"])
-
-    return items.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "h long, item_id long, at int")
+def own_wholes(n: int) -> tuple[int, ...]:
+    """The whole-item mask of an item of n words, where it has one."""
+    return (n,) if SHORTEST <= n < min(map(len, MASKS)) else ()
 
 
 def item_words(items: DataFrame) -> DataFrame:
+    """ia, ib, item, seeds: the word hashes and the distinct seeds of each distinct item text."""
+
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([word_hashes(t).view(np.int64) for t in texts(b)], pa.list_(pa.int64()))], names=["item_id", "item"])
+            own = [word_hashes(t) for t in texts(b)]
+            found = [np.unique(np.concatenate(list(seeds(h, own_wholes(len(h)))))).view(np.int64) for h in own]
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h.view(np.int64) for h in own], longs), pa.array(found, longs)], names=["ia", "ib", "item", "seeds"])
 
-    return items.select("item_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "item_id long, item array<long>")
+    t = items.select(*text_keys(F.col("text"), ("ia", "ib")), F.col("text").cast("string").alias("text")).dropDuplicates(["ia", "ib"])
+    return t.mapInArrow(run, "ia long, ib long, item array<long>, seeds array<long>")
 
 
-def stretches(docs: DataFrame, seen) -> DataFrame:
-    """doc_id, first, words, at, h: around seeds that the bitmap knows, the word hashes from word `first` on, and the
-    seeds with their places in them."""
+def stretches(docs: DataFrame, seen, wholes: tuple[int, ...] = ()) -> DataFrame:
+    """doc_id, ka, kb, first, words, seeds: around seeds that the bitmap knows, the word hashes from word `first` on, and
+    the distinct seeds among them."""
 
     def run(batches):
         known = np.frombuffer(seen.value, np.uint64)
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), texts(b)):
+            for doc, ka, kb, text in zip(*[b.column(k).to_pylist() for k in range(3)], texts(b)):
                 h = word_hashes(text)
                 at, keys = [], []
-                for s in seeds(h):
+                for s in seeds(h, wholes):
                     hit = np.flatnonzero(in_bitmap(known, s, BITS))
                     at.append(hit)
                     keys.append(s[hit])
@@ -101,17 +103,26 @@ def stretches(docs: DataFrame, seen) -> DataFrame:
                 at, keys = at[order], keys[order]
                 breaks = [0, *(np.flatnonzero(np.diff(at) > REACH) + 1).tolist(), len(at)]
                 for a, z in zip(breaks, breaks[1:]):
-                    for p in range(int(at[a]), int(at[z - 1]) + 1, LONGEST):
-                        i, j = a + np.searchsorted(at[a:z], [p, p + LONGEST])
-                        if i < j:
-                            first = max(0, int(at[i]) - REACH)
-                            rows.append((doc, first, h[first : int(at[j - 1]) + 2 * REACH].view(np.int64), (at[i:j] - first).astype(np.int32), keys[i:j].view(np.int64)))
+                    first = max(0, int(at[a]) - REACH)
+                    rows.append((doc, ka, kb, first, h[first : int(at[z - 1]) + 2 * REACH].view(np.int64), np.unique(keys[a:z]).view(np.int64)))
             if rows:
-                c = list(zip(*rows))
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.list_(pa.int64())), pa.array(c[3], pa.list_(pa.int32())), pa.array(c[4], pa.list_(pa.int64()))], names=["doc_id", "first", "words", "at", "h"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["doc_id", "ka", "kb", "first", "words", "seeds"])
+
+    kinds = "doc_id long, ka long, kb long, first int, words array<long>, seeds array<long>"
+    return docs.select("doc_id", *text_keys(F.col("text")), F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
 
-    kinds = "doc_id long, first int, words array<long>, at array<int>, h array<long>"
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, kinds)
+
+def shifts(doc: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """The distances at which a seed of the item lies on an equal one of the document."""
+    met = np.zeros(len(doc) + len(item) + 1, bool)
+    whole = own_wholes(len(item))
+    for s, own in zip(seeds(doc, whole), seeds(item, whole)):
+        order = np.argsort(s, kind="stable")
+        a, z = (np.searchsorted(s[order], own, side=side) for side in ("left", "right"))
+        for at in np.flatnonzero(a < z).tolist():
+            met[order[a[at] : z[at]] - at + len(item)] = True
+    return np.flatnonzero(met) - len(item)
 
 
 def best_run(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
@@ -131,34 +142,50 @@ def enough(equal: int, item_words: int) -> bool:
     return item_words > 0 and equal >= min(MATCH, int(np.ceil(SHARE * item_words)))
 
 
-def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_equal, doc_start, run_words, item_words: a row for each document and item that overlap."""
-    tests = item_seeds(items)
-    seen = docs.sparkSession.sparkContext.broadcast(bitmap(tests, "h", BITS))  # 4 MB, fixed
+def matches(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, ka, kb of documents with hits (written); and ka, kb, ia, ib with the best run of each text in each item's text."""
+    tests = written(item_words(items), "benchmark")
+    lengths = range(SHORTEST, min(map(len, MASKS)))
+    wholes = tuple(sorted(r["n"] for r in tests.select(F.size("item").alias("n")).filter(F.col("n").isin(*lengths)).distinct().collect()))
+    own = tests.select("ia", "ib", F.explode("seeds").alias("h"))
+    seen = docs.sparkSession.sparkContext.broadcast(bitmap(own, "h", BITS))  # 4 MB, fixed
 
-    hits = written(stretches(docs, seen), "stretches")
-    spots = hits.select("doc_id", "first", F.explode(F.arrays_zip("at", "h")).alias("s")).select("doc_id", "first", F.col("s.at").alias("p"), F.col("s.h").alias("h"))
-    lines = spots.join(tests, "h").select("doc_id", "first", "item_id", (F.col("p") - F.col("at")).alias("shift")).distinct()
-    pairs = lines.groupBy("doc_id", "first", "item_id").agg(F.collect_set("shift").alias("shifts"))  # at most LONGEST + REACH shifts
-    pairs = pairs.join(hits.select("doc_id", "first", "words"), ["doc_id", "first"]).join(item_words(items), "item_id")
+    every = written(stretches(docs, seen, wholes), "stretches")
+    ids = written(every.select("doc_id", "ka", "kb").distinct(), "contaminated")
+    hits = written(every.dropDuplicates(["ka", "kb", "first"]).drop("doc_id"), "distinct-stretches")  # copies are compared once
+    dropped(every)
+    spots = hits.select("ka", "kb", "first", F.explode("seeds").alias("h"))
+    pairs = spots.join(own, "h").select("ka", "kb", "first", "ia", "ib").distinct()
+    pairs = pairs.join(hits.drop("seeds"), ["ka", "kb", "first"]).join(tests.drop("seeds"), ["ia", "ib"])
 
     def judge(batches):
         for b in batches:
             rows = []
-            for doc, first, item, shifts, words, own in zip(*[b.column(k).to_pylist() for k in range(6)]):
-                words, own = np.array(words, np.int64), np.array(own, np.int64)
-                equal, start, n = max(best_run(words, own, s) for s in shifts)
-                if enough(equal, len(own)):
-                    rows.append((doc, item, equal, first + start, n, len(own)))
+            for ka, kb, ia, ib, first, words, item in zip(*[b.column(k).to_pylist() for k in range(7)]):
+                words, item = np.array(words, np.int64).view(np.uint64), np.array(item, np.int64).view(np.uint64)
+                equal, start, n = max((best_run(words, item, s) for s in shifts(words, item).tolist()), default=(0, 0, 0))
+                if enough(equal, len(item)):
+                    rows.append((ka, kb, ia, ib, equal, first + start, n, len(item)))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=list("abcdef"))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], names=list("abcdefgh"))
+
+    kinds = "ka long, kb long, ia long, ib long, n_equal long, doc_start long, run_words long, item_words long"
+    found = pairs.select("ka", "kb", "ia", "ib", "first", "words", "item").mapInArrow(judge, kinds)
+    best = F.max(F.struct("n_equal", (-F.col("doc_start")).alias("o"), "run_words", "item_words")).alias("run")
+    return ids, written(found.groupBy("ka", "kb", "ia", "ib").agg(best), "overlaps")
 
-    found = pairs.select("doc_id", "first", "item_id", "shifts", "words", "item").mapInArrow(judge, "doc_id long, item_id long, n_equal long, doc_start long, run_words long, item_words long")
-    best = F.max(F.struct("n_equal", (-F.col("doc_start")).alias("o"), "run_words", "item_words"))
-    return found.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.n_equal", (-F.col("b.o")).alias("doc_start"), "b.run_words", "b.item_words")
+
+def overlaps(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, item_id, n_equal, doc_start, run_words, item_words: a row for each document and item that overlap."""
+    ids, found = matches(docs, items)
+    named = items.select("item_id", *text_keys(F.col("text"), ("ia", "ib")))
+    best = ids.join(found, ["ka", "kb"]).join(named, ["ia", "ib"]).groupBy("doc_id", "item_id").agg(F.max("run").alias("b"))
+    return best.select("doc_id", "item_id", "b.n_equal", (-F.col("b.o")).alias("doc_start"), "b.run_words", "b.item_words")
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that overlap no item; documents without an id stay."""
-    bad = overlaps(docs.select("doc_id", "text"), items).select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["bad"], "left_anti")
+    """The documents whose text overlaps no item, with the columns they came with; a row's id plays no part."""
+    _, found = matches(docs, items)
+    bad = written(found.select("ka", "kb").distinct(), "contaminated-texts")  # its size on disk decides how Spark joins it
+    a, b = text_keys(docs["text"])
+    return docs.join(bad, (a == bad["ka"]) & (b == bad["kb"]), "left_anti")
