@@ -8,10 +8,16 @@ length is a plain sum. The trees of all languages share one automaton whose stat
 text, so one pass over the bytes yields every language's code length; numpy steps many pieces of many texts at once,
 and each piece starts ORDER bytes early, which is all that a state remembers.
 
-Training uses at most ROWS texts of each of the LANGUAGES most frequent languages (documented bounds), picked by a hash
-of the id. Each language keeps CONTEXTS contexts at least: where the tables of all languages would outgrow TABLE_MB, the languages
-are dealt into groups with an automaton each, read one after the other. A language's code length does not depend on its group. The language of the shortest code wins (ties: first in order); score is its posterior
-under equal priors. Null texts, texts without a letter and, without any training text, all texts get `und` and 0.
+Training uses at most ROWS rows of each language (a documented bound), picked by a hash of id and text; every language
+that stands in such a row is learned. Spark ranks a language's contexts by how often they occur and keeps the first ones, so
+the driver holds one group's tables only. Each language keeps CONTEXTS contexts at least, if its texts have as many: where the
+tables of all languages would outgrow TABLE_MB, the languages are dealt into groups with an automaton each, read one after
+the other. A language's code length does not depend on its group, unless the group's size changes how many contexts it keeps.
+
+The language of the shortest code wins (ties: first in order); score is its posterior under equal priors. Null texts, texts
+without a letter and, without any training text, all texts get `und` and 0. Very long texts are read in pieces of
+PIECE bytes. Repeated rows are predicted (and picked for training) one by one; rows without doc_id are predicted and in fold
+crc32('') but teach nothing. Other columns are ignored whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,12 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidings.llm.common import texts, written
+from tidings.llm.common import dropped, texts, written
 from tidings.llm.folds import fold
 
 ORDER = 4
 ROWS = 400
-LANGUAGES = 1000
 TABLE_MB = 16
 CONTEXTS = 500
 PIECE = 512
@@ -164,25 +169,37 @@ def held_out():
     return fold(F.col("doc_id"), 4) == 2
 
 
+def training_rows(docs: DataFrame, rows: int = ROWS) -> DataFrame:
+    """lang, text: at most ``rows`` rows of each language outside the held-out fold."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out())
+    sizes = known.groupBy(F.col("lang").alias("l")).count().select("l", (2.0 * rows / F.col("count")).alias("share"))
+    sizes = written(sizes, "languages")  # a row for each language; its size on disk decides how Spark joins it
+    rank = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 32)) / float(1 << 32)
+    few = known.select("lang", "doc_id", F.col("text").cast("string").alias("text")).join(sizes, F.col("lang") == F.col("l")).filter(rank < F.col("share"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(rank, "doc_id", "text"))
+    return few.withColumn("nth", nth).filter(F.col("nth") <= rows).select("lang", "text")
+
+
 def trained(docs: DataFrame, rows: int = ROWS):
-    """The models, group by group of languages, of a bounded sample of the documents outside the held-out fold whose lang is not null."""
-    ids = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).filter(~held_out()).select(F.col("doc_id").alias("id"), F.col("lang").alias("l"))
-    sizes = ids.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).withColumn("share", F.lit(2.0 * rows) / F.col("count")).select(F.col("l").alias("k"), "share")
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 32)) / float(1 << 32)
-    few = ids.join(F.broadcast(sizes), F.col("l") == F.col("k")).filter(draw < F.col("share"))
-    picked = few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy(draw, "id"))).filter(F.col("r") <= rows).select("id", "l")
-    sample = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang").join(F.broadcast(picked), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("l")))
-    counts = sample.select("lang", "text").mapInArrow(grams, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times"))
-    # strings whose context is too rare to be kept in a tree stay behind
-    busy = counts.groupBy(F.col("lang").alias("l"), F.col("n").alias("m"), F.shiftright("gram", 8).alias("ctx")).agg(F.sum("times").alias("all")).filter("all >= 8")
+    """The models, group by group of languages."""
+    sample = training_rows(docs, rows)
+    counts = written(sample.mapInArrow(grams, "lang string, n int, gram long, times long").groupBy("lang", "n", "gram").agg(F.sum("times").alias("times")), "language-grams")
+    langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())
+    if not langs:
+        return
+    width = counts.filter("n = 1").select("gram").distinct().count() + 2
+    size = per_group(width, len(langs))
+    most = contexts(width, size)
+    busy = counts.groupBy(F.col("lang").alias("l"), F.col("n").alias("m"), F.shiftright("gram", 8).alias("ctx")).agg(F.sum("times").alias("all"))
+    nth = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("all"), "m", "ctx"))
+    busy = busy.withColumn("nth", nth).filter(F.col("nth") <= most)
+    # the empty context comes first in any language, so all single bytes are kept
     kept = counts.join(busy, F.expr("lang = l and n = m and shiftright(gram, 8) = ctx"), "left_semi")
     kept = written(kept, "language-counts")
-    langs = sorted(r["lang"] for r in kept.select("lang").distinct().collect())
-    width = kept.filter("n = 1").select("gram").distinct().count() + 2
-    size = per_group(width, max(len(langs), 1))
-    most = contexts(width, min(size, max(len(langs), 1)))
-    for k in range(0, len(langs), size):  # the driver holds one group's counts at a time
+    dropped(counts)
+    for k in range(0, len(langs), size):  # `most` contexts of `size` languages at a time
         yield Model(kept.filter(F.col("lang").isin(langs[k : k + size])).toPandas(), most)
+    dropped(kept)
 
 
 def predicted(docs: DataFrame, rows: int = ROWS) -> DataFrame:
