@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidings.llm import decontaminate, fm_index, language, lines, minhash, mixing, passages, quality_model, quality_rules, simhash, token_files, toxicity
+from tidings.llm import decontaminate, fm_index, language, lines, mixing, passages, quality_model, quality_rules, simhash, token_files, toxicity
 
 SF = "/root/testdata/sf0.001"
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,6 +75,7 @@ def test_decontamination_equals_brute_force(spark, docs):
 
 
 def test_language_code_lengths_equal_brute_force(docs):
+    """Against the definition: escapes from the longest known context down, by dictionaries of counts."""
     import pandas as pd
 
     sample = [(r["lang"], r["text"]) for r in docs.filter("lang is not null").limit(40).collect()]
@@ -83,20 +84,42 @@ def test_language_code_lengths_equal_brute_force(docs):
         b = text.encode()
         for n in range(1, language.ORDER + 2):
             counts.update((lang, n, int.from_bytes(b[i : i + n], "big")) for i in range(len(b) - n + 1))
-    m = language.Model(pd.DataFrame([(*k, v) for k, v in counts.items()], columns=["lang", "n", "gram", "times"]))
-    text = sample[0][1].encode()[:700]
-    got = m.lengths([text, b"", text[:3]])
+    most = 300
+    m = language.Model(pd.DataFrame([(*k, v) for k, v in counts.items()], columns=["lang", "n", "gram", "times"]), most)
+    follow = {}
+    for (lang, n, gram), times in counts.items():
+        g = gram.to_bytes(n, "big")
+        follow.setdefault(lang, {}).setdefault(g[:-1], {})[g[-1]] = times
+    kept = {}
+    for lang, tree in follow.items():
+        order = sorted(tree, key=lambda c: (-sum(tree[c].values()), len(c), int.from_bytes(c, "big")))
+        kept[lang] = {c: tree[c] for c in order[:most]}
+
+    def cost(tree, context, byte):
+        known = [context[len(context) - k :] for k in range(min(len(context), language.ORDER), -1, -1)]
+        known = [c for c in known if c in tree]
+        bits = 0.0
+        for c in known:
+            total, kinds = sum(tree[c].values()), len(tree[c])
+            if byte in tree[c]:
+                return bits - np.log2(tree[c][byte] / (total + kinds))
+            bits -= np.log2(kinds / (total + kinds))
+        return bits + 8
+
+    texts = [sample[0][1].encode()[:1500], b"", sample[1][1].encode()[:3], "żółw 日本".encode()]
+    got = m.lengths(texts)
+    for t, row in zip(texts, got):
+        for lang, bits in zip(m.langs, row):
+            assert abs(sum(cost(kept[lang], t[:i], t[i]) for i in range(len(t))) - bits) < 1e-2 + 1e-5 * bits
     assert (got[1] == 0).all()
-    # the same sum, byte by byte through the automaton
-    for j in range(len(m.langs)):
-        state, bits = 0, 0.0
-        for byte in text:
-            k = m.symbol[byte]
-            bits += m.cost[state, k, j]
-            state = m.next[state, k]
-        assert abs(bits - got[0, j]) < 1e-2
-    p = np.exp2(-m.cost[0, : m.pad - 1].astype(float)).sum(axis=0)
-    assert (p <= 1 + 1e-6).all()  # what the empty context gives to seen bytes, with room for others
+
+
+def test_training_rows_are_bounded_and_keep_rare_languages(spark):
+    rows = [(4, f"a text of one id, number {i}", "en") for i in range(1000)] + [(i, "gu", f"l{i % 97}") for i in range(1000, 3000)]
+    got = Counter(r["lang"] for r in language.training_rows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 20).collect())
+    assert got["en"] == 20 and len(got) == 98 and max(got.values()) == 20
+    pred = language.predicted(spark.createDataFrame([(1, "one two three", "en"), (2, "x", "rare"), (4, "x", None)], "doc_id long, text string, lang string")).collect()
+    assert {r["lang_pred"] for r in pred if r["doc_id"] == 4} == {"rare"}
 
 
 def test_language_is_right_on_held_out_documents(docs):
@@ -168,6 +191,16 @@ def test_simhash_links_equal_brute_force(spark):
         assert [label.get(i, i) for i in range(len(fps))] == [find(i) for i in range(len(fps))]
 
 
+def test_hot_buckets_are_dealt_again(spark):
+    """2,000 fingerprints that share 32 bits, whichever these are: no bucket holds them all."""
+    rng = np.random.default_rng(9)
+    for pair in simhash.PAIRS:
+        free = sum(0xFFFF << s for s in {0, 16, 32, 48} - set(pair))
+        fps = np.unique(rng.integers(0, 1 << 63, 2000, dtype=np.uint64) & np.uint64(free)).view(np.int64).tolist()
+        nodes = spark.createDataFrame(list(zip(fps, range(len(fps)))), "fp long, rep long")
+        assert simhash.buckets(nodes, 500).groupBy("key").count().agg(F.max("count")).first()[0] < 100
+
+
 def test_components_of_a_path_in_falling_order(spark):
     path = [0, *range(119, 0, -1)]  # labels that walk one link a round need 119 rounds
     found = spark.createDataFrame(list(zip(path, path[1:])), "u long, v long")
@@ -210,10 +243,10 @@ def test_near_copies_by_words_equal_brute_force(spark, odd, none):
                 a, b = sorted((root[i], root[j]))
                 root = [a if r == b else r for r in root]
     frame = spark.createDataFrame([(i, " ".join(t).upper()) for i, t in enumerate(texts)], "doc_id long, text string")
-    kept = {r["doc_id"] for r in minhash.one_each(frame).collect()}
+    kept = {r["doc_id"] for r in simhash.one_each(frame).collect()}
     assert kept == set(root) and len(kept) < len(texts) / 2
-    assert sorted(r["doc_id"] for r in minhash.one_each(odd).collect() if r["doc_id"] is not None) == [1, 4, 6, 8, 9, 10]
-    assert minhash.one_each(none).count() == 0
+    assert sorted(r["doc_id"] for r in simhash.one_each(odd).collect() if r["doc_id"] is not None) == [1, 4, 6, 8, 9, 10]
+    assert simhash.one_each(none).count() == 0
 
 
 def test_stage_drops_near_copies(spark):

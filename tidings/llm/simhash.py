@@ -1,16 +1,23 @@
-"""SimHash near-dedup: 64-bit fingerprints of 3-word shingles, links at up to 2 differing bits, components.
+"""SimHash near-dedup: 64-bit fingerprints of shingles, tiled exact comparison, components.
 
-Equal fingerprints collapse first, so groups of copies cost one row. Two fingerprints that differ in at most 2 bits
-agree on at least 2 of 4 blocks of 16 bits: each distinct fingerprint goes to the 6 buckets of its pairs of blocks, and
-within a bucket numpy compares all members exactly, tile against tile, by exclusive-or and bit counts. Members are
-ordered by population count, and a pair of tiles whose counts differ by more than the radius is skipped. A bucket with
-very many members is dealt again by the blocks of its other 32 bits, of which one in 3 must agree too. A bucket
-reports only links that join members it has not joined yet, so links stay fewer than fingerprints; no link
-between different groups is lost.
+Two forms share the fingerprints, the tiles (exclusive-or and bit counts in numpy, tile pairs whose population counts
+differ beyond the radius skipped) and the components:
 
-Nulls and texts without words have fingerprint zero and are linked like any other. A text of fewer than 3 words is one
+- near_copies(): 3-word shingles, links at up to 2 differing bits, whatever the texts are. Two such fingerprints agree on at
+  least 2 of 4 blocks of 16 bits: each distinct fingerprint goes to the 6 buckets of its pairs of blocks. A bucket with
+  very many members is dealt again by thirds of the 32 bits outside its pair, of which one must agree as well; what is dealt
+  together then agrees in 42 bits or 43 and so has at most 2**22 members. A radius of 2 bits is narrow: it finds all exact copies,
+  but of texts that differ in a few words about half.
+- one_each(): 5-word shingles and Jaccard similarity >= 0.8 (tidings/llm/near_texts.py). The radius that this asks for is too wide for
+  blocks of 64 bits, so its buckets come from the shingles, and what the tiles leave is verified on the whole shingle sets.
+
+Equal fingerprints collapse first, so groups of copies cost one row. A bucket reports only links that join members it has
+not joined yet, so links stay fewer than fingerprints; no link between different groups is lost.
+
+Nulls and texts without words have fingerprint zero and are linked like any other. A text of fewer words than a shingle is one
 shingle. Repeated rows are separate documents of the same fingerprint. A row without doc_id gets the component of its
-fingerprint, but names none. Other columns are ignored; an empty table gives no rows.
+fingerprint, but names none (null where no row of the component has an id). Very long texts cost memory in proportion to the text. Other columns
+are ignored whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,10 +30,10 @@ from pyspark.sql import functions as F
 
 from tidings.llm.common import texts, written
 from tidings.llm.components import components
+from tidings.llm.tiles import bounds, close_pairs, joined, whole_buckets
 
 RADIUS = 2
 SHINGLE = 3
-TILE = 1024
 HEAVY = 50_000
 SEED = 42
 
@@ -60,39 +67,9 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def close_pairs(fp: np.ndarray, radius: int = RADIUS, tile: int = TILE):
-    """Pairs of places (i, j) in fp within the radius, tile by tile."""
-    order = np.argsort(np.bitwise_count(fp), kind="stable")
-    x = fp[order]
-    count = np.bitwise_count(x).astype(np.int64)
-    for a in range(0, len(x), tile):
-        for b in range(a, len(x), tile):
-            if count[b] - count[min(a + tile, len(x)) - 1] > radius:
-                break
-            near = np.bitwise_count(x[a : a + tile, None] ^ x[None, b : b + tile]) <= radius
-            i, j = np.nonzero(np.triu(near, 1) if a == b else near)
-            yield order[i + a], order[j + b]
-
-
-def joined(n: int, pairs) -> np.ndarray:
-    """For each of n places, the smallest place that pairs connect it to."""
-    root = np.arange(n)
-    for i, j in pairs:
-        while True:
-            a, b = root[i], root[j]
-            apart = a != b
-            if not apart.any():
-                break
-            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
-            while (root != root[root]).any():
-                root = root[root]
-    return root
-
-
 def bucket_links(keys: np.ndarray, fp: np.ndarray, rep: np.ndarray):
     """Links (u, v) between representatives, for whole buckets in the order of their keys."""
-    edges = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True]) if len(keys) else np.zeros(1, int)
+    edges = bounds(keys)
     sizes = np.diff(edges)
     u, v = [], []
     two = edges[:-1][sizes == 2]  # most buckets with company have two members
@@ -100,55 +77,53 @@ def bucket_links(keys: np.ndarray, fp: np.ndarray, rep: np.ndarray):
     u.append(rep[two[ok]])
     v.append(rep[two[ok] + 1])
     for a, n in zip(edges[:-1][sizes > 2], sizes[sizes > 2]):
-        root = joined(n, close_pairs(fp[a : a + n]))
+        root = joined(n, close_pairs(fp[a : a + n], RADIUS))
         kids = np.flatnonzero(root != np.arange(n))
         u.append(rep[a + root[kids]])
         v.append(rep[a + kids])
     return np.concatenate(u), np.concatenate(v)
 
 
-def block_keys(fp, blocks, salt: int):
-    """A key for each of the given sets of bits [(shift, width), ...]: the set's number and its bits."""
+PAIRS = [(16 * a, 16 * b) for a in range(4) for b in range(a + 1, 4)]
+
+
+def bits_of(fp, shift: int, width: int):
+    return F.shiftrightunsigned(fp, shift).bitwiseAND((1 << width) - 1)
+
+
+def pair_keys(fp):
+    """For each pair of blocks, its number and a key of its bits."""
+    return F.explode(F.array(*[F.struct(F.lit(k).alias("pair"), F.xxhash64(F.lit(k), *[bits_of(fp, s, 16) for s in p]).alias("key")) for k, p in enumerate(PAIRS)]))
+
+
+def again_keys(fp, pair, key):
+    """Keys of the thirds of the 32 bits outside the pair: at most 2 of them differ between close members, so a third agrees."""
     parts = []
-    for k, picks in enumerate(blocks):
-        bits = [F.shiftrightunsigned(fp, s).bitwiseAND((1 << w) - 1) for s, w in picks]
-        parts.append(F.xxhash64(F.lit(salt + k), *bits))
-    return F.explode(F.array(*parts))
+    for p in PAIRS:
+        low, high = sorted({0, 16, 32, 48} - set(p))
+        rest = bits_of(fp, low, 16).bitwiseOR(F.shiftleft(bits_of(fp, high, 16), 16))
+        parts.append(F.array(*[F.xxhash64(key, F.lit(k), bits_of(rest, s, w)) for k, (s, w) in enumerate(((0, 11), (11, 11), (22, 10)))]))
+    return F.explode(F.element_at(F.array(*parts), pair + 1))
 
 
-PAIRS = [[(16 * a, 16), (16 * b, 16)] for a in range(4) for b in range(a + 1, 4)]
-SINGLES = [[(s, 11 if s % 32 < 22 else 10)] for s in (0, 11, 22, 32, 43, 54)]
+def buckets(nodes: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """key, fp, rep: the buckets of distinct fingerprints (columns fp, rep)."""
+    dealt = nodes.select("fp", "rep", pair_keys(F.col("fp")).alias("b")).select("fp", "rep", "b.pair", "b.key")
+    big = dealt.groupBy("key").count().filter(F.col("count") > heavy).select("key", F.lit(True).alias("big"))
+    dealt = dealt.join(big, "key", "left")
+    again = dealt.filter("big").select(again_keys(F.col("fp"), F.col("pair"), F.col("key")).alias("key"), "fp", "rep")
+    return dealt.filter("big is null").select("key", "fp", "rep").union(again)
 
 
 def links(nodes: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """u, v: links between the representatives of distinct fingerprints (columns fp, rep)."""
-    dealt = nodes.select("fp", "rep", block_keys(F.col("fp"), PAIRS, 0).alias("key"))
-    # buckets of more than `heavy` members are dealt once more: their other bits agree in one of 6 blocks as well
-    big = dealt.groupBy("key").count().filter(F.col("count") > heavy).select("key", F.lit(True).alias("big"))
-    dealt = dealt.join(big, "key", "left")
-    again = dealt.filter("big").select("fp", "rep", "key", block_keys(F.col("fp"), SINGLES, 100).alias("sub"))
-    dealt = dealt.filter("big is null").select("key", "fp", "rep").union(again.select(F.xxhash64("key", "sub").alias("key"), "fp", "rep"))
 
     def run(batches):
-        held = None
-        for b in batches:
-            t = [b.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            t = t if held is None else [np.concatenate(x) for x in zip(held, t)]
-            if not len(t[0]):
-                continue
-            cut = int(np.flatnonzero(t[0] != t[0][-1])[-1]) + 1 if t[0][0] != t[0][-1] else 0
-            held = [x[cut:] for x in t]  # the last bucket may go on
-            if cut:
-                yield found([x[:cut] for x in t])
-        if held is not None and len(held[0]):
-            yield found(held)
+        for key, fp, rep in whole_buckets(batches):
+            u, v = bucket_links(key, fp.view(np.uint64), rep)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    def found(t):
-        u, v = bucket_links(t[0], t[1].view(np.uint64), t[2])
-        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
-
-    # a key has its rows together: distinct fingerprints of one bucket, at most `heavy` or what shares 43 bits
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
+    return buckets(nodes, heavy).repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -164,9 +139,10 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 
 def one_each(docs: DataFrame) -> DataFrame:
-    """Of each group of near copies the row with the smallest doc_id; rows without doc_id stay.
+    """Of each group of near copies by words (5-word shingles, Jaccard >= 0.8) one row, with the columns it came with.
+
+    It is the row with the smallest doc_id; where that id has several texts in one group, the first by their hashes. A group
+    in which no row has an id keeps the first by its hashes. Equal rows are copies, of which one stays."""
+    from tidings.llm.near_texts import kept_rows
 
-    Rows that share a doc_id are one document, of which one row stays."""
-    found = near_copies(docs.select("doc_id", "text")).filter("doc_id = component_id").select(F.col("doc_id").alias("keep")).distinct()
-    named = docs.join(found, docs["doc_id"] == found["keep"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    return kept_rows(docs)
