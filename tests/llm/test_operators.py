@@ -312,24 +312,59 @@ def brute_targets(sizes: dict):
         capped |= {s: 2.0 * sizes[s] for s in over}
 
 
-def test_mix_meets_its_targets(docs, odd, none):
-    for frame in (docs, odd):
+def brute_multiplier(sizes, target, cap=2.0):
+    z = np.array([x for x in sizes if x], float)
+    mean = sum(sizes) / len(sizes)
+    lo, hi = -60.0, 60.0
+    for _ in range(200):
+        lam = (lo + hi) / 2
+        lo, hi = (lam, hi) if (z * np.minimum(cap, np.exp(np.minimum(50, lam * z / mean)))).sum() < target else (lo, lam)
+    return lam, mean
+
+
+def test_mix_meets_its_targets(spark, docs, odd, none):
+    for frame in (docs, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), odd):
         rows = mixing.mixed(frame).collect()
         assert len(rows) == frame.count()
-        sizes, taken, longest = Counter(), Counter(), Counter()
+        own = {}
         for r in rows:
-            sizes[r["source"]] += r["size"]
-            taken[r["source"]] += r["copies"] * r["size"]
-            longest[r["source"]] = max(longest[r["source"]], r["size"])
+            own.setdefault(r["source"], []).append(r)
             assert 0 <= r["copies"] <= 2
+        sizes = {s: sum(r["size"] for r in rs) for s, rs in own.items()}
         goal = brute_targets(sizes)
-        for r in rows:
-            assert r["source_size"] == sizes[r["source"]] and abs(r["target"] - goal[r["source"]]) <= 1e-6 * max(1.0, goal[r["source"]])
-        for s in sizes:
-            assert abs(taken[s] - goal[s]) <= longest[s] + 1
+        for s, rs in own.items():
+            for r in rs:
+                assert r["source_size"] == sizes[s] and abs(r["target"] - goal[s]) <= 1e-6 * max(1.0, goal[s])
+            lam, mean = brute_multiplier([r["size"] for r in rs], goal[s])
+            if 0 < goal[s] < 2 * sizes[s]:
+                assert all(abs(r["rate"] - (min(2, np.exp(lam * r["size"] / mean)) if r["size"] else 0)) < 1e-3 for r in rs)
+            miss = abs(sum(r["copies"] * r["size"] for r in rs) - goal[s])
+            free = [r["size"] for r in rs if r["rate"] % 1]
+            assert miss <= max(0.01 * goal[s], min(free, default=0) / 2, 1)
     assert mixing.mixed(none).count() == 0
 
 
+def test_gaps_close_by_few_documents():
+    size = np.array([3, 10, 90, 600])
+    for gap in (0.4, 7.0, 95.0, -95.0, 512.0, -3000.0, 1e6):
+        up, down = np.array([2, 3, 1, 2]), np.array([1, 0, 4, 1])
+        add, cut = mixing.turns(size, up, down, gap)
+        assert (0 <= add).all() and (add <= up).all() and (0 <= cut).all() and (cut <= down).all()
+        left = gap - (size * (add - cut)).sum()
+        nets = np.stack(np.meshgrid(*[np.arange(-d, u + 1) for u, d in zip(up, down)]), axis=-1).reshape(-1, 4)
+        assert abs(left) <= np.abs(gap - nets @ size).min() + 3, (gap, left)
+
+
+def test_mix_without_ids_and_with_repeated_rows(spark):
+    rows = [(None, f"{k} " * (k % 40 + 1), f"s{k % 3}") for k in range(300)] + [(7, "one two three", "s0")] * 9 + [(7, "one two", "s0")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter()
+    for r in mixing.mixed(frame).collect():
+        want[r["doc_id"], r["size"], r["source"]] += r["copies"]
+    got = Counter((r["doc_id"], len(r["text"].split()), r["source"]) for r in mixing.mix(frame).collect())
+    assert got == Counter({k: v for k, v in want.items() if v}) and max(Counter((r["text"], r["source"]) for r in mixing.mix(frame).collect() if r["doc_id"] is None).values()) <= 2
+
+
 def test_mix_repeats_rows_and_reruns_agree(docs):
     once = Counter(r["doc_id"] for r in mixing.mix(docs).collect())
     again = {r["doc_id"]: r["copies"] for r in mixing.mixed(docs).collect()}
