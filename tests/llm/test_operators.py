@@ -417,8 +417,9 @@ def test_passages_equal_brute_force(spark, docs, odd, none):
         if d % 7 == 2:
             w += ["same"] * 130
         texts.append((d, " ".join(w)))
-    got = passages.stripped(spark.createDataFrame(texts, "doc_id long, text string"))
-    assert Counter(map(tuple, got.collect())) == brute_strip(texts)
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    for heavy in (passages.HEAVY_WORDS, 300, 0):  # keys stay whole, some are dealt again, and all are dealt down to windows
+        assert Counter(map(tuple, passages.stripped(frame, heavy=heavy).collect())) == brute_strip(texts)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert Counter(map(tuple, passages.stripped(docs).collect())) == brute_strip(rows)
     known = [(d, t) for d, t, *_ in ODD if d is not None]
@@ -426,6 +427,14 @@ def test_passages_equal_brute_force(spark, docs, odd, none):
     assert passages.stripped(odd).count() == len(ODD) and passages.stripped(none).count() == 0
 
 
+def test_passages_of_repeated_ids(spark):
+    """Rows that share an id keep their own words; a later id loses what stands in any of them."""
+    a, b = (" ".join(f"{x}{i}" for i in range(70)) for x in "ab")
+    rows = [(1, a), (1, b), (1, a), (2, "x " + b), (3, a + " y"), (3, "z " + b), (None, a)]
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in passages.stripped(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == Counter({(1, 70, 0): 3, (2, 71, 70): 1, (3, 71, 70): 2, (None, 70, 0): 1})
+
+
 def test_fm_index_counts_patterns():
     rng = np.random.default_rng(4)
     for _ in range(20):
