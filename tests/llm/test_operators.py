@@ -469,6 +469,21 @@ def test_quality_rules_equal_brute_force(docs, odd, none):
     assert quality_rules.judged(none).count() == 0
 
 
+def test_cascade_stops_at_the_first_rejection(spark, odd):
+    boom = quality_rules.Rule("boom", lambda t, w, s: F.raise_error(F.lit("a later rule ran")).cast("boolean"))
+    all_, no = (quality_rules.Rule(str(x), lambda t, w, s, x=x: F.lit(x)) for x in (True, False))
+    run = lambda *rules: odd.select(quality_rules.verdict(rules, F.col("text")).alias("v")).collect()
+    assert {r["v"] for r in run(no, all_, boom)} == {"True"}
+    with pytest.raises(Exception, match="a later rule ran"):
+        run(no, boom)
+
+
+def test_rules_stand_in_the_order_of_rejections_per_cost(docs):
+    nothing = quality_rules.Rule("nothing", lambda t, w, s: F.lit(False))
+    order = quality_rules.measured_order(docs, (nothing, *quality_rules.BASE, *quality_rules.MORE))
+    assert order[-1].name != "short" and order[0].name != "nothing" and len(order) == 12
+
+
 # --- classifiers -----------------------------------------------------------------------------
 
 

@@ -1,12 +1,17 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Rules are Boolean columns over a few statistics of the text. On a bounded sample each rule's cost (seconds of a job
-that evaluates only that rule) and selectivity (share of rows it rejects) are measured; the rules then run in the
-order of rejections per cost inside one CASE expression, so that a row stops at the first rule that rejects it. The
-order changes the work, never the verdict, which is the conjunction of all rules.
+Rules are Boolean columns over the text, its words and statistics, each of which is computed when a rule first asks for it.
+On a bounded sample each rule's selectivity (share of rows it rejects) and cost (seconds of a job that evaluates that
+rule alone, less those of a job that evaluates none) are estimated; the rules then run in the order of rejections per cost
+inside one CASE expression, so that a row stops at the first rule that rejects it and never computes what later rules
+need. The order changes the work, never the verdict, which is the conjunction of all rules.
+
+The query's contract wants the base statistics of every row, so judged() computes those for all and lets rows that no base
+rule rejects enter the cascade; filtered() puts all rules into it.
 
 Nulls and empty texts have no words and all-zero statistics; the first base rule rejects them. Repeated rows are each
-judged on their own. Columns other than doc_id and text are ignored. Very long texts cost O(n log n).
+judged on their own. Columns other than doc_id and text are ignored whatever their names. Very long texts cost O(n log n). An empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,8 +24,9 @@ from pyspark.sql import functions as F
 
 from tidings.llm.common import GAP
 
-#: Rows of the sample that only sets the order, and the longest text in it: at most 50 MB come to the driver.
-SAMPLE_ROWS, SAMPLE_CHARS = 500, 100_000
+#: Rows of the sample that only sets the order, drawn by a hash of the text from the partitions that it takes to find them, and
+#: the longest text in it: at most 50 MB come to the driver.
+SAMPLE_ROWS, SAMPLE_CHARS, SAMPLE_SHARE = 500, 100_000, 8
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -63,76 +69,110 @@ def repeated_words(w: Column, span: int = 5) -> Column:
 def statistics(text: Column, w: Column) -> dict[str, Column]:
     """The base statistics of a text and its words, by name. Each is a long; all but n_symbols are 0 without words."""
     t = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
     return {
         "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.array_join(w, "")).cast("long"),
         "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "n_dup_lines": let(lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         "n_repeat_words": repeated_words(w),
     }
 
 
+def lines(text: Column) -> Column:
+    """The lines of a text that have a word."""
+    return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
+
+
+def letters(text: Column, kind: str) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(kind))
+
+
 @dataclass(frozen=True)
 class Rule:
-    """A row is rejected where test(stats) is true; needs: names of the statistics that it reads."""
+    """A row is rejected where test(text, words, statistics) is true."""
 
     name: str
-    needs: tuple[str, ...]
     test: object
 
 
-#: Shares and lengths beyond which a text is no prose. Base rules are fixed by the query's contract.
+def line_share(text: Column, pattern: str, parts: int, of: int) -> Column:
+    """Whether more than parts / of of the lines match."""
+    return let(lines(text), lambda x: F.size(F.filter(x, lambda y: y.rlike(pattern))) * of > F.size(x) * parts)
+
+
+#: Base rules are fixed by the query's contract.
 BASE = (
-    Rule("short", ("n_words",), lambda s: s["n_words"] < 10),
-    Rule("repeats", ("n_words", "n_repeat_words"), lambda s: s["n_repeat_words"] * 100 > s["n_words"] * 20),
+    Rule("short", lambda t, w, s: s["n_words"] < 10),
+    Rule("repeats", lambda t, w, s: s["n_repeat_words"] * 100 > s["n_words"] * 20),
 )
+#: Shares beyond which a text is no prose. The first three read base statistics, the others what only they need.
 MORE = (
-    Rule("symbols", ("n_words", "n_symbols"), lambda s: s["n_symbols"] * 10 > s["n_words"]),
-    Rule("word_length", ("n_words", "word_chars"), lambda s: (s["word_chars"] < s["n_words"] * 2) | (s["word_chars"] > s["n_words"] * 15)),
-    Rule("dup_lines", ("n_words", "n_dup_lines"), lambda s: s["n_dup_lines"] * 10 > s["n_words"]),
+    Rule("symbols", lambda t, w, s: s["n_symbols"] * 10 > s["n_words"]),
+    Rule("word_length", lambda t, w, s: (s["word_chars"] < s["n_words"] * 2) | (s["word_chars"] > s["n_words"] * 15)),
+    Rule("dup_lines", lambda t, w, s: s["n_dup_lines"] * 10 > s["n_words"]),
+    Rule("no_letters", lambda t, w, s: F.size(F.filter(w, lambda x: ~x.rlike(r"\p{L}"))) * 2 > s["n_words"]),
+    Rule("few_words", lambda t, w, s: F.size(F.array_distinct(w)) * 5 < F.least(s["n_words"], F.lit(200))),
+    Rule("upper_case", lambda t, w, s: letters(t, "[A-Z]") * 2 > letters(t, "[A-Za-z]")),
+    Rule("digits", lambda t, w, s: letters(t, "[0-9]") * 2 > F.length(F.coalesce(t, F.lit("")))),
+    Rule("bullets", lambda t, w, s: line_share(t, r"^[\x20\x09-\x0D]*[-*\u2022]", 9, 10)),
+    Rule("ellipses", lambda t, w, s: line_share(t, r"(\.\.\.|\u2026)[\x20\x09-\x0D]*$", 3, 10)),
 )
 
 
 def measured_order(docs: DataFrame, rules, sample_rows: int = SAMPLE_ROWS, text: str = "text") -> list[Rule]:
     """The rules by rejections per second, most first, as measured on sample_rows rows (a documented bound)."""
+    t = docs.select(F.col(text).cast("string").alias("text"))
     # as the last step a limit reads no more partitions than it needs
-    rows = docs.select(F.col(text).cast("string").alias("text")).filter(F.length("text") <= SAMPLE_CHARS).limit(sample_rows).collect()
+    rows = t.filter((F.pmod(F.xxhash64("text"), F.lit(SAMPLE_SHARE)) == 0) & (F.length("text") <= SAMPLE_CHARS)).limit(sample_rows).collect()
     sample = docs.sparkSession.createDataFrame(rows, "text string")
-    scored = []
-    for rule in rules:
+
+    def run(*columns) -> tuple[float, list]:
         began = time.perf_counter()
-        rejected = sample.select(F.count_if(verdict([rule], F.col("text")).isNotNull()).alias("n")).first()["n"]
-        scored.append((rejected / max(1, len(rows)) / max(1e-6, time.perf_counter() - began), rule))
+        got = sample.agg(*columns).first()
+        return time.perf_counter() - began, got
+
+    rejects = [F.count_if(verdict([r], F.col("text")).isNotNull()) for r in rules]
+    _, rejected = run(*rejects)
+    none = min(run(F.count_if(F.length("text") < 0))[0] for _ in range(2))
+    scored = [(n / max(1e-3, run(one)[0] - none), r) for n, one, r in zip(rejected, rejects, rules)]
     return [r for _, r in sorted(scored, key=lambda x: (-x[0], x[1].name))]
 
 
-def cascade(rules, stats: dict[str, Column]) -> Column:
+def cascade(rules, text: Column, w: Column, stats: dict[str, Column]) -> Column:
     """The name of the first rule that rejects the row, null if none does; later rules are not evaluated."""
     out = None
     for rule in rules:
-        out = F.when(rule.test(stats), rule.name) if out is None else out.when(rule.test(stats), rule.name)
+        test = rule.test(text, w, stats)
+        out = F.when(test, rule.name) if out is None else out.when(test, rule.name)
     return out
 
 
 def verdict(rules, text: Column) -> Column:
-    """The cascade over a text: words are split once, other statistics are computed when a rule first asks."""
-    return let(words(text), lambda w: cascade(rules, statistics(text, w)))
+    """The cascade over a text: words are split once, all else is computed when a rule first asks."""
+    return let(words(text), lambda w: cascade(rules, text, w, statistics(text, w)))
 
 
 def filtered(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that no rule rejects, with the columns they came with."""
-    return docs.filter(verdict(measured_order(docs, (*BASE, *MORE), sample_rows), F.col("text")).isNull())
+    return docs.filter(verdict(measured_order(docs, (*BASE, *MORE), sample_rows), F.col("text").cast("string")).isNull())
 
 
 def judged(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Each document's statistics, base verdict and verdict."""
-    order = measured_order(docs, MORE, sample_rows)
-    stats = let(words(F.col("text")), lambda w: F.struct(*[c.alias(k) for k, c in statistics(F.col("text"), w).items()]))
-    out = docs.select("doc_id", stats.alias("s")).select("doc_id", "s.*")
-    s = {k: F.col(k) for k in out.columns[1:]}
-    out = out.withColumn("base_failed", cascade(BASE, s).isNotNull())
-    return out.withColumn("kept", ~F.col("base_failed") & cascade(order, s).isNull())
+    order, t = measured_order(docs, MORE, sample_rows), F.col("text").cast("string")
+
+    def row(w: Column) -> Column:
+        stats = statistics(t, w)
+
+        def verdicts(s: Column) -> Column:
+            known = {k: s[k] for k in stats}
+            failed = cascade(BASE, t, w, known).isNotNull()
+            kept = F.when(failed, False).otherwise(cascade(order, t, w, known).isNull())
+            return F.struct(*[known[k].alias(k) for k in stats], failed.alias("base_failed"), kept.alias("kept"))
+
+        return let(F.struct(*[c.alias(k) for k, c in stats.items()]), verdicts)
+
+    return docs.select("doc_id", let(words(t), row).alias("s")).select("doc_id", "s.*")
 
 
 ORACLE = r"""
@@ -145,10 +185,17 @@ rep as (select r, count(distinct i + k) as n from twice, unnest(range(0, 5)) as
 s as (select t.doc_id, len(w)::bigint as n_words,
              length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
              (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
-             (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words
+             (len(l) - len(list_distinct(l)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words,
+             len(list_filter(w, lambda x: not regexp_matches(x, '\p{L}'))) * 2 > len(w)
+             or len(list_distinct(w)) * 5 < least(len(w), 200)
+             or length(regexp_replace(text, '[^A-Z]', '', 'g')) * 2 > length(regexp_replace(text, '[^A-Za-z]', '', 'g'))
+             or length(regexp_replace(text, '[^0-9]', '', 'g')) * 2 > length(text)
+             or len(list_filter(l, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*•]'))) * 10 > len(l) * 9
+             or len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) * 10 > len(l) * 3 as odd
       from t join w using (r) left join rep using (r)),
 b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from s)
-select *, not base_failed and not (n_symbols * 10 > n_words or word_chars < n_words * 2 or word_chars > n_words * 15
-       or n_dup_lines * 10 > n_words) as kept
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       not base_failed and not (n_symbols * 10 > n_words or word_chars < n_words * 2 or word_chars > n_words * 15
+       or n_dup_lines * 10 > n_words or odd) as kept
 from b
 """
