@@ -71,6 +71,45 @@ def test_decontamination_equals_brute_force(spark, docs):
     assert kept.columns == docs.columns and kept.count() == docs.count() - len({d for d, _ in want})
 
 
+def test_decontamination_of_odd_tables(spark, odd, none):
+    clash = {k: F.lit("x") for k in ("first", "words", "seeds", "ka", "ia", "item", "item_id", "bad", "shift")}
+    odd = odd.withColumns(clash)
+    items = spark.createDataFrame([(None, LONG[5000:9000]), (1, LONG[5000:9000]), (2, "without an id but with"), (3, "one"), (4, None), (5, "")], "item_id long, text string").withColumns({"doc_id": F.lit(1), "h": F.lit(2)})
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(odd, items).collect())
+    assert got == Counter({(6, None): 1, (6, 1): 1, (7, None): 1, (7, 1): 1, (None, 2): 1})
+    assert all(r["n_equal"] >= r["item_words"] - 2 for r in decontaminate.overlaps(odd, items).filter("item_id = 1").collect())  # the slice cuts two words
+    kept = decontaminate.clean(odd, items)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 5, 5, 8, 9, 10]
+    assert decontaminate.overlaps(none, items).count() == 0 and decontaminate.overlaps(odd, items.limit(0)).count() == 0
+    assert decontaminate.clean(odd, items.limit(0)).count() == len(ODD)
+
+
+def test_whole_copies_of_long_items_are_counted_whole(spark):
+    item = [f"q{i}" for i in range(9000)]
+    docs = spark.createDataFrame([(1, " ".join(["pre"] * 300 + item + ["post"] * 300))], "doc_id long, text string")
+    r = decontaminate.overlaps(docs, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert [(x["n_equal"], x["doc_start"], x["run_words"]) for x in r] == [(9000, 300, 9000)]
+
+
+def test_decontamination_finds_substituted_passages(spark):
+    """Recall against brute-force alignment: passages of 16 to 60 words with every eighth word replaced, at random places."""
+    rng = np.random.default_rng(8)
+    items = [[f"i{x}" for x in rng.integers(0, 3000, rng.integers(16, 60))] for _ in range(40)]
+    rows, want = [], set()
+    for d in range(120):
+        w = [f"b{x}" for x in rng.integers(0, 3000, 200)]
+        if d % 2:
+            k = int(rng.integers(len(items)))
+            part = [x if rng.random() > 0.08 else "zzz" for x in items[k]]
+            w[50:50] = part
+            if sum(a == b for a, b in zip(part, items[k])) >= 0.8 * len(part):
+                want.add((d, k))
+        rows.append((d, " ".join(w)))
+    got = decontaminate.overlaps(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, " ".join(i)) for k, i in enumerate(items)], "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in got.collect()}
+    assert len(want & got) >= 0.97 * len(want) and all(d % 2 for d, _ in got)
+
+
 # --- language --------------------------------------------------------------------------------
 
 
@@ -295,6 +334,22 @@ def test_token_rows_equal_the_library(odd, none, docs):
     assert token_files.token_rows(none).count() == 0
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """Where a splitting pattern doesn't break at spaces, chunks of a text would get other ids."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    lib = Tokenizer(models.BPE({"a": 0, " ": 1, "b": 2, "a ": 3, "a b": 4, "é": 5, "<unk>": 6}, [("a", " "), ("a ", "b")], unk_token="<unk>"))
+    lib.save(str(tmp_path / "plain.json"))
+    lib.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(), pre_tokenizers.ByteLevel()])
+    lib.save(str(tmp_path / "digits.json"))
+    for name in ("plain", "digits"):
+        enc = token_files.Encoder(str(tmp_path / f"{name}.json"))
+        assert enc.whole
+        want = [enc.lib.encode(t, add_special_tokens=False).ids + [2] for t in ("a b a", "", "a b")]
+        assert [x.tolist() for x in enc.encode(["a b a", "", "a b"])] == want
+    assert not token_files.encoder(token_files.default_tokenizer()).whole
+
+
 # --- mixing ----------------------------------------------------------------------------------
 
 
@@ -381,6 +436,14 @@ def test_line_dedup_equals_brute_force(spark):
     assert lines.without_boilerplate(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_line_dedup_of_odd_pages(spark):
+    """Small hosts, clashing columns, nulls and a very long page."""
+    rows = [(1, "https://a.example/1", "<p>same</p><p>one</p>"), (2, "https://a.example/2", "<p>same</p><p>two</p>"), (3, "https://alone.example/", "<p>only</p>"), (None, "no url", "<p>x</p>" * 20_000), (5, None, ""), (5, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({k: F.lit("y") for k in ("host", "lines", "drop", "kept", "n", "h", "pages")})
+    got = Counter((r["page_id"], r["n_lines"], r["n_dropped"], r["text"][:5]) for r in lines.without_boilerplate(pages).collect())
+    assert got == Counter({(1, 2, 1, "one"): 1, (2, 2, 1, "two"): 1, (3, 1, 0, "only"): 1, (None, 20_000, 0, "x\nx\nx"): 1, (5, 0, 0, ""): 2})
+
+
 # --- passages --------------------------------------------------------------------------------
 
 
@@ -501,6 +564,40 @@ def test_quality_scores_on_held_out_documents(spark):
     assert r >= 0.95
 
 
+def test_toxic_documents_are_found_on_held_out_documents(spark):
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    r = toxicity.scored(d, l).join(l, "doc_id").filter("held_out").groupBy("toxic").agg(F.avg("predicted").alias("p")).collect()
+    share = {x["toxic"]: x["p"] for x in r}
+    assert share[1] >= 0.9 and share[0] <= 0.01
+
+
+def test_quality_scores_equal_densities(docs, labels):
+    """The same model by covariance matrices, their inverses and determinants."""
+    rows = quality_model.labelled_sample(docs, labels, "quality", quality_model.held_out(), 10_000).collect()
+    x, y = np.array([quality_model.features(r["text"].encode()) for r in rows]), np.array([r["y"] for r in rows])
+    z = (x - x.mean(axis=0)) / np.maximum(x.std(axis=0), 1e-3)
+    model, logit = quality_model.fit(x, y.astype(float)), np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    for c, sign in ((0, -1), (1, 1)):
+        own = z[y == c]
+        cov = np.einsum("ni,nj->ij", own - own.mean(axis=0), own - own.mean(axis=0)) / len(own)
+        cov = 0.95 * (0.8 * cov + 0.2 * np.einsum("ni,nj->ij", z, z) / len(z)) + 0.05 * np.eye(z.shape[1])
+        gap = z - own.mean(axis=0)
+        logit += sign * (-0.5 * np.einsum("ni,ij,nj->n", gap, np.linalg.inv(cov), gap) - 0.5 * np.linalg.slogdet(cov)[1])
+    assert np.allclose(quality_model.score(model, x), 1 / (1 + np.exp(-np.clip(logit, -50, 50))), atol=1e-6)
+
+
+def test_labelled_sample_takes_documents_at_hand(spark, docs):
+    """Labels far beyond the documents, and a thousand rows of one id on both sides."""
+    ids = [r["doc_id"] for r in docs.select("doc_id").distinct().collect()]
+    rows = [(10**9 + i, i % 2) for i in range(50_000)] + [(i, i % 2) for i in ids] + [(ids[0], 1)] * 1000 + [(None, 1), (ids[1], None)]
+    labels = spark.createDataFrame(rows, "doc_id long, quality int")
+    many = docs.select("doc_id", "text").union(docs.filter(F.col("doc_id") == ids[0]).select("doc_id", "text").crossJoin(spark.range(1000)).select("doc_id", "text"))
+    got = quality_model.labelled_sample(many, labels, "quality", F.lit(False), 100_000).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(ids) and [r["y"] for r in got if r["doc_id"] == ids[0]] == [1]
+    few = quality_model.labelled_sample(many, labels, "quality", F.lit(False), 30).collect()
+    assert len(few) == 30 and few == quality_model.labelled_sample(many, labels, "quality", F.lit(False), 30).collect()
+
+
 def test_levenshtein_lexicon_equals_brute_force():
     def distance(a, b):
         row = list(range(len(b) + 1))

@@ -28,6 +28,23 @@ def test_stages_on_an_empty_table(spark):
         assert docs.count() == 0
 
 
+def test_stages_on_odd_tables(spark):
+    """Null ids and texts, repeated rows and ids, clashing names: each stage keeps the columns and its defined rows."""
+    from pyspark.sql import functions as F
+
+    good = [f"Sentence number {i} speaks of the {w} that came down to the old harbour on a quiet morning in {i + 3} ways" for i, w in enumerate("river lantern mountain violin".split())]
+    rows = [(1, good[0], "s"), (1, good[0], "s"), (1, good[1], "s"), (None, good[2], None), (None, good[2], None), (3, good[3], "t"), (4, None, "t"), (5, "", "t"), (6, "x " * 500, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({k: F.lit(k) for k in ("ka", "keep_id", "mixed_id", "s", "v", "size", "label", "rep", "node", "bad", "copies")})
+    got = {}
+    for name, stage in corpus_pipeline.STAGES:
+        got[name] = docs = written(stage(spark, docs, SF), f"odd-{name}")
+        if name != "tokens":
+            assert len(docs.columns) == 14 and docs.filter("ka <> 'ka' or copies <> 'copies'").count() == 0
+    ids = {k: sorted((r["doc_id"] or -1) for r in v.collect()) for k, v in got.items()}
+    assert ids["quality"] == [-1, -1, 1, 1, 1, 3] and ids["near_dedup"] == [-1, 1, 1, 3] and ids["no_benchmark"] == [-1, 1, 1, 3]
+    assert set(ids["mix"]) == {-1, 1, 3} and ids["tokens"] == ids["mix"]
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_equals_its_sql(spark, name):
     compared(spark, name, queries.queries()[name], queries.oracle_sql()[name], SF)

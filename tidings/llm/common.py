@@ -73,6 +73,11 @@ def dropped_since(spark: SparkSession, before: list[str], keep: DataFrame) -> No
             deleted(spark, path)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """docs with all columns in one struct ``row``, so that an operator's own columns can't clash with them; ``row.*`` unpacks."""
+    return docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+
+
 def text_keys(text: Column, names: tuple[str, str] = ("ka", "kb")) -> list[Column]:
     """Two hashes of a text (96 bits together; null counts as empty): stand for the text where a row's id is null or repeated."""
     t = F.coalesce(text.cast("string"), F.lit(""))

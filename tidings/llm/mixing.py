@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidings.llm.common import dropped, text_keys, word_count, written
+from tidings.llm.common import dropped, packed, text_keys, word_count, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -206,10 +206,15 @@ def turned(free: DataFrame) -> DataFrame:
     return named.groupBy("is_null", "source").applyInPandas(one, "s string, z long, d int, quota long")
 
 
+def named(text: Column, source: Column) -> Column:
+    """Text and source in one, which stands for a row whose id is null or repeated."""
+    return F.concat_ws("\x1f", F.coalesce(text, F.lit("")), F.coalesce(source.cast("string"), F.lit("")), source.isNull().cast("string"))
+
+
 def mixed(docs: DataFrame, share: float = SHARE, weights=WEIGHTS, cap: int = CAP) -> DataFrame:
     """doc_id, ka, kb (keys of text and source), source, size, source_size, target, rate, copies of each document (see the module)."""
-    named = F.concat_ws("\x1f", F.coalesce("text", F.lit("")), F.coalesce("source", F.lit("")), F.col("source").isNull().cast("string"))
-    sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *text_keys(named)), "mix-sizes")
+    keys = text_keys(named(F.col("text"), F.col("source")))
+    sized = written(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *keys), "mix-sizes")
     salts = max(SALTS, sized.count() // PER_SALT)
     sized = sized.withColumn("salt", F.pmod(F.xxhash64("doc_id", "ka"), F.lit(salts)).cast("int"))
     counts = written(sized.groupBy("source", "size", "salt").agg(F.count("*").alias("n")), "mix-counts")
@@ -258,14 +263,12 @@ def mix(docs: DataFrame) -> DataFrame:
     """The documents, each as often as the mix takes it, with the columns they came with.
 
     Rows equal in doc_id, text and source are one cell, whose copies are dealt evenly; so a null doc_id gathers nothing."""
-    m = mixed(docs).groupBy(F.col("doc_id").alias("mixed_id"), F.col("ka").alias("mixed_a"), F.col("kb").alias("mixed_b")).agg(F.sum("copies").alias("mixed_copies"), F.count("*").alias("mixed_rows"))
+    m = mixed(docs).groupBy(F.col("doc_id").alias("id"), "ka", "kb").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
     m = written(m, "mix-rows")
-    text, source = docs["text"], docs["source"].cast("string")
-    named = F.concat_ws("\x1f", F.coalesce(text, F.lit("")), F.coalesce(source, F.lit("")), source.isNull().cast("string"))
-    a, b = text_keys(named)
-    out = docs.join(m, docs["doc_id"].eqNullSafe(m["mixed_id"]) & (a == m["mixed_a"]) & (b == m["mixed_b"]))
-    single = out.filter("mixed_rows = 1").withColumn("mixed_times", F.col("mixed_copies"))
-    nth = F.row_number().over(Window.partitionBy("mixed_id", "mixed_a", "mixed_b").orderBy(F.lit(1)))
-    several = out.filter("mixed_rows > 1").withColumn("mixed_times", F.floor(F.col("mixed_copies") / F.col("mixed_rows")) + (nth <= F.col("mixed_copies") % F.col("mixed_rows")).cast("int"))
-    times = F.explode(F.array_repeat(F.lit(1), F.col("mixed_times").cast("int"))).alias("mixed_copy")
-    return single.unionByName(several).select(*[F.col(f"`{c}`") for c in docs.columns], times).drop("mixed_copy")
+    d = packed(docs)
+    a, b = text_keys(named(F.col("row.text"), F.col("row.source")), ("a", "b"))
+    out = d.select("row", a, b).join(m, F.expr("row.doc_id <=> id and a = ka and b = kb"))
+    nth = F.row_number().over(Window.partitionBy("id", "ka", "kb").orderBy(F.lit(1)))
+    several = out.filter("rows > 1").withColumn("copies", F.floor(F.col("copies") / F.col("rows")) + (nth <= F.col("copies") % F.col("rows")).cast("int"))
+    both = out.filter("rows = 1").select("row", "copies").unionByName(several.select("row", "copies"))
+    return both.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -4,8 +4,10 @@ Each class has a mean and a covariance, shrunk towards the covariance of all exa
 Its Cholesky factor is computed once on the driver; tasks score a batch of documents with two triangular products:
 score = sigmoid(difference of the Mahalanobis log-densities + log prior ratio).
 
-The model is fitted on at most TRAIN_ROWS labelled rows (a documented bound). Every document is scored, null and empty
-texts as texts without words. Without examples of both classes all scores are the share of label 1 (0.5 if none).
+The model is fitted on at most TRAIN_ROWS labelled rows (a documented bound), one for each labelled id; an id labelled
+both ways counts by its majority, 1 if even. Every document is scored, whole and on its own: null and empty texts as texts
+without words, repeated rows and rows without doc_id like any other. Other columns are ignored whatever their names. Without
+examples of both classes all scores are the share of label 1 (0.5 if none). An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -15,6 +15,7 @@ first; repeated rows each stand there. An empty table makes no files and no rows
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -128,11 +129,22 @@ class TokenFile:
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
+def breaks_at_spaces(tokenizer: dict) -> bool:
+    """Whether a tokenizer (its JSON) is byte-level BPE with the usual splitting pattern, no normalizer, and no added token
+    that has white space in it or takes some beside it."""
+    model, pre = tokenizer.get("model") or {}, tokenizer.get("pre_tokenizer") or {}
+    parts = pre.get("pretokenizers", [pre])
+    plain = len(parts) == 1 and parts[0].get("type") == "ByteLevel" and parts[0].get("use_regex", True) and not parts[0].get("add_prefix_space")
+    added = [a for a in tokenizer.get("added_tokens") or () if re.search(r"\s", a["content"]) or a.get("lstrip") or a.get("rstrip")]
+    return bool(model.get("type") == "BPE" and plain and not tokenizer.get("normalizer") and not added and not model.get("dropout"))
+
+
 class Encoder:
     """Whole texts to ids with the tokenizers library, each distinct chunk of a text once.
 
-    The tokenizer is byte-level BPE whose splitting pattern always breaks before a space that stands before something
-    else than white space, so a text may be cut there and its chunks encoded on their own with the same result."""
+    A byte-level BPE whose splitting pattern always breaks before a space that stands before something else than white
+    space lets a text be cut there: its chunks encoded on their own give the same ids. For any other tokenizer
+    (see `breaks_at_spaces`) whole texts go to the library."""
 
     LIMIT, GLUED = 700_000, 32
     CUT = re.compile(r" (?=\S)")
@@ -143,6 +155,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        self.whole = not breaks_at_spaces(json.loads(self.lib.to_str()))
         vocab = self.lib.get_vocab(with_added_tokens=True)
         self.bits = max(1, int(max(vocab.values())).bit_length())
         self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -167,6 +180,8 @@ class Encoder:
                 self.known[c] = np.array(one.ids, "<u4").tobytes()
 
     def encode(self, group: list[str]) -> list[np.ndarray]:
+        if self.whole:
+            return [np.array([*e.ids, END], "<u4") for e in self.lib.encode_batch(group, add_special_tokens=False)]
         if len(self.known) > self.LIMIT:
             self.known.clear()
         cut = [t.split(" ") if self.UNSAFE.search(t) is None else self.CUT.split(t) for t in group]
@@ -218,10 +233,23 @@ def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     ordered = docs.select("doc_id", F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     files = written(ordered.mapInArrow(run, "part int, path string, n_docs long, n_ids long"), "token-manifest")
+    strays(folder, files)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
     return files.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def strays(folder: str, files: DataFrame) -> None:
+    """Deletes files that the manifest does not name: what failed or repeated attempts of a task left behind. The driver sees a
+    name for each file, of which a task writes one."""
+    spark = files.sparkSession
+    named = {r["path"].rsplit("/", 1)[-1] for r in files.select("path").collect()}
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in where.listStatus(at) if where.exists(at) else ():
+        if status.getPath().getName() not in named:
+            where.delete(status.getPath(), True)
+
+
 #: Stands for a null doc_id in a file.
 NULL = -(1 << 63)
 

@@ -1,14 +1,16 @@
-"""Toxicity: Levenshtein automata over a lexicon trie, and scores from the windows around the terms.
+"""Toxicity: Levenshtein automata intersected with a lexicon trie, and scores from the windows around the terms.
 
 A lexicon is learned from labelled documents: words whose odds of standing in a toxic document are high and which stand
-there mostly in different surroundings, so that what only copies of one document say is no term. Document words are run through
-the Levenshtein automaton of the lexicon's trie (one edit for terms of 4 letters and more): the
-automaton's state is a row of edit distances, and walking the trie with it prunes a branch when no distance in the row
-is within the bound. Each hit is looked at in a window of words: hits inside quotation marks count apart from others.
-A logistic model over these counts, fitted on the same bounded sample, gives the score.
-
-The sample has at most TRAIN_ROWS labelled rows and the lexicon at most TERMS terms (documented bounds). Every document is
-scored; null and empty texts have no hits. Without examples of both classes, all scores are the share of label 1.
+there mostly in different surroundings, so that what only copies of one document say is no term. For each document word its
+Levenshtein automaton (words within one edit; none for terms of under 4 letters) walks the lexicon's trie: a state is a pair of bit
+sets, the places in the word reached with no edit and with one; a branch of the trie ends where both are empty. Each hit is
+looked at in a window of words: hits inside quotation marks count apart from others. A logistic model over these counts,
+fitted on the same bounded sample, gives the score.
+
+The sample has at most TRAIN_ROWS labelled rows (a documented bound), one for each labelled id; the lexicon keeps every word that meets
+SURROUNDINGS, VARIED and ODDS in it. Ties of nearest terms go to the first in order. Every document is scored, whole and on its
+own, repeated rows and rows without doc_id like any other; null and empty texts have no hits. Other columns are ignored
+whatever their names. Without examples of both classes, all scores are the share of label 1 (0.5 without labels). An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import texts
+from tidings.llm.common import texts, written
 from tidings.llm.folds import fold, labelled_sample
 
 TRAIN_ROWS = 20_000
-TERMS = 2_000
-SURROUNDINGS = 4
+#: What makes a term: toxic documents that have it, its different surroundings there, their share of its uses, its log odds.
+SUPPORT, SURROUNDINGS = 2, 4
 VARIED = 0.4
 ODDS = 2.5
 WINDOW = 6
@@ -37,64 +39,95 @@ def normal(word: bytes) -> str:
     return word.decode("utf-8", "replace").lower().strip(EDGE)
 
 
+def places(bits: int):
+    """The numbers of the set bits."""
+    while bits:
+        low = bits & -bits
+        yield low.bit_length() - 1
+        bits ^= low
+
+
 class Lexicon:
-    """Terms as a trie; nearest(word) walks it with a Levenshtein automaton."""
+    """Terms as a trie; nearest(word) intersects it with the word's Levenshtein automaton."""
 
     def __init__(self, terms: list[str]):
+        self.terms = sorted(set(t for t in terms if t))
+        self.lengths = {len(t) for t in self.terms}
         self.trie: dict = {}
-        self.shorter = set()  # each term, whole and without one letter
-        for t in sorted(set(t for t in terms if t)):
+        for t in self.terms:
             node = self.trie
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = t
-            self.shorter.update([t], (t[:i] + t[i + 1 :] for i in range(len(t))))
 
     @staticmethod
     def bound(length: int) -> int:
         return 0 if length < 4 else 1
 
-    def possible(self, w: str) -> bool:
-        """False only if no term is within one edit: then no string is left of both when either loses a letter."""
-        return w in self.shorter or any(w[:i] + w[i + 1 :] in self.shorter for i in range(len(w)))
-
     def nearest(self, w: str) -> tuple[str, int] | None:
         """The term within its bound at the smallest distance (then the first in order), and the distance."""
-        if len(w) < 3 or not self.possible(w):
+        n = len(w)
+        if n < 3 or self.lengths.isdisjoint((n - 1, n, n + 1)):
             return None
-        best = None
-        row = list(range(len(w) + 1))
-        stack = [(self.trie, row)]
+        at: dict[str, int] = {}  # the places of each letter of the word, as bits
+        for i, c in enumerate(w):
+            at[c] = at.get(c, 0) | 1 << i
+        end, best = 1 << n, None
+        # bit i of `exact` / `edited`: i letters of the word are used up with no edit / with one at most
+        stack = [(self.trie, 1, 3)]
         while stack:
-            node, row = stack.pop()
-            for c, child in node.items():
-                if not c:
-                    d = row[-1]
-                    if d <= self.bound(len(child)) and (best is None or (d, child) < (best[1], best[0])):
-                        best = (child, d)
+            node, exact, edited = stack.pop()
+            term = node.get("") if edited & end else None
+            if term is not None:
+                found = (0 if exact & end else 1, term)
+                if found[0] <= self.bound(len(term)) and (best is None or found < best):
+                    best = found
+            # with the edit spent, only the letters that the word goes on with lead anywhere
+            for c in node if exact else {w[i] for i in places(edited & end - 1)}:
+                child = node.get(c) if c else None
+                if child is None:
                     continue
-                fresh = [row[0] + 1]
-                for i, x in enumerate(w):
-                    fresh.append(min(fresh[i] + 1, row[i + 1] + 1, row[i] + (x != c)))
-                if min(fresh) <= 1:
-                    stack.append((child, fresh))
-        return best
-
-
-def learned(sample: DataFrame, most: int = TERMS) -> list[str]:
-    """The lexicon of a bounded sample with columns text, y."""
-    n = sample.groupBy("y").count().collect()
-    n = {r["y"]: r["count"] for r in n}
+                here = at.get(c, 0)
+                now = (exact & here) << 1
+                # the letter matches, is extra, stands for another, or matches after the word's next one is left out
+                then = ((edited & here) << 1 | exact | exact << 1 | now << 1 | now) & (end << 1) - 1
+                if then:
+                    stack.append((child, now, then))
+        return best and (best[1], best[0])
+
+
+def learned(sample: DataFrame) -> list[str]:
+    """The lexicon of a bounded sample with columns text, y.
+
+    A word's surroundings are counted only if its share of toxic documents is at least e times that of others: a
+    first pass counts documents, so that the second, of (word, neighbours), sends few rows on."""
+    n = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
     if not n.get(0) or not n.get(1):
         return []
 
+    def documents(batches):
+        for b in batches:
+            seen = {0: Counter(), 1: Counter()}
+            for text, y in zip(texts(b), b.column(b.schema.get_field_index("y")).to_pylist()):
+                seen[y].update({x for x in map(normal, set(text.split())) if len(x) >= 3})
+            words = list(seen[1] | seen[0])
+            columns = [pa.array(words, pa.string()), *[pa.array([seen[y][w] for w in words], pa.int64()) for y in (1, 0)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["w", "bad", "good"])
+
+    def odds(bad, good):
+        return F.log((bad + 0.5) / (n[1] + 1.0)) - F.log((good + 0.5) / (n[0] + 1.0))
+
+    counts = sample.select("text", "y").mapInArrow(documents, "w string, bad long, good long").groupBy("w").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    likely = counts.filter((F.col("bad") >= SUPPORT) & (odds(F.col("bad"), F.col("good")) >= 1.0))
+    likely = frozenset(r["w"] for r in likely.select("w").collect())  # words of at most TRAIN_ROWS texts, each in SUPPORT of them or more
+
     def run(batches):
         for b in batches:
             seen = Counter()
             for text, y in zip(texts(b), b.column(b.schema.get_field_index("y")).to_pylist()):
                 w = [x for x in map(normal, text.split()) if x]
                 for k, x in enumerate(w):
-                    if len(x) >= 3:
+                    if x in likely:
                         seen[x, y, hash_of(w[k - 1] if k else "", w[k + 1] if k + 1 < len(w) else "")] += 1
             if seen:
                 columns = [*zip(*seen), list(seen.values())]
@@ -103,9 +136,8 @@ def learned(sample: DataFrame, most: int = TERMS) -> list[str]:
     found = sample.select("text", "y").mapInArrow(run, "w string, y int, around long, times long")
     around = found.groupBy("w", "y", "around").agg(F.sum("times").alias("times"))
     counts = around.groupBy("w").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"), F.sum(F.col("y") * F.col("times")).alias("times"))
-    odds = F.log((F.col("bad") + 0.5) / (n[1] + 1.0)) - F.log((F.col("good") + 0.5) / (n[0] + 1.0))
-    top = counts.withColumn("odds", odds).filter((F.col("bad") >= SURROUNDINGS) & (F.col("bad") >= VARIED * F.col("times")) & (F.col("odds") >= ODDS))
-    return [r["w"] for r in top.orderBy(F.desc("odds"), F.desc("bad"), "w").limit(most).collect()]
+    varied = (F.col("bad") >= SURROUNDINGS) & (F.col("bad") >= VARIED * F.col("times"))
+    return sorted(r["w"] for r in counts.filter(varied & (odds(F.col("bad"), F.col("good")) >= ODDS)).collect())
 
 
 def hash_of(a: str, b: str) -> int:
@@ -115,35 +147,42 @@ def hash_of(a: str, b: str) -> int:
 
 
 class Matcher(dict):
-    """raw word -> 0 without a term, 1 for a term, 2 for a misspelled one. A cache of what the automaton says."""
+    """raw word -> 0 without a term, else 2 * (number of the term, from 1) and 1 more if it is misspelled. A cache of what
+    the automaton says."""
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
         self.lexicon = lexicon
+        self.number = {t: k for k, t in enumerate(lexicon.terms, 1)}
+        self.normals: dict[str, int] = {}
 
     def __missing__(self, word: bytes) -> int:
-        near = self.lexicon.nearest(normal(word))
-        value = self[word] = 0 if near is None else 1 if near[1] == 0 else 2
+        bare = normal(word)
+        value = self.normals.get(bare)
+        if value is None:
+            near = self.lexicon.nearest(bare)
+            value = self.normals[bare] = 0 if near is None else 2 * self.number[near[0]] + near[1]
+        self[word] = value
         return value
 
     def features(self, text: bytes) -> list[float]:
         if len(self) > 500_000:
             self.clear()
+            self.normals.clear()
         words = text.split()
-        kinds = np.fromiter(map(self.__getitem__, words), np.int8, len(words))
+        kinds = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         hits = np.flatnonzero(kinds)
         exact = fuzzy = quoted = 0
-        terms = set()
         for k in hits.tolist():
-            terms.add(normal(words[k]))
             if self.in_quotes(words, k):
                 quoted += 1
-            elif kinds[k] == 1:
+            elif kinds[k] % 2 == 0:
                 exact += 1
             else:
                 fuzzy += 1
+        terms = len(np.unique(kinds[hits] // 2))
         rate = 100.0 * (exact + fuzzy) / max(20, len(words))
-        return [np.log1p(exact), np.log1p(fuzzy), np.log1p(quoted), np.log1p(rate), np.log1p(len(terms)), float(exact + fuzzy >= 2)]
+        return [np.log1p(exact), np.log1p(fuzzy), np.log1p(quoted), np.log1p(rate), np.log1p(terms), float(exact + fuzzy >= 2)]
 
     @staticmethod
     def in_quotes(words: list[bytes], k: int) -> bool:
@@ -205,7 +244,7 @@ def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> tuple
 
 def scored(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of each document."""
-    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, rows))  # TERMS words at most
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, rows))  # the terms of a bounded sample
 
     def run(batches):
         terms, w = model.value
