@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.llm.common import GAP
+from tidings.llm.common import GAP, dropped, written
 
 #: Rows of the sample that only sets the order, drawn by a hash of the text from the partitions that it takes to find them, and
 #: the longest text in it: at most 50 MB come to the driver.
@@ -66,16 +66,34 @@ def repeated_words(w: Column, span: int = 5) -> Column:
     return let(w, lambda x: let(hashes(x), covered)).cast("long")
 
 
-def statistics(text: Column, w: Column) -> dict[str, Column]:
-    """The base statistics of a text and its words, by name. Each is a long; all but n_symbols are 0 without words."""
-    t = F.coalesce(text, F.lit(""))
-    return {
-        "n_words": F.size(w).cast("long"),
-        "word_chars": F.length(F.array_join(w, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "n_dup_lines": let(lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated_words(w),
-    }
+class Statistics(dict):
+    """The base statistics of a text and its words by name, built when first asked for. Each is a long; all but n_symbols are 0 without words."""
+
+    def __init__(self, text: Column, w: Column):
+        super().__init__()
+        self.text, self.w = F.coalesce(text, F.lit("")), w
+
+    def __missing__(self, name: str) -> Column:
+        self[name] = getattr(self, name)().cast("long")
+        return self[name]
+
+    def n_words(self):
+        return F.size(self.w)
+
+    def word_chars(self):
+        return F.length(F.array_join(self.w, ""))
+
+    def n_symbols(self):
+        return F.length(self.text) - F.length(F.translate(self.text, SYMBOLS, ""))
+
+    def n_dup_lines(self):
+        return let(lines(self.text), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+
+    def n_repeat_words(self):
+        return repeated_words(self.w)
+
+
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def lines(text: Column) -> Column:
@@ -83,8 +101,9 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0)
 
 
-def letters(text: Column, kind: str) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(kind))
+def amount(text: Column, others: str) -> Column:
+    """How many characters a text has, runs of ``others`` left out."""
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), others, ""))
 
 
 @dataclass(frozen=True)
@@ -95,9 +114,17 @@ class Rule:
     test: object
 
 
-def line_share(text: Column, pattern: str, parts: int, of: int) -> Column:
-    """Whether more than parts / of of the lines match."""
-    return let(lines(text), lambda x: F.size(F.filter(x, lambda y: y.rlike(pattern))) * of > F.size(x) * parts)
+def line_share(text: Column, test, parts: int, of: int) -> Column:
+    """Whether more than parts / of of the lines meet the test."""
+    return let(lines(text), lambda x: F.size(F.filter(x, test)) * of > F.size(x) * parts)
+
+
+def bullet(line: Column) -> Column:
+    return F.substring(F.ltrim(line, F.lit(SPACES)), 1, 1).isin("-", "*", "\u2022")
+
+
+def trails_off(line: Column) -> Column:
+    return let(F.rtrim(line, F.lit(SPACES)), lambda x: F.endswith(x, F.lit("...")) | F.endswith(x, F.lit("\u2026")))
 
 
 #: Base rules are fixed by the query's contract.
@@ -110,12 +137,12 @@ MORE = (
     Rule("symbols", lambda t, w, s: s["n_symbols"] * 10 > s["n_words"]),
     Rule("word_length", lambda t, w, s: (s["word_chars"] < s["n_words"] * 2) | (s["word_chars"] > s["n_words"] * 15)),
     Rule("dup_lines", lambda t, w, s: s["n_dup_lines"] * 10 > s["n_words"]),
-    Rule("no_letters", lambda t, w, s: F.size(F.filter(w, lambda x: ~x.rlike(r"\p{L}"))) * 2 > s["n_words"]),
+    Rule("no_letters", lambda t, w, s: F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D\p{L}]*\p{L}[^\x20\x09-\x0D]*")) * 2 < s["n_words"]),
     Rule("few_words", lambda t, w, s: F.size(F.array_distinct(w)) * 5 < F.least(s["n_words"], F.lit(200))),
-    Rule("upper_case", lambda t, w, s: letters(t, "[A-Z]") * 2 > letters(t, "[A-Za-z]")),
-    Rule("digits", lambda t, w, s: letters(t, "[0-9]") * 2 > F.length(F.coalesce(t, F.lit("")))),
-    Rule("bullets", lambda t, w, s: line_share(t, r"^[\x20\x09-\x0D]*[-*\u2022]", 9, 10)),
-    Rule("ellipses", lambda t, w, s: line_share(t, r"(\.\.\.|\u2026)[\x20\x09-\x0D]*$", 3, 10)),
+    Rule("upper_case", lambda t, w, s: amount(t, "[^A-Z]+") * 2 > amount(t, "[^A-Za-z]+")),
+    Rule("digits", lambda t, w, s: amount(t, "[^0-9]+") * 2 > F.length(t)),
+    Rule("bullets", lambda t, w, s: line_share(t, bullet, 9, 10)),
+    Rule("ellipses", lambda t, w, s: line_share(t, trails_off, 3, 10)),
 )
 
 
@@ -124,7 +151,7 @@ def measured_order(docs: DataFrame, rules, sample_rows: int = SAMPLE_ROWS, text:
     t = docs.select(F.col(text).cast("string").alias("text"))
     # as the last step a limit reads no more partitions than it needs
     rows = t.filter((F.pmod(F.xxhash64("text"), F.lit(SAMPLE_SHARE)) == 0) & (F.length("text") <= SAMPLE_CHARS)).limit(sample_rows).collect()
-    sample = docs.sparkSession.createDataFrame(rows, "text string")
+    sample = written(docs.sparkSession.createDataFrame(rows, "text string").coalesce(1), "rule-sample")
 
     def run(*columns) -> tuple[float, list]:
         began = time.perf_counter()
@@ -134,11 +161,12 @@ def measured_order(docs: DataFrame, rules, sample_rows: int = SAMPLE_ROWS, text:
     rejects = [F.count_if(verdict([r], F.col("text")).isNotNull()) for r in rules]
     _, rejected = run(*rejects)
     none = min(run(F.count_if(F.length("text") < 0))[0] for _ in range(2))
-    scored = [(n / max(1e-3, run(one)[0] - none), r) for n, one, r in zip(rejected, rejects, rules)]
+    scored = [(n / max(1e-4, run(one)[0] - none), r) for n, one, r in zip(rejected, rejects, rules)]
+    dropped(sample)
     return [r for _, r in sorted(scored, key=lambda x: (-x[0], x[1].name))]
 
 
-def cascade(rules, text: Column, w: Column, stats: dict[str, Column]) -> Column:
+def cascade(rules, text: Column, w: Column, stats: dict) -> Column:
     """The name of the first rule that rejects the row, null if none does; later rules are not evaluated."""
     out = None
     for rule in rules:
@@ -149,7 +177,8 @@ def cascade(rules, text: Column, w: Column, stats: dict[str, Column]) -> Column:
 
 def verdict(rules, text: Column) -> Column:
     """The cascade over a text: words are split once, all else is computed when a rule first asks."""
-    return let(words(text), lambda w: cascade(rules, text, w, statistics(text, w)))
+    t = F.coalesce(text, F.lit(""))
+    return let(words(text), lambda w: cascade(rules, t, w, Statistics(text, w)))
 
 
 def filtered(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -159,18 +188,18 @@ def filtered(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 
 def judged(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Each document's statistics, base verdict and verdict."""
-    order, t = measured_order(docs, MORE, sample_rows), F.col("text").cast("string")
+    order, t = measured_order(docs, MORE, sample_rows), F.coalesce(F.col("text").cast("string"), F.lit(""))
 
     def row(w: Column) -> Column:
-        stats = statistics(t, w)
+        stats = Statistics(t, w)
 
         def verdicts(s: Column) -> Column:
-            known = {k: s[k] for k in stats}
+            known = {k: s[k] for k in NAMES}
             failed = cascade(BASE, t, w, known).isNotNull()
             kept = F.when(failed, False).otherwise(cascade(order, t, w, known).isNull())
-            return F.struct(*[known[k].alias(k) for k in stats], failed.alias("base_failed"), kept.alias("kept"))
+            return F.struct(*[known[k].alias(k) for k in NAMES], failed.alias("base_failed"), kept.alias("kept"))
 
-        return let(F.struct(*[c.alias(k) for k, c in stats.items()]), verdicts)
+        return let(F.struct(*[stats[k].alias(k) for k in NAMES]), verdicts)
 
     return docs.select("doc_id", let(words(t), row).alias("s")).select("doc_id", "s.*")
 
