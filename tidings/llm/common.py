@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import xxhash
@@ -84,6 +85,19 @@ def text_keys(text: Column, names: tuple[str, str] = ("ka", "kb")) -> list[Colum
     return [F.xxhash64(t).alias(names[0]), F.crc32(t.cast("binary")).alias(names[1])]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, megabytes: int = 8):
+    """Arrow batches of at most so many megabytes for what is written inside: rows that carry arrays of whole texts are
+    large, and a task holds a batch in the JVM, in its channel and in Python."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, f"{megabytes}m")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def texts(batch, name: str = "text") -> list[bytes]:
     """The UTF-8 texts of an Arrow batch; null becomes empty."""
     import pyarrow as pa
