@@ -211,7 +211,8 @@ def searched(segments: DataFrame) -> DataFrame:
         hits = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(windows)].astype(np.int32)), pa.array(hit))
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), hits], names=["key", "pc", "hits"])
 
-    dealt = segments.select("key", "pc", "d", "words").repartition("key").sortWithinPartitions("key")
+    # by a hash of the key: Spark would leave out a repartition by the very key of a join before it, and may then split that join's keys
+    dealt = segments.select("key", "pc", "d", "words").repartition(F.xxhash64("key")).sortWithinPartitions("key")
     return dealt.mapInArrow(run, "key long, pc long, hits array<boolean>")
 
 

@@ -123,7 +123,8 @@ def links(nodes: DataFrame, heavy: int = HEAVY) -> DataFrame:
             u, v = bucket_links(key, fp.view(np.uint64), rep)
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
-    return buckets(nodes, heavy).repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
+    # by a hash of the key: Spark would leave out a repartition by the very key of a join before it, and may then split that join's keys
+    return buckets(nodes, heavy).repartition(F.xxhash64("key")).sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
