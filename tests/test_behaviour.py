@@ -211,3 +211,130 @@ def test_edges_of_empty_tables(spark):
     none = spark.createDataFrame([], "a long, b long, sim double")
     assert graph.related(none).count() == 0 and joins.without_pairs(none, none.select("a", "b")).count() == 0
     assert rollup.stories(spark.createDataFrame([], "story_id long, outlet string, published_at timestamp, value double")).count() == 0
+
+
+def test_folding_agrees_with_strip_accents_on_every_letter(spark):
+    import unicodedata
+
+    import duckdb
+
+    letters = [c for c in map(chr, range(0x20, 0x3000)) if unicodedata.category(c)[0] in "LN"]
+    frame = spark.createDataFrame([(c,) for c in letters], "c string")
+    own = {r["c"]: r["f"] for r in frame.select("c", tx.folded(F.col("c")).alias("f")).collect()}
+    con = duckdb.connect()
+    other = dict(con.execute("select c, strip_accents(lower(c)) from unnest(?) u(c)", [letters]).fetchall())
+    apart = [c for c in letters if own[c] != other[c]]
+    assert len(apart) < 0.01 * len(letters), apart  # the libraries know different versions of Unicode
+    assert all(own[c] == other[c] for c in "àéîõüčěřščąęñőűłøßơưăđếộ")
+
+
+def test_close_spelling_looks_at_the_whole_text():
+    far = " ".join(["abc"] * 60)
+    assert tx.word_similarity("widget", f"{far} widget {far}") == 1.0
+    own = set(tx.trigrams("wigdet"))
+    text = "a wide gadget with widgets and a wig det " * 3
+    seq = [g for w in text.split() for g in tx.trigrams(w)]
+    want = max(len(own & set(seq[i:j])) / len(own | set(seq[i:j])) for i in range(len(seq)) for j in range(i + 1, len(seq) + 1))
+    assert abs(tx.word_similarity("wigdet", text) - want) < 1e-12
+
+
+def test_all_references_are_unescaped_once(spark):
+    import html
+
+    for t in ("caf&eacute; &#233;&#xE9; &hellip;", "AT&T &amp;lt; &ampx", "&amp;eacute; a &lt; b", "x &copy y"):
+        assert one(spark, tx.clean(F.lit(t))) == html.unescape(t)
+
+
+def test_merges_are_greedy_by_falling_similarity(spark):
+    """Against the plain sequential rule with centroids, sizes, splits and confirmed pairs."""
+    import numpy as np
+
+    from tidings.operators import cluster, similarity
+
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal((12, 16))
+    v = centre[rng.integers(0, 12, 90)] + 0.55 * rng.standard_normal((90, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    size = rng.integers(1, 9, 90)
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    pairs = similarity.similar_pairs(vectors, 0.7)
+    confirmed, splits = [(3, 50), (50, 7)], [(int(r["b"]), int(r["a"])) for r in pairs.collect() if (r["a"] + r["b"]) % 5 == 0]
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    sizes = spark.createDataFrame([(i, int(n)) for i, n in enumerate(size)], "id long, n long")
+    got = {r["gone"]: r["kept"] for r in cluster.greedy_merges(pairs, sizes, 0.7, frame(confirmed), frame(splits), vectors).collect()}
+    n, c, gone, into = size.copy(), v.copy(), set(), {}
+    split = {tuple(sorted(p)) for p in splits}
+    order = [(None, *p) for p in sorted(tuple(sorted(p)) for p in confirmed)] + sorted(((r["sim"], r["a"], r["b"]) for r in pairs.collect()), reverse=True)
+    for sim, a, b in order:
+        if (a, b) in split or a in gone or b in gone or (sim is not None and c[a] @ c[b] < cluster.merge_needs_of(0.7, min(n[a], n[b]))):
+            continue
+        keep, drop = (a, b) if n[a] >= n[b] else (b, a)
+        m = c[keep] * n[keep] + c[drop] * n[drop]
+        c[keep], n[keep] = m / np.linalg.norm(m), n[keep] + n[drop]
+        gone.add(drop)
+        into[drop] = keep
+
+    def last(x):
+        return last(into[x]) if x in into else x
+
+    assert got == {k: last(k) for k in into} and len(got) > 20
+
+
+def test_recall_of_the_registered_lsh_query(spark):
+    from tidings.operators import similarity
+    from tidings.plans import relations
+
+    v = relations.versions(spark, "/root/testdata/sf0.01")
+    want = {(r["a"], r["b"]): r["sim"] for r in similarity.similar_pairs(v, relations.LSH).collect()}
+    got = {(r["a"], r["b"]): r["sim"] for r in similarity.similar_pairs_lsh(v, relations.LSH, 64).collect()}
+    assert len(want) > 300 and set(got) <= set(want) and len(got) >= 0.9 * len(want) and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+
+
+def test_nearest_neighbours_in_blocks(spark):
+    import numpy as np
+
+    from tidings.operators import similarity
+
+    m = np.random.default_rng(3).standard_normal((70, 8))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, v array<double>")
+    got = similarity.top_neighbours(v, v.filter("id % 7 = 0"), 4, per_block=9).collect()
+    for q in range(0, 70, 7):
+        sim = np.round(m[q] @ m.T, 6)
+        want = [int(k) for k in np.lexsort((np.arange(70), -sim)) if k != q][:4]
+        assert [r["other"] for r in sorted((r for r in got if r["id"] == q), key=lambda r: r["rank"])] == want
+
+
+def test_small_holes_are_filled(spark):
+    from tidings.operators import tracks
+
+    ring = {(0, y, x) for y in range(7) for x in range(7)} - {(0, 2, 2), (0, 4, 3), (0, 4, 4), (0, 0, 5)}
+    cells = spark.createDataFrame(sorted(ring), "area long, cy long, cx long")
+    one_cell = (0.1 * 111.195) ** 2
+    got = {tuple(r) for r in tracks.filled(cells, 0.1, 1.5 * one_cell).collect()}
+    assert got == ring | {(0, 2, 2)}  # the larger hole and the notch at the edge stay
+
+
+def test_polygons_with_a_notch_and_two_parts(spark):
+    from tidings.operators import tracks
+
+    ring = [(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (1.0, 2.0), (4.0, 0.0)]
+    far = [(10.0, 10.0), (10.0, 11.0), (11.0, 11.0), (11.0, 10.0)]
+    p = spark.createDataFrame([(1, ring), (1, far), (2, far[:2])], "area long, ring array<struct<lat:double,lon:double>>")
+    got = {(r["cy"], r["cx"]) for r in tracks.polygon_cells(p, 1.0).collect()}
+
+    def inside(y, x, poly):
+        return sum((a[0] > y) != (b[0] > y) and x < (b[1] - a[1]) * (y - a[0]) / (b[0] - a[0]) + a[1] for a, b in zip(poly, poly[1:] + poly[:1])) % 2 == 1
+
+    assert got == {(y, x) for y in range(-1, 13) for x in range(-1, 13) if inside(y + 0.5, x + 0.5, ring) or inside(y + 0.5, x + 0.5, far)}
+
+
+def test_a_shared_folder_is_asked_for_off_local_sessions():
+    from tidings.operators.graph import shared_folder
+
+    class Away:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Away())

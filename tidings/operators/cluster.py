@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidings.operators.graph import components, saved
 from tidings.operators.tracks import with_blocks
 
 
@@ -49,16 +50,78 @@ def online(items: DataFrame, base: float = 0.75, hours: int = 72) -> DataFrame:
     return with_blocks(items, "shard", "at", f"{hours} hours").groupBy("shard", "block").applyInPandas(run, "shard long, item long, story long")
 
 
-def greedy_merges(candidates: DataFrame, most: int = 500) -> DataFrame:
-    """gone, kept (CL3): of candidate pairs (a, b, sim, keep), those that are no one else's better choice.
-
-    A pair merges if it is the best pair of both its stories (sim, then smaller ids), so no story is in two merges of a pass;
-    at most ``most`` pairs, the most similar ones. Further passes merge what these leave over."""
-    ends = candidates.select("a", "b", "sim", "keep", F.explode(F.array("a", "b")).alias("s"))
-    best = ends.groupBy("s").agg(F.max(F.struct("sim", (-F.col("a")).alias("na"), (-F.col("b")).alias("nb"))).alias("t"))
-    own = ends.join(best, "s").filter((F.col("a") == -F.col("t.na")) & (F.col("b") == -F.col("t.nb")))
-    both = own.groupBy("a", "b", "sim", "keep").count().filter("count = 2").orderBy(F.desc("sim"), "a", "b").limit(most)
-    return both.select(F.when(F.col("keep") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("gone"), F.col("keep").alias("kept"))
+def greedy_merges(candidates: DataFrame, sizes: DataFrame, at: float, confirmed: DataFrame | None = None, splits: DataFrame | None = None, vectors: DataFrame | None = None, most: int = 500) -> DataFrame:
+    """gone, kept (CL3): merges of one pass over candidate pairs (a, b, sim), in this order:
+
+    confirmed pairs (a, b) first, whatever their similarity, in order of (a, b); then pairs by falling similarity (ties: greater ids first). A
+    pair whose stories are split (splits: a, b), or of which one is gone, is passed over. Before it merges, it must reach what
+    the smaller story's size by now asks for (merge_needs of ``at``); with vectors (id, v) its similarity is that of the
+    centroids by now. The larger story stays (ties: the smaller id), grows by the other, and may take in more; only the
+    dropped one is gone. At most ``most`` merges by similarity are kept, the first ones.
+
+    Pairs of different components of the candidate graph can't touch each other, so each component is one sequential task:
+    candidates are stories of one window that are nearly alike, and a component is a story and what lies around it."""
+    order = lambda t: t.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b")
+    pairs = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("sim").cast("double").alias("sim"))
+    if confirmed is not None:
+        pairs = pairs.unionByName(order(confirmed).distinct().withColumn("sim", F.lit(None).cast("double")))
+    if splits is not None:
+        pairs = pairs.join(order(splits).distinct(), ["a", "b"], "left_anti")
+    pairs = saved(pairs)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    label = components(nodes, pairs.select("a", "b")).withColumnRenamed("label", "part")
+    n = sizes.select(F.col("id"), F.col("n").cast("long").alias("n"))
+    own = label.join(n, F.col("node") == F.col("id"), "left").select("node", F.col("part").alias("p"), F.coalesce("n", F.lit(1)).alias("n"))
+    if vectors is not None:
+        v = vectors.select(F.col("id").alias("node"), F.col("v").cast("array<double>").alias("v"))
+        own = own.join(v, "node", "left")
+    else:
+        own = own.withColumn("v", F.lit(None).cast("array<double>"))
+
+    def merged(pairs: pd.DataFrame, stories: pd.DataFrame) -> pd.DataFrame:
+        count = dict(zip(stories["node"], stories["n"]))
+        centre = {i: np.array(v, float) for i, v in zip(stories["node"], stories["v"]) if v is not None}
+        pairs = pairs.assign(first=pairs["sim"].notna())
+        known = pairs[~pairs["first"]].sort_values(["a", "b"])
+        rest = pairs[pairs["first"]].sort_values(["sim", "a", "b"], ascending=False)
+        gone, out = set(), []
+        for f, checked in ((known, False), (rest, True)):
+            for a, b, sim in zip(f["a"], f["b"], f["sim"]):
+                if a in gone or b in gone:
+                    continue
+                if checked:
+                    now = float(centre[a] @ centre[b]) if a in centre and b in centre else sim
+                    if now < merge_needs_of(at, min(count[a], count[b])):
+                        continue
+                keep, drop = (a, b) if count[a] >= count[b] else (b, a)
+                if keep in centre and drop in centre:
+                    c = centre[keep] * count[keep] + centre[drop] * count[drop]
+                    centre[keep] = c / max(1e-12, float(np.linalg.norm(c)))
+                count[keep] += count[drop]
+                gone.add(drop)
+                out.append((drop, keep, sim if checked else None, a, b))
+        return pd.DataFrame(out, columns=["gone", "kept", "sim", "a", "b"])
+
+    side = pairs.join(label.select(F.col("node").alias("a"), "part"), "a").groupBy("part")
+    found = side.cogroup(own.groupBy("p")).applyInPandas(merged, "gone long, kept long, sim double, a long, b long")
+    by_sim = found.filter("sim is not null").orderBy(F.desc("sim"), F.desc("a"), F.desc("b")).limit(most)
+    return resolved(saved(found.filter("sim is null").union(by_sim).select("gone", "kept")))
+
+
+def resolved(merges: DataFrame, rounds: int = 60) -> DataFrame:
+    """merges with each kept story replaced by the one that took it in later, to the last; a chain halves in each round."""
+    for _ in range(rounds):
+        later = merges.select(F.col("gone").alias("kept"), F.col("kept").alias("last"))
+        fresh = saved(merges.join(later, "kept", "left").select("gone", F.coalesce("last", "kept").alias("kept"), F.col("last").isNotNull().alias("moved")))
+        merges = fresh.select("gone", "kept")
+        if fresh.filter("moved").isEmpty():
+            return merges
+    raise RuntimeError(f"merges still change after {rounds} rounds")
+
+
+def merge_needs_of(at: float, size: int) -> float:
+    """scoring.merge_needs for numbers."""
+    return min(at + 0.08, at + 0.015 * np.log2(max(size, 1)))
 
 
 def rekeyed(rows: DataFrame, key: str, merges: DataFrame) -> DataFrame:

@@ -47,49 +47,118 @@ def similar_pairs(vectors: DataFrame, least: float, blocks: int | None = None) -
     return found.select("a", "b", F.round("sim", 6).alias("sim"))
 
 
-def similar_pairs_lsh(vectors: DataFrame, least: float, dims: int, bands: int = 64, miss: float = 0.05, seed: int = 11) -> DataFrame:
-    """The same pairs, as far as they share a band of sign bits of random projections; each is verified exactly.
+def similar_pairs_in_window(vectors: DataFrame, least: float, hours: int = 72) -> DataFrame:
+    """The same for rows (id, at, v), as far as they lie at most ``hours`` apart: what clusters and links look at.
+
+    A row goes to its own span of ``hours`` and to the next one; a pair is found in the later row's span. So the work
+    grows with the rows of a window, not with their square over all time."""
+    span = F.floor(F.unix_micros("at") / (hours * 3_600_000_000)).cast("long")
+    own = vectors.select("id", F.unix_micros("at").alias("at"), F.col("v").cast("array<double>").alias("v"), span.alias("own"))
+    spread = own.withColumn("span", F.explode(F.array("own", F.col("own") + 1)))
+    counts = own.groupBy("own").count().agg(F.max("count")).first()[0] or 0
+    blocks = max(1, -(-counts // (2 * BLOCK)))
+    spread = spread.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    pair = spread.select("span", F.least("k", "other").alias("p"), F.greatest("k", "other").alias("q"), "k", "own", "id", "at", "v")
 
-    Approximate: a pair at cosine s is missed with probability (1 - (1 - acos(s) / pi) ** bits) ** bands; bits is the
-    largest number of bits in a band that keeps this at or below ``miss`` at the threshold."""
-    bits = max(1, int(np.log(1 - miss ** (1 / bands)) / np.log(1 - np.arccos(least) / np.pi)))
-    planes = np.random.default_rng(seed).standard_normal((bands * bits, dims))
+    def run(frame):
+        import pandas as pd
+
+        out = [pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "sim": np.zeros(0)})]
+        k, ids, at = (frame[c].to_numpy() for c in ("k", "id", "at"))
+        now = frame["own"].to_numpy() == frame["span"].to_numpy()
+        m = np.array(frame["v"].tolist(), float)
+        one, two = np.flatnonzero(k == frame["p"].iloc[0]), np.flatnonzero(k == frame["q"].iloc[0])
+        for a in range(0, len(one), BLOCK):
+            for b in range(0, len(two), BLOCK):
+                i, j = one[a : a + BLOCK], two[b : b + BLOCK]
+                near = (np.abs(at[i][:, None] - at[j][None, :]) <= hours * 3_600_000_000) & (now[i][:, None] | now[j][None, :])
+                sim = m[i] @ m[j].T
+                r, c = np.nonzero((sim >= least - 1e-12) & near)
+                x, y = ids[i[r]], ids[j[c]]
+                keep = x < y if frame["p"].iloc[0] == frame["q"].iloc[0] else x != y
+                out.append(pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "sim": sim[r, c][keep]}))
+        return pd.concat(out)
+
+    found = pair.groupBy("span", "p", "q").applyInPandas(run, "a long, b long, sim double")
+    return found.select("a", "b", F.round("sim", 6).alias("sim"))
 
-    def run(batches):
-        for b in batches:
-            m = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
-            sign = (m @ planes.T > 0).reshape(len(m), bands, bits) if len(m) else np.zeros((0, bands, bits), bool)
-            keys = (sign << np.arange(bits)).sum(axis=2) + (np.arange(bands) << bits)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(keys.astype(np.int64)), pa.list_(pa.int64()))], names=["id", "v", "keys"])
 
-    v = vectors.select("id", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "id long, v array<double>, keys array<long>")
-    near = v.select("id", F.explode("keys").alias("key"))
-    cand = near.select(F.col("id").alias("a"), "key").join(near.select(F.col("id").alias("b"), "key"), "key").filter("a < b").select("a", "b").distinct()
-    from tidings.functions.vectors import dot
+def lsh_bits(least: float, bands: int, miss: float) -> int:
+    """The largest number of bits in a band with which a pair at the threshold is missed with probability ``miss`` at most."""
+    return max(1, int(np.log(1 - miss ** (1 / bands)) / np.log(1 - np.arccos(least) / np.pi)))
 
-    j = cand.join(v.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(v.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
-    return j.select("a", "b", F.round(dot(F.col("va"), F.col("vb")), 6).alias("sim")).filter(F.col("sim") >= least)
 
+def similar_pairs_lsh(vectors: DataFrame, least: float, dims: int, bands: int = 48, miss: float = 0.05, seed: int = 11) -> DataFrame:
+    """The same pairs, as far as they share a band of sign bits of random projections; each is verified exactly.
 
-def top_neighbours(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """id, other, sim, rank: the k nearest vectors of each query (JN8). queries: a stated, small set (id, v).
+    Approximate: a pair at cosine s is missed with probability (1 - (1 - acos(s) / pi) ** bits) ** bands. It pays where
+    bits (see lsh_bits) is large: 2 ** bits buckets a band; below a threshold of about 0.6 similar_pairs does less work.
+    A bucket's members are compared tile by tile in its task, and only verified pairs leave it."""
+    bits = lsh_bits(least, bands, miss)
+    planes = np.random.default_rng(seed).standard_normal((bands * bits, dims))
 
-    Each block of vectors keeps its own k best for each query before anything is shuffled, then ranks merge."""
-    q = queries.select("id", F.col("v").cast("array<double>").alias("v"))
-    held = q.toPandas()  # a stated query set
-    ids, m = held["id"].to_numpy(), np.array(held["v"].tolist(), float)
+    def keys(batches):
+        for b in batches:
+            m = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1)
+            sign = (m @ planes.T > 0).reshape(len(m), bands, bits) if len(m) else np.zeros((0, bands, bits), bool)
+            found = (sign << np.arange(bits)).sum(axis=2) + (np.arange(bands) << bits)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(found.astype(np.int64)), pa.list_(pa.int64()))], names=["id", "v", "keys"])
 
-    def run(batches):
+    def compared(batches):
+        held = []
         for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            own = b.column(0).to_numpy(zero_copy_only=False)
-            sim = m @ np.array(b.column(1).to_pylist(), float).T
-            sim[ids[:, None] == own[None, :]] = -np.inf
-            for r in range(len(ids)):
-                best = np.lexsort((own, -np.round(sim[r], 6)))[:k]
-                best = best[np.isfinite(sim[r][best])]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), ids[r])), pa.array(own[best]), pa.array(np.round(sim[r][best], 6))], names=["id", "other", "sim"])
-
-    near = vectors.select("id", F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "id long, other long, sim double")
+            for key, i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if held and held[0][0] != key:
+                    yield from pairs(held)
+                    held = []
+                held.append((key, i, v))
+        yield from pairs(held)
+
+    def pairs(rows):
+        ids, m = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], float)
+        for a in range(0, len(ids) if len(ids) > 1 else 0, BLOCK):
+            for b in range(a, len(ids), BLOCK):
+                sim = m[a : a + BLOCK] @ m[b : b + BLOCK].T
+                i, j = np.nonzero(sim >= least - 1e-12)
+                x, y = ids[i + a], ids[j + b]
+                keep = x < y if a == b else x != y
+                if keep.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[keep]), pa.array(np.maximum(x, y)[keep]), pa.array(np.round(sim[i, j][keep], 6))], names=["a", "b", "sim"])
+
+    v = vectors.select("id", F.col("v").cast("array<double>").alias("v")).mapInArrow(keys, "id long, v array<double>, keys array<long>")
+    near = v.select(F.explode("keys").alias("key"), "id", "v")
+    company = near.groupBy("key").count().filter("count > 1").select("key")
+    # by a hash of the key: Spark would leave out a repartition by the very key of the join, and may then split that join's keys
+    near = near.join(company, "key").repartition(F.xxhash64("key")).sortWithinPartitions("key")
+    return near.mapInArrow(compared, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
+
+
+def top_neighbours(vectors: DataFrame, queries: DataFrame, k: int, per_block: int = 4096) -> DataFrame:
+    """id, other, sim, rank: the k nearest vectors of each query (JN8). queries: id, v.
+
+    Vectors and queries are dealt into blocks that meet in pairs, so neither is held whole anywhere; each pair of
+    blocks keeps the k best of each query, then ranks merge."""
+    left, right = (max(1, -(-t.count() // per_block)) for t in (vectors, queries))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    kinds = lambda t: t.select("id", F.col("v").cast("array<double>").alias("v"))
+    v = kinds(vectors).withColumn("p", block(left)).withColumn("q", spread(right)).groupBy("p", "q")
+    q = kinds(queries).withColumn("q", block(right)).withColumn("p", spread(left)).groupBy("p", "q")
+
+    def run(some, asks):
+        import pandas as pd
+
+        out = [pd.DataFrame({"id": np.zeros(0, np.int64), "other": np.zeros(0, np.int64), "sim": np.zeros(0)})]
+        if len(some) and len(asks):
+            own, ids = some["id"].to_numpy(), asks["id"].to_numpy()
+            m = np.array(some["v"].tolist(), float)
+            for a in range(0, len(ids), BLOCK):
+                sim = np.round(np.array(asks["v"].iloc[a : a + BLOCK].tolist(), float) @ m.T, 6)
+                for r, one in enumerate(ids[a : a + BLOCK]):
+                    best = np.lexsort((own, -sim[r]))[: k + 1]
+                    best = best[own[best] != one][:k]
+                    out.append(pd.DataFrame({"id": one, "other": own[best], "sim": sim[r][best]}))
+        return pd.concat(out)
+
+    near = v.cogroup(q).applyInPandas(run, "id long, other long, sim double")
     return near.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other"))).filter(F.col("rank") <= k)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.functions.geo import DEGREE_KM, cell_area_km2, cosines_km
+from tidings.operators.graph import components, saved
 
 
 def _km(a, b, c, d) -> float:
@@ -52,8 +53,10 @@ def day_support(points: DataFrame, km: float = 40.0) -> DataFrame:
     lat, lon, weight, confirmed. On a day with confirmed points only those count."""
     w = Window.partitionBy("track", "day")
     pool = points.withColumn("any", F.max(F.col("confirmed").cast("int")).over(w)).filter((F.col("any") == 0) | F.col("confirmed"))
-    b = pool.select("track", "day", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("weight").alias("weight2"))
-    j = pool.join(b, ["track", "day"]).filter(cosines_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= km)
+    # a point meets those of its day in cells that km can reach: whole rows of latitude, km high
+    row = F.floor(F.col("lat") * DEGREE_KM / km).cast("long")
+    b = pool.select("track", "day", F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.col("weight").alias("weight2"), F.explode(F.array(row - 1, row, row + 1)).alias("row"))
+    j = pool.withColumn("row", row).join(b, ["track", "day", "row"]).filter(cosines_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")) <= km)
     return j.groupBy("track", "day", "id", "lat", "lon", "weight", "confirmed").agg(F.sum("weight2").alias("support"))
 
 
@@ -89,6 +92,36 @@ def cover(boxes: DataFrame, size: float) -> DataFrame:
     return b.select("area", F.explode(F.sequence(first("south"), last("north"))).alias("cy"), F.col("west"), F.col("east")).select("area", "cy", F.explode(F.sequence(first("west"), last("east"))).alias("cx")).distinct()
 
 
+def polygon_cells(polygons: DataFrame, size: float) -> DataFrame:
+    """area, cy, cx: the cells whose middle lies in a polygon (GEO1, SRC23), by counting the edges that a ray to the east crosses.
+
+    polygons: area, ring (array of struct lat, lon; closed or not); an area may have several. Each polygon is dealt to the
+    rows of cells that it reaches; a row needs its crossings only, sorted, and the cells between each odd and even one."""
+    p = polygons.filter(F.size("ring") >= 3).withColumn("k", F.monotonically_increasing_id())
+    ends = F.transform("ring", lambda a, i: F.struct(a["lat"].alias("ay"), a["lon"].alias("ax"), F.get("ring", (i + 1) % F.size("ring"))["lat"].alias("by"), F.get("ring", (i + 1) % F.size("ring"))["lon"].alias("bx")))
+    edges = p.select("area", "k", F.explode(ends).alias("e")).select("area", "k", "e.*").filter("ay <> by")
+    # the rows whose middle lies from the lower end (inside) to the upper one (outside)
+    first, last = F.ceil(F.least("ay", "by") / size - 0.5), F.ceil(F.greatest("ay", "by") / size - 0.5) - 1
+    rows = edges.filter(first <= last).withColumn("cy", F.explode(F.sequence(first, last)))
+    at = (F.col("bx") - F.col("ax")) * ((F.col("cy") + 0.5) * size - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")
+    crossings = rows.groupBy("area", "k", "cy").agg(F.array_sort(F.collect_list(at)).alias("x"))  # as many as a ring has edges in a row
+    spans = F.transform(F.sequence(F.lit(0), F.expr("size(x) div 2 - 1").cast("int")), lambda j: F.struct(F.get("x", j * 2).alias("west"), F.get("x", j * 2 + 1).alias("east")))
+    s = crossings.filter(F.size("x") >= 2).select("area", "cy", F.explode(spans).alias("s")).withColumns({"a": F.ceil(F.col("s.west") / size - 0.5), "z": F.ceil(F.col("s.east") / size - 0.5) - 1})
+    return s.filter("a <= z").select("area", "cy", F.explode(F.sequence("a", "z")).alias("cx")).distinct()
+
+
+def filled(cells: DataFrame, size: float, least_km2: float = 0.5) -> DataFrame:
+    """cells with holes smaller than least_km2 filled (GEO1): free cells inside an area's frame that no free path links to the frame."""
+    box = cells.groupBy("area").agg(F.min("cy").alias("s"), F.max("cy").alias("n"), F.min("cx").alias("w"), F.max("cx").alias("e"))
+    frame = box.select("area", "s", "n", "w", "e", F.explode(F.sequence(F.col("s") - 1, F.col("n") + 1)).alias("cy")).select("area", "s", "n", "w", "e", "cy", F.explode(F.sequence(F.col("w") - 1, F.col("e") + 1)).alias("cx"))
+    free = frame.join(cells, ["area", "cy", "cx"], "left_anti")
+    free = saved(free.select("area", "cy", "cx", ((F.col("cy") < F.col("s")) | (F.col("cy") > F.col("n")) | (F.col("cx") < F.col("w")) | (F.col("cx") > F.col("e"))).alias("outside"), F.monotonically_increasing_id().alias("node")))
+    near = free.select("area", F.col("node").alias("b"), F.explode(F.array(*[F.struct((F.col("cy") + dy).alias("cy"), (F.col("cx") + dx).alias("cx")) for dy, dx in ((0, 1), (1, 0))])).alias("c")).select("area", "b", "c.cy", "c.cx")
+    label = components(free.select("node"), free.join(near, ["area", "cy", "cx"]).select(F.col("node").alias("a"), "b"))
+    holes = free.join(label, "node").groupBy("area", "label").agg(F.max("outside").alias("open"), F.sum(cell_area_km2(F.col("cy"), size)).alias("km2")).filter((F.col("km2") < least_km2) & ~F.col("open"))
+    return cells.unionByName(free.join(label, "node").join(holes.select("label"), "label", "left_semi").select("area", "cy", "cx"))
+
+
 def areas(cells: DataFrame, size: float) -> DataFrame:
     """area, km2 (GEO2)."""
     return cells.groupBy("area").agg(F.sum(cell_area_km2(F.col("cy"), size)).alias("km2"))

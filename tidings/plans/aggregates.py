@@ -197,9 +197,8 @@ def ag18(spark, d):
 @query("ag18b_upper_median", """with x as (select event_type, value, row_number() over (partition by event_type order by value) as k, count(*) over (partition by event_type) as n from events)
  select event_type, max(value) filter (where k = n // 2 + 1) as median, min(value) as least, max(value) as most from x group by 1""")
 def ag18b(spark, d):
-    w = Window.partitionBy("event_type")
-    x = Tables(spark, d).events.withColumn("k", F.row_number().over(w.orderBy("value"))).withColumn("n", F.count("*").over(w))
-    return x.groupBy("event_type").agg(F.max(F.when(F.col("k") == F.floor(F.col("n") / 2) + 1, F.col("value"))).alias("median"), F.min("value").alias("least"), F.max("value").alias("most"))
+    upper = F.expr("percentile_disc(0.5) within group (order by value desc)")
+    return Tables(spark, d).events.groupBy("event_type").agg(upper.alias("median"), F.min("value").alias("least"), F.max("value").alias("most"))
 
 
 @query("ag21_global_stats", """select (select count(*) from events) as items, (select count(distinct user_id) from events) as stories, (select count(*) from documents) as texts,

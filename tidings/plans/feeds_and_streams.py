@@ -40,7 +40,7 @@ def src10(spark, d):
 
 @query("src13_articles")
 def src13(spark, d):
-    a = pages.articles(Tables(spark, d).pages)
+    a = pages.articles(Tables(spark, d).pages, most=None, captions=None)
     return a.select("page_id", F.length("text").alias("n"), F.md5(F.col("text").cast("binary")).alias("digest"), "status", F.size("captions").alias("captions"))
 
 
@@ -48,7 +48,7 @@ def src13(spark, d):
 def src18(spark, d):
     p = Tables(spark, d).pages
     here = F.concat("html", F.lit('<a href="https://news.example/2024/a/b?utm_source=x">A</a><a href="https://facebook.com/x/y">F</a>'))
-    return pages.outbound(p.select("page_id", "url", here.alias("html")))
+    return pages.outbound(p.select("page_id", "url", here.alias("html")), ["facebook.com"], ["share"], ["tag", "live"], most=None)
 
 
 @query("src25_airports", "select p_partkey::varchar as code, p_name as name, case when p_size > 40 then 'large_airport' else 'medium_airport' end as type from part where p_size > 40 or (p_size > 20 and p_partkey % 2 = 0)")
@@ -94,6 +94,13 @@ def st2(spark, d):
     return out.join(F.broadcast(end)).filter("slot + 21600 <= m").drop("m")
 
 
+@query("st2b_sliding", f"""with u as (select event_type, (floor(epoch(ts) / 21600)::bigint + k) * 21600 as upto from events, unnest(range(1, 5)) r(k)) select upto, event_type, count(*) as n from u, {CLOSED} where upto <= epoch(m) - 7200 group by 1, 2""")
+def st2b(spark, d):
+    out = flows.drained(flows.sliding(flows.file_stream(spark, d, "events"), "ts", ["event_type"], "24 hours", "6 hours"))
+    end = Tables(spark, d).events.agg((F.unix_seconds(F.max("ts")) - 7200).alias("m"))
+    return out.join(F.broadcast(end)).filter("upto <= m").drop("m")
+
+
 @query("st3_first_seen", "select distinct event_id from events")
 def st3(spark, d):
     s = flows.file_stream(spark, d, "events")

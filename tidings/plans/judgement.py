@@ -19,24 +19,36 @@ def cl1(spark, d):
     return cluster.online(e.select(F.col("label").cast("long").alias("shard"), F.col("vec_id").alias("item"), at.alias("at"), F.col("embedding").alias("v")), 0.3)
 
 
-MERGES = f"""{PAIRS.format(least=0.35)}, e as (select a, b, sim, a as s from p union all select a, b, sim, b from p), t as (select *, row_number() over (partition by s order by sim desc, a, b) as k from e),
- m as (select a, b, sim from t where k = 1 group by a, b, sim having count(*) = 2), g as (select b as gone, a as kept from (select * from m order by sim desc, a, b limit 500))"""
+#: Pairs in order (confirmed ones first, without split ones), then one step for each: st holds what is gone, the merges and the sizes by now.
+MERGES = f"""{PAIRS.format(least=0.35)}, c0 as (select user_id as id, count(*) as n from events group by 1), cnt as (select list(coalesce(c0.n, 1) order by vec_id) as c, min(vec_id) as low from embeddings left join c0 on c0.id = vec_id),
+ e0 as (select vec_id as a, vec_id + 5 as b, null::double as sim from embeddings where vec_id % 50 = 0 and vec_id + 5 <= (select max(vec_id) from embeddings) union all select a, b, sim from p),
+ e as (select a, b, sim, row_number() over (order by sim is not null, case when sim is null then a end, case when sim is null then b end, sim desc, a desc, b desc) as k from e0 where (a + b) % 7 <> 0),
+ st as (select 0::bigint as k, []::bigint[] as gone, []::struct(gone bigint, kept bigint, sim double, k bigint)[] as m, c from cnt union all
+  select st.k + 1, case when ok then list_append(gone, dropped) else gone end, case when ok then list_append(m, struct_pack(gone := dropped, kept := keep, sim := sim, k := st.k + 1)) else m end, case when ok then list_transform(c, lambda x, i: case when i = keep - low + 1 then x + c[dropped - low + 1] else x end) else c end
+  from st, cnt as z(c_, low), lateral (select *, case when ca >= cb then a else b end as keep, case when ca >= cb then b else a end as dropped, not list_contains(gone, a) and not list_contains(gone, b) and (sim is null or sim >= least(0.35e0 + 0.08e0, 0.35e0 + 0.015e0 * log2(greatest(least(ca, cb), 1)))) as ok
+   from (select e.*, c[e.a - low + 1] as ca, c[e.b - low + 1] as cb from e where e.k = st.k + 1) e1) e2),
+ f as (select unnest(m, recursive := true) from (select m from st order by k desc limit 1)), g1 as (select gone, kept from f where sim is null union all select gone, kept from (select * from f where sim is not null order by k limit 500)),
+ w(gone, kept) as (select gone, kept from g1 union select w.gone, g1.kept from w join g1 on g1.gone = w.kept), g as (select gone, kept from w where kept not in (select gone from g1))"""
 
 
 def merges(spark, d):
-    p = similarity.similar_pairs(vectors(spark, d), 0.35)
-    return cluster.greedy_merges(p.withColumn("keep", F.col("a")))
+    v = vectors(spark, d)
+    p = similarity.similar_pairs(v, 0.35)
+    sizes = Tables(spark, d).events.groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
+    confirmed = v.filter("id % 50 = 0").select(F.col("id").alias("a"), (F.col("id") + 5).alias("b")).join(v.select(F.col("id").alias("b")), "b", "left_semi")
+    splits = p.select("a", "b").unionByName(confirmed.select("a", "b")).filter("(a + b) % 7 = 0").select(F.col("b").alias("a"), F.col("a").alias("b"))
+    return p, cluster.greedy_merges(p, sizes, 0.35, confirmed, splits)
 
 
-@query("cl3b_greedy_merges", f"with {MERGES} select gone, kept from g")
+@query("cl3b_greedy_merges", f"with recursive {MERGES} select gone, kept from g")
 def cl3b(spark, d):
-    return merges(spark, d)
+    return merges(spark, d)[1]
 
 
-@query("cl4_absorbed", f"with {MERGES}, x as (select least(coalesce(g1.kept, p.a), coalesce(g2.kept, p.b)) as a, greatest(coalesce(g1.kept, p.a), coalesce(g2.kept, p.b)) as b from p left join g g1 on p.a = g1.gone left join g g2 on p.b = g2.gone) select distinct a, b from x where a <> b")
+@query("cl4_absorbed", f"with recursive {MERGES}, x as (select least(coalesce(g1.kept, p.a), coalesce(g2.kept, p.b)) as a, greatest(coalesce(g1.kept, p.a), coalesce(g2.kept, p.b)) as b from p left join g g1 on p.a = g1.gone left join g g2 on p.b = g2.gone) select distinct a, b from x where a <> b")
 def cl4(spark, d):
-    p = similarity.similar_pairs(vectors(spark, d), 0.35)
-    return cluster.rekeyed_pairs(p.select("a", "b"), cluster.greedy_merges(p.withColumn("keep", F.col("a"))))
+    p, merged = merges(spark, d)
+    return cluster.rekeyed_pairs(p.select("a", "b"), merged)
 
 
 @query("cl5_detached", "select case when event_type = 'error' and value > 90 then -event_id else user_id end as story_id, count(*) as items from events group by 1")

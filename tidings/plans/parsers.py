@@ -87,10 +87,13 @@ def sf4(spark, d):
 FREQUENT = {"en": ["the", "and", "of", "to", "that"], "de": ["der", "die", "und", "das", "von"], "fr": ["les", "des", "et", "une", "dans"], "es": ["los", "las", "una", "con", "por"]}
 
 
-@query("sf6_language_by_words", """with n as (select doc_id, len(regexp_extract_all(lower(text), '(?:^|[^\\pL])(?:the|and|of|to|that)(?:$|[^\\pL])')) > 0 as any_en from documents) select doc_id, any_en from n""")
+COUNTS = ", ".join(f"len(list_filter(w, lambda x: x in ({', '.join(repr(x) for x in words)}))) as {lang}" for lang, words in FREQUENT.items())
+
+
+@query("sf6_language_by_words", f"""with w as (select doc_id, text, string_split_regex(lower(text), '[^\\pL]+') as w from documents), n as (select doc_id, length(text) as size, {COUNTS} from w)
+ select doc_id, case when size < 12 or greatest(en, de, fr, es) = 0 then null when en = greatest(en, de, fr, es) then 'en' when de = greatest(en, de, fr, es) then 'de' when fr = greatest(en, de, fr, es) then 'fr' else 'es' end as language from n""")
 def sf6(spark, d):
-    hit = F.size(F.regexp_extract_all(F.lower("text"), F.lit(r"(?:^|[^\p{L}])(?:" + "|".join(FREQUENT["en"]) + r")(?:$|[^\p{L}])"), F.lit(0))) > 0
-    return Tables(spark, d).documents.select("doc_id", hit.alias("any_en"))
+    return Tables(spark, d).documents.select("doc_id", tx.language_by_words(F.col("text"), FREQUENT).alias("language"))
 
 
 AREA = "pow(0.25e0 * 111.195e0, 2) * cos(radians((cy + 0.5e0) * 0.25e0))"

@@ -64,7 +64,11 @@ def jn5(spark, d):
     e = Tables(spark, d).events
     posts = e.filter("event_type = 'click'").select("event_id", "user_id", "ts")
     others = e.filter("event_type <> 'click'").select(F.col("user_id").alias("u"), F.col("event_type").alias("outlet"), F.col("ts").alias("t"))
-    j = posts.join(others, (F.col("user_id") == F.col("u")) & (F.col("t") >= F.col("ts") + F.expr("interval 10 minutes")) & (F.col("t") <= F.col("ts") + F.expr("interval 48 hours")))
+    # times meet by spans of 48 hours: what follows a post lies in its own span or the next one
+    span = lambda c: F.floor(F.unix_seconds(c) / 172_800)
+    others = others.withColumn("span", F.explode(F.array(span("t"), span("t") - 1)))
+    j = posts.withColumn("at", span("ts")).join(others, (F.col("user_id") == F.col("u")) & (F.col("at") == F.col("span")))
+    j = j.filter((F.col("t") >= F.col("ts") + F.expr("interval 10 minutes")) & (F.col("t") <= F.col("ts") + F.expr("interval 48 hours")))
     return j.groupBy("event_id").agg(F.countDistinct("outlet").alias("outlets"))
 
 
@@ -78,9 +82,27 @@ def jn7(spark, d):
     return similarity.similar_pairs(vectors(spark, d), 0.35)
 
 
+#: Where bands of sign bits pay: 256 buckets for each of 48 bands.
+LSH = 0.6
+
+
+def versions(spark, d):
+    """The vectors, and beside each a version of it that leans towards the next one."""
+    v = vectors(spark, d).select("id", F.col("v").cast("array<double>").alias("v"))
+    j = v.join(v.select((F.col("id") - 1).alias("id"), F.col("v").alias("w")), "id")
+    m = j.select((F.col("id") + 1_000_000).alias("id"), F.zip_with("v", "w", lambda x, y: x + 0.75 * y).alias("v"))
+    return v.unionByName(m.select("id", F.transform("v", lambda x: x / norm(F.col("v"))).alias("v")))
+
+
 @query("jn7b_similarity_join_lsh")
 def jn7b(spark, d):
-    return similarity.similar_pairs_lsh(vectors(spark, d), 0.35, 64)
+    return similarity.similar_pairs_lsh(versions(spark, d), LSH, 64)
+
+
+@query("jn7c_pairs_in_window", f"with {PAIRS.format(least=0.3)} select * from p where b - a <= 432")
+def jn7c(spark, d):
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 600)  # 432 steps of ten minutes are 72 hours
+    return similarity.similar_pairs_in_window(vectors(spark, d).withColumn("at", at), 0.3, 72)
 
 
 @query("jn8_nearest_neighbours", """with s as (select q.vec_id as id, x.vec_id as other, round(list_dot_product(q.embedding::double[], x.embedding::double[]), 6) as sim from embeddings q join embeddings x on q.vec_id <> x.vec_id where q.vec_id % 100 = 0),

@@ -11,14 +11,14 @@ from tidings.plans.registry import query
 from tidings.tables import Tables
 
 STOP = ["the", "and", "of", "to", "in", "de", "la", "der", "die", "et"]
-MARKS = f"translate(lower({{0}}), '{tx.MARKED}', '{tx.PLAIN}')"
+MARKS = "strip_accents(lower({0}))"
 
 
 def documents(spark, d):
     return Tables(spark, d).documents
 
 
-@query("sf1_clean", r"""with c as (select page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '\s+', ' ', 'g')) as t from pages)
+@query("sf1_clean", r"""with c as (select page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '&middot;', '·'), '&copy;', '©'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;?', '&', 'g'), '[\s\x{00a0}]+', ' ', 'g')) as t from pages)
  select page_id, length(t) as n, case when length(t) > 200 then regexp_replace(t[1:200], ' [^ ]*$', '') || '...' else t end as text from c""")
 def sf1(spark, d):
     p = Tables(spark, d).pages
@@ -34,10 +34,22 @@ def sf2(spark, d):
     return p.select("p_partkey", tx.clean_title(F.concat(F.lit("The long headline of part "), "p_name", tail)).alias("title"))
 
 
-@query("sf3_comparable_title", "select p_partkey, p_name as title from part")
+LEADS = ["(LEAD) ", "BREAKING: [Video] ", "", "UPDATE 2-", "\u3010Extra\u3011 ", "Live updates 3 | (2nd LD) RPT-", "Lead: Watch - Opinion: [1] Factbox: "]
+
+
+@query("sf3_comparable_title", "select p_partkey, case when p_partkey % 7 = 6 then 'Factbox: ' || p_name else p_name end as title from part")
 def sf3(spark, d):
-    lead = F.when(F.col("p_partkey") % 3 == 0, "(LEAD) ").when(F.col("p_partkey") % 3 == 1, "BREAKING: [Video] ").otherwise("")
-    return Tables(spark, d).part.select("p_partkey", tx.comparable_title(F.concat(lead, "p_name"), ["breaking", "live", "watch"]).alias("title"))
+    lead = F.element_at(F.array(*map(F.lit, LEADS)), (F.col("p_partkey") % 7 + 1).cast("int"))  # four labels go at most
+    return Tables(spark, d).part.select("p_partkey", tx.comparable_title(F.concat(lead, "p_name")).alias("title"))
+
+
+TITLES = ["Privacy Policy - Example", "404", "Subscriber numbers grow", "World News - The Daily Post", "local headlines", "Senior Data Engineer", "Site engineer", "The nurse who stayed", "Sign in to read", "Loginov wins the race"]
+
+
+@query("flt7_junk_titles", "select p_partkey, p_partkey % 10 in (0, 1, 3, 4, 5, 6, 8) as junk from part")
+def flt7(spark, d):
+    title = F.element_at(F.array(*map(F.lit, TITLES)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    return Tables(spark, d).part.select("p_partkey", tx.junk_title(title).alias("junk"))
 
 
 @query("sf5_phrases", r"""select p_partkey, len(list_distinct(regexp_extract_all(lower(p_name), '\b(?:red widget|widget|red|bolt)\b'))) as n from part""")
@@ -45,9 +57,19 @@ def sf5(spark, d):
     return Tables(spark, d).part.select("p_partkey", F.size(tx.phrases_found(F.col("p_name"), ["red", "widget", "red widget", "bolt"])).cast("long").alias("n"))
 
 
-@query("sf7_folded", f"select doc_id, md5({MARKS.format('text')}) as digest from documents where lang <> 'de'")
+@query("sf7_folded", f"select doc_id, md5({MARKS.format('text')}) as digest from documents")
 def sf7(spark, d):
-    return documents(spark, d).filter("lang <> 'de'").select("doc_id", F.md5(tx.folded(F.col("text")).cast("binary")).alias("digest"))
+    return documents(spark, d).select("doc_id", F.md5(tx.folded(F.col("text")).cast("binary")).alias("digest"))
+
+
+SPELLINGS = "case p_partkey % 4 when 0 then 'Pokrovs''k' when 1 then 'Łódź–Ěščř' when 2 then 'Ёлка' else 'Thị xã Sơn’Tây' end || '  ' || p_name"
+
+
+@query("sf8_place_key", f"select p_partkey, trim(regexp_replace(regexp_replace(strip_accents(lower({SPELLINGS})), '[''’`ʼ]', '', 'g'), '[^\\pL\\pN_]+', ' ', 'g')) as key from part")
+def sf8(spark, d):
+    k = F.col("p_partkey") % 4
+    name = F.when(k == 0, "Pokrovs'k").when(k == 1, "Łódź–Ěščř").when(k == 2, "Ёлка").otherwise("Thị xã Sơn’Tây")
+    return Tables(spark, d).part.select("p_partkey", tx.place_key(F.concat(name, F.lit("  "), "p_name")).alias("key"))
 
 
 @query("sf9_query_words", f"""with w as (select item_id, list_filter(string_split_regex({MARKS.format('text')}, '[^\\pL\\pN_]+'), lambda x: x <> '') as w from benchmark), k as (select item_id, w, list_filter(w, lambda x: length(x) >= 2 and x not in ('the','and','of','to','in','de','la','der','die','et')) as k from w)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidings.functions.text import canonical_link, compact_count, domain
+from tidings.functions.text import canonical_link, compact_count, domain, link_parts
 
 SKIP = {"script", "style", "nav", "footer", "header", "aside", "noscript", "form"}
 BLOCK = {"p", "br", "div", "li", "h1", "h2", "h3", "h4", "blockquote", "figcaption", "tr"}
@@ -63,22 +63,22 @@ class _Article(HTMLParser):
         self.text.append(data)
 
 
-def article_of(html: str, most: int = 30_000) -> tuple:
-    """title, text, lead image, up to 6 captions, status of a page (SRC13)."""
+def article_of(html: str, most: int | None = 30_000, captions: int | None = 6) -> tuple:
+    """title, text, lead image, captions, status of a page (SRC13); None takes the whole text and all captions."""
     p = _Article()
     p.feed(html or "")
     p.close()
     lines = (re.sub(r"\s+", " ", x).strip() for x in "".join(p.text).split("\n"))
     text = "\n".join(x for x in lines if x)[:most]
-    return p.title, text, p.image, [c.strip() for c in p.captions if c.strip()][:6], "ok" if len(text) >= 300 else "short"
+    return p.title, text, p.image, [c.strip() for c in p.captions if c.strip()][:captions], "ok" if len(text) >= 300 else "short"
 
 
-def articles(pages: DataFrame) -> DataFrame:
-    """page_id, title, text, image, captions, status; pages: page_id, html."""
+def articles(pages: DataFrame, most: int | None = 30_000, captions: int | None = 6) -> DataFrame:
+    """page_id, title, text, image, captions, status; pages: page_id, html. The limits are those of article_of()."""
 
     def run(batches):
         for b in batches:
-            rows = [article_of(h) for h in b.column(1).to_pylist()]
+            rows = [article_of(h, most, captions) for h in b.column(1).to_pylist()]
             c = list(zip(*rows)) if rows else [[]] * 5
             kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x, t) for x, t in zip(c, kinds)]], names=["page_id", "title", "text", "image", "captions", "status"])
@@ -86,24 +86,27 @@ def articles(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInArrow(run, "page_id long, title string, text string, image string, captions array<string>, status string")
 
 
-def outbound(pages: DataFrame, most: int = 60) -> DataFrame:
-    """page_id, link, text: links worth following (SRC18): not to the page itself, share buttons, ads or section pages; each once.
+def outbound(pages: DataFrame, unwanted_hosts=(), unwanted_parts=(), section_parts=(), most: int | None = 60) -> DataFrame:
+    """page_id, link, text: links worth following (SRC18), each once, the first ``most`` of a page (None: all).
 
-    pages: page_id, url, html."""
+    Not to the page itself, a bare host, an unwanted host (or one below it), a path with an unwanted part, or the site's own
+    section pages: those with one part of path, or with one of section_parts among them. pages: page_id, url, html."""
     a = r'(?is)<a\b[^>]*?href="(https?://[^"]+)"[^>]*>(.*?)</a>'
     each = pages.select("page_id", "url", F.posexplode(F.arrays_zip(F.regexp_extract_all("html", F.lit(a), F.lit(1)).alias("h"), F.regexp_extract_all("html", F.lit(a), F.lit(2)).alias("t"))).alias("n", "x"))
     link = canonical_link(F.col("x.h"))
     e = each.select("page_id", "url", "n", link.alias("link"), F.regexp_replace("x.t", "<[^>]*>", "").alias("text"))
-    path = F.regexp_extract("link", r"^https?://[^/?#]*([^?#]*)", 1)
     host, home = domain(F.col("link")), domain(F.col("url"))
-    bad_host = host.rlike(r"facebook\.com|linkedin\.com|pinterest\.|whatsapp\.|doubleclick|google\.com|apple\.com")
-    bad_path = F.lower(path).contains("share") | path.isin("", "/") | path.rlike(r"/(donate|subscribe)/?$")
-    same = (host == home) | F.endswith(host, F.concat(F.lit("."), home))
-    section = same & ((F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit(""))) < 2) | path.rlike(r"/(tags?|topics?|author|section|category|live)/"))
-    e = e.filter((F.col("link") != canonical_link(F.col("url"))) & (host != "") & ~bad_host & ~bad_path & ~section)
+    parts = link_parts(F.col("link"))[1]
+    below = lambda x, name: (x == name) | F.endswith(x, F.concat(F.lit("."), name))
+    unwanted = F.arrays_overlap(F.transform(parts, F.lower), F.array(*map(F.lit, unwanted_parts)).cast("array<string>"))
+    for name in unwanted_hosts:
+        unwanted = unwanted | below(host, F.lit(name))
+    section = below(host, home) & ((F.size(parts) < 2) | F.arrays_overlap(F.transform(parts, F.lower), F.array(*map(F.lit, section_parts)).cast("array<string>")))
+    e = e.filter((F.col("link") != canonical_link(F.col("url"))) & (host != "") & (F.size(parts) > 0) & ~unwanted & ~section)
     first = e.groupBy("page_id", "link").agg(F.min(F.struct("n", "text")).alias("f"))
     r = F.row_number().over(Window.partitionBy("page_id").orderBy("f.n"))
-    return first.withColumn("r", r).filter(F.col("r") <= most).select("page_id", "link", "f.text")
+    first = first.withColumn("r", r)
+    return (first.filter(F.col("r") <= most) if most else first).select("page_id", "link", "f.text")
 
 
 class _Channel(HTMLParser):

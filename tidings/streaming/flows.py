@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pandas as pd
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from tidings.operators.graph import shared_folder
+
 
 def file_stream(spark: SparkSession, folder: str, name: str, per_batch: int = 8) -> DataFrame:
     """A table's files as a stream in micro-batches of ``per_batch`` files (ST1)."""
@@ -22,8 +23,7 @@ def file_stream(spark: SparkSession, folder: str, name: str, per_batch: int = 8)
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over all input that is there now, into a Parquet table beside its checkpoint (ST9)."""
     spark = stream.sparkSession
-    where = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidings-")
-    path = f"{where.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     q = stream.writeStream.format("parquet").outputMode(mode).option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
