@@ -338,3 +338,28 @@ def test_a_shared_folder_is_asked_for_off_local_sessions():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_folder(Away())
+
+
+def test_state_is_forgotten_behind_the_watermark(spark, tmp_path):
+    from tidings.streaming import flows
+
+    day = lambda k: dt.datetime(2025, 1, 1) + dt.timedelta(days=k)
+    files = [[(1, day(0), 5.0), (2, day(0), 1.0)], [(2, day(10), None)], [(3, day(20), 2.0)], [(1, day(21), None), (3, day(21), None)]]
+    for rows in files:
+        spark.createDataFrame(rows, "k long, at timestamp, x double").coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    out = flows.drained(flows.latest_state(flows.file_stream(spark, str(tmp_path), "events", 1), "k", "at", ["x"], "3 days")).collect()
+    last = {r["k"]: r["x"] for r in sorted(out, key=lambda r: r["at_us"])}
+    assert last[1] is None and last[3] == 2.0  # key 1 starts afresh, key 3 still knows its value
+
+
+def test_shape_files_with_other_records_and_cut_ends():
+    import struct
+
+    from tidings.sources import shapes
+
+    parts = [[{"lat": 1.0, "lon": 2.0}, {"lat": 3.0, "lon": 4.0}], [{"lat": 5.0, "lon": 6.0}]]
+    whole = shapes.shape_file([parts, parts[:1]], shapes.LINE)
+    point = struct.pack(">ii", 9, 10) + struct.pack("<i2d", 1, 7.0, 8.0)
+    got = [(n, k, xy.tolist()) for n, k, xy in shapes.shape_parts(whole + point)]
+    assert got == [(1, 0, [[2.0, 1.0], [4.0, 3.0]]), (1, 1, [[6.0, 5.0]]), (2, 0, [[2.0, 1.0], [4.0, 3.0]])]
+    assert list(shapes.shape_parts(whole[:100])) == [] and list(shapes.shape_parts(b"")) == []

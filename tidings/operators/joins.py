@@ -50,6 +50,15 @@ def nearest_within(left: DataFrame, right: DataFrame, km: float, distance, key:
     return p.groupBy(key).agg(F.min(F.struct("km", right_key)).alias("best")).select(key, f"best.{right_key}", "best.km")
 
 
+def nearest_in_cell(points: DataFrame, places: DataFrame, size: float, distance, key: str) -> DataFrame:
+    """key, place, km: for each point the nearest place of its own grid cell (JN12), ties to the smaller place; points without one drop out.
+
+    points: key, lat, lon; places: place, lat, lon."""
+    right = cells(places.select("place", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")), "r_lat", "r_lon", size)
+    j = cells(points, "lat", "lon", size).join(right, ["cy", "cx"]).withColumn("km", distance(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
+    return j.groupBy(key).agg(F.min(F.struct("km", "place")).alias("b")).select(key, "b.place", "b.km")
+
+
 def both_ways(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Undirected edges (a, b) as rows (node, other) of both directions (JN6): an equi-join instead of an OR."""
     rest = [c for c in edges.columns if c not in (a, b)]

@@ -47,9 +47,9 @@ def breaking(items: DataFrame, as_of: DataFrame, last: str = "1 hour", prior: st
     return g.select("story_id", "last_hour", "prior_day", "outlets", (hot & ~silent).alias("breaking"), F.when(silent, F.lit(0)).otherwise(F.col("last_hour")).cast("long").alias("velocity"))
 
 
-def most_common(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, value, n: the most frequent non-null value of each group, ties to the smallest (AG8, AG26)."""
-    n = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+def most_common(df: DataFrame, keys: list[str], value: str, skip=()) -> DataFrame:
+    """keys, value, n: the most frequent value of each group that is not null and not to be skipped, ties to the smallest (AG8, AG26)."""
+    n = df.filter(F.col(value).isNotNull() & ~F.col(value).isin(*skip)).groupBy(*keys, value).agg(F.count("*").alias("n"))
     best = F.max(F.struct("n")).over(Window.partitionBy(*keys))["n"]
     return n.withColumn("best", best).filter("n = best").groupBy(*keys, "n").agg(F.min(value).alias(value)).select(*keys, value, "n")
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tidings.operators.graph import shared_folder
 from tidings.plans.registry import query
 from tidings.sources import feeds, pages, sensors
 from tidings.streaming import flows
@@ -84,6 +87,17 @@ def flt16(spark, d):
     return Tables(spark, d).part.select("p_partkey", sensors.wanted_type(t).alias("wanted"), sensors.label(F.floor(t / 10), sensors.SHIP_KINDS).alias("kind"))
 
 
+HAZARD = "case t % 10 when 1 then ', hazardous goods (A)' when 2 then ', hazardous goods (B)' when 3 then ', hazardous goods (C)' when 4 then ', hazardous goods (D)' else '' end"
+
+
+@query("sf27b_ship_labels", f"""with x as (select p_partkey, case when p_partkey % 9 <> 0 then p_size + 50 end as t, p_partkey % 10 as nav from part) select p_partkey, case when t is null then 'type not yet known' when t // 10 = 7 then 'cargo ship' || {HAZARD} when t // 10 = 8 then 'tanker' || {HAZARD} when t // 10 = 6 then 'passenger ship' else 'AIS type ' || t end as label,
+ ['under way', 'at anchor', 'not under command', 'restricted in how it can move', 'constrained by its draught', 'moored', 'aground', 'fishing', 'under way sailing'][nav + 1] as state from x""")
+def sf27b(spark, d):
+    k = F.col("p_partkey")
+    kind = F.when(k % 9 != 0, F.col("p_size") + 50)
+    return Tables(spark, d).part.select("p_partkey", sensors.ship_label(kind).alias("label"), sensors.label(k % 10, sensors.NAVIGATION).alias("state"))
+
+
 CLOSED = "(select max(ts) as m from events)"
 
 
@@ -114,6 +128,19 @@ def st4(spark, d):
     return out.groupBy("user_id").agg(F.max("at_us").alias("at_us"), F.max_by("high", "at_us").alias("high"))
 
 
+@query("st5_forgotten_state")
+def st5(spark, d):
+    """Events in four files by time, read one after the other; a user's state is forgotten three days behind the watermark."""
+    e = Tables(spark, d).events.select("user_id", "ts", F.when(F.col("value") > 50, F.col("value")).alias("high"))
+    low, high = e.agg(F.min("ts"), F.max("ts")).first()
+    folder = f"{shared_folder(spark)}/st5-{uuid.uuid4().hex}"
+    for k in range(4):
+        a, z = (low + (high - low) * x / 4 for x in (k, k + 1))
+        e.filter((F.col("ts") >= a) & ((F.col("ts") < z) | F.lit(k == 3))).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+    out = flows.drained(flows.latest_state(flows.file_stream(spark, folder, "events", 1), "user_id", "ts", ["high"], "3 days"))
+    return out.select("user_id", "at_us", "high")
+
+
 @query("st8_sessions", f"""with x as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) >= interval 6 hour then 1 else 0 end as cut from events), y as (select *, sum(cut) over (partition by user_id order by ts rows unbounded preceding) as k from x),
  s as (select user_id, floor(epoch(min(ts)))::bigint as start, floor(epoch(max(ts)))::bigint + 21600 as "end", count(*) as n from y group by user_id, k) select user_id, start, "end", n from s, {CLOSED} where "end" <= epoch(m) - 7200""")
 def st8(spark, d):

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidings import plugins
-from tidings.operators import joins, places, tracks
+from tidings.operators import joins, places, rollup, search, tracks
 from tidings.operators.graph import shared_folder
 from tidings.plans.registry import query
 from tidings.plans.relations import HAV, LAT, LON, coordinates
-from tidings.sources import dimensions
+from tidings.sources import dimensions, shapes
 from tidings.tables import Tables
 
 
@@ -153,13 +154,69 @@ def so3(spark, d):
     return joins.stories_at(spots, stories, far.select(F.col("c_custkey").alias("story"), lat.alias("lat"), lon.alias("lon"), (F.col("c_custkey") % 10 / 10.0).alias("weight")), 400.0, haversine_km)
 
 
-RINGS = """with r as (select s_suppkey as area, s_suppkey % 7 + 0.31e0 as y, s_suppkey % 11 + 0.17e0 as x from supplier), v as (select area, i, y + [0e0, 0.1e0, 1.4e0, 0.7e0, 1.3e0][i] as vy, x + [0e0, 1.5e0, 1.2e0, 0.6e0, -0.2e0][i] as vx from r, unnest(range(1, 6)) u(i)),
+@query("jn12_nearest_in_cell", f"""with a as (select c_custkey as id, {LAT.format('c_custkey')} as lat, {LON.format('c_custkey')} as lon from customer), b as (select s_suppkey as place, {LAT.format('s_suppkey')} as lat, {LON.format('s_suppkey')} as lon from supplier),
+ x as (select id, place, round({HAV.format('a.lat', 'a.lon', 'b.lat', 'b.lon')}, 6) as km from a join b on floor(a.lat / 30) = floor(b.lat / 30) and floor(a.lon / 30) = floor(b.lon / 30)), k as (select *, row_number() over (partition by id order by km, place) as n from x) select id, place, round(km, 3) as km from k where n = 1""")
+def jn12(spark, d):
+    from tidings.functions.geo import haversine_km
+    from tidings.plans.relations import points
+
+    t = Tables(spark, d)
+    dist = lambda *x: F.round(haversine_km(*x), 6)
+    near = joins.nearest_in_cell(points(t.customer, "c_custkey"), points(t.supplier, "s_suppkey").withColumnRenamed("id", "place"), 30.0, dist, "id")
+    return near.select("id", "place", F.round("km", 3).alias("km"))
+
+
+@query("ag26_common_known", """with n as (select l_suppkey as event, l_returnflag as weapon, count(*) as n from lineitem where l_returnflag not in ('unknown', 'N') group by 1, 2), k as (select *, row_number() over (partition by event order by n desc, weapon) as r from n), q as (select l_suppkey as event, max(l_quantity) as killed from lineitem group by 1)
+ select q.event, weapon, n, killed from q left join k on q.event = k.event and r = 1""")
+def ag26(spark, d):
+    l = Tables(spark, d).lineitem.withColumnRenamed("l_suppkey", "event")
+    common = rollup.most_common(l.withColumnRenamed("l_returnflag", "weapon"), ["event"], "weapon", skip=["unknown", "N"])
+    return l.groupBy("event").agg(F.max("l_quantity").alias("killed")).join(common, "event", "left").select("event", "weapon", "n", "killed")
+
+
+RING_SQL = """with r as (select s_suppkey as area, s_suppkey % 7 + 0.31e0 as y, s_suppkey % 11 + 0.17e0 as x from supplier), v as (select area, i, y + [0e0, 0.1e0, 1.4e0, 0.7e0, 1.3e0][i] as vy, x + [0e0, 1.5e0, 1.2e0, 0.6e0, -0.2e0][i] as vx from r, unnest(range(1, 6)) u(i))"""
+RINGS = f"""{RING_SQL},
  e as (select a.area, a.vy as ay, a.vx as ax, b.vy as by_, b.vx as bx from v a join v b on a.area = b.area and b.i = a.i % 5 + 1), g as (select cy, cx, (cy + 0.5e0) * 0.25e0 as py, (cx + 0.5e0) * 0.25e0 as px from unnest(range(-10, 60)) y(cy), unnest(range(-10, 70)) z(cx))"""
 
 
-@query("geo1b_polygons", f"{RINGS} select area, cy::bigint as cy, cx::bigint as cx from e, g where (ay > py) <> (by_ > py) and px < (bx - ax) * (py - ay) / (by_ - ay) + ax group by 1, 2, 3 having count(*) % 2 = 1")
-def geo1b(spark, d):
-    s = Tables(spark, d).supplier
+def rings(spark, d):
     y, x = F.col("s_suppkey") % 7 + 0.31, F.col("s_suppkey") % 11 + 0.17
     ring = F.array(*[F.struct((y + a).alias("lat"), (x + b).alias("lon")) for a, b in ((0.0, 0.0), (0.1, 1.5), (1.4, 1.2), (0.7, 0.6), (1.3, -0.2))])
-    return tracks.polygon_cells(s.select(F.col("s_suppkey").alias("area"), ring.alias("ring")), 0.25)
+    return Tables(spark, d).supplier.select(F.col("s_suppkey").cast("long").alias("id"), ring.alias("ring"))
+
+
+def shape_files(rows, parts, kind: int):
+    """rows (id, parts: array of arrays of struct lat, lon) with a shape file of one record each."""
+
+    def run(batches):
+        for b in batches:
+            files = [shapes.shape_file([p], kind) for p in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(files, pa.binary())], names=["id", "content"])
+
+    return rows.select("id", parts.alias("parts")).mapInArrow(run, "id long, content binary")
+
+
+@query("src23_zones", f"""{RING_SQL}, n as (select area, count(*) as vertices from v group by 1) select s_suppkey as area, n.vertices + 1 as vertices, round(s_suppkey % 7 + 0.31e0, 6) as south, round(s_suppkey % 11 + 0.17e0 + 1.5e0, 6) as east from supplier join n on s_suppkey = n.area""")
+def src23(spark, d):
+    z = shapes.parts(shape_files(rings(spark, d), F.array(F.concat("ring", F.slice("ring", 1, 1))), shapes.POLYGON))
+    z = z.select(F.col("id").alias("area"), F.col("line").alias("ring"))
+    return z.select("area", F.size("ring").cast("long").alias("vertices"), F.round(F.array_min(F.transform("ring", lambda p: p["lat"])), 6).alias("south"), F.round(F.array_max(F.transform("ring", lambda p: p["lon"])), 6).alias("east"))
+
+
+@query("src26_rail_lines", "select s_suppkey as line, part, n_points from supplier, (values (0, 2), (1, 3)) x(part, n_points)")
+def src26(spark, d):
+    two = F.array(F.slice("ring", 1, 2), F.slice("ring", 3, 1), F.slice("ring", 3, 3))  # the second part is a single point, which is no line
+    z = shapes.lines(shapes.parts(shape_files(rings(spark, d), two, shapes.LINE)))
+    return z.select(F.col("id").alias("line"), F.col("part").cast("int").alias("part"), F.size("line").alias("n_points"))
+
+
+@query("tk6_tiers", """with e as (select p_partkey, 0 as tier, p_size as closeness from part where contains(p_name, 'red')), f as (select p_partkey, 1 as tier, p_size from part where contains(p_name, 'e') and not contains(p_name, 'red'))
+ select p_partkey, tier from (select * from e union all select * from f) order by tier, closeness desc, p_partkey limit 120""")
+def tk6(spark, d):
+    p = Tables(spark, d).part.select("p_partkey", "p_name", F.col("p_size").alias("closeness"))
+    return search.tiered(p.filter(F.contains("p_name", F.lit("red"))), p.filter(F.contains("p_name", F.lit("e"))), "p_partkey", 120, F.desc("closeness"), F.col("p_partkey")).select("p_partkey", "tier")
+
+
+@query("geo1b_polygons", f"{RINGS} select area, cy::bigint as cy, cx::bigint as cx from e, g where (ay > py) <> (by_ > py) and px < (bx - ax) * (py - ay) / (by_ - ay) + ax group by 1, 2, 3 having count(*) % 2 = 1")
+def geo1b(spark, d):
+    return tracks.polygon_cells(rings(spark, d).withColumnRenamed("id", "area"), 0.25)

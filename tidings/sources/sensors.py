@@ -65,7 +65,21 @@ def crossings(waits: DataFrame, towns: DataFrame) -> DataFrame:
 
 #: Ship types by their tens, and navigation states: fixed values of the AIS standard.
 SHIP_KINDS = {3: "special craft", 4: "high speed craft", 5: "special craft", 6: "passenger", 7: "cargo", 8: "tanker", 9: "other"}
-NAVIGATION = {0: "under way", 1: "at anchor", 2: "not under command", 3: "restricted manoeuvrability", 5: "moored", 6: "aground", 7: "fishing", 8: "under sail"}
+NAVIGATION = {
+    0: "under way", 1: "at anchor", 2: "not under command", 3: "restricted in how it can move", 4: "constrained by its draught",
+    5: "moored", 6: "aground", 7: "fishing", 8: "under way sailing",
+}
+#: Hazard classes of cargo ships and tankers, by the last digit of their type.
+HAZARDS = {1: "A", 2: "B", 3: "C", 4: "D"}
+
+
+def ship_label(kind: Column) -> Column:
+    """What a ship type reads as (SF27): cargo ships and tankers with their hazard class, passenger ships, else the bare number."""
+    tens, last = F.floor(kind / 10), kind % 10
+    base = F.when(tens == 7, "cargo ship").when(tens == 8, "tanker").when(tens == 6, "passenger ship")
+    hazard = F.when(tens.isin(7, 8), label(last, HAZARDS))
+    named = F.when(hazard.isNotNull(), F.concat(base, F.lit(", hazardous goods ("), hazard, F.lit(")"))).otherwise(base)
+    return F.coalesce(named, F.concat(F.lit("AIS type "), kind.cast("string")), F.lit("type not yet known"))
 
 
 def label(code: Column, names: dict) -> Column:
