@@ -363,3 +363,14 @@ def test_shape_files_with_other_records_and_cut_ends():
     got = [(n, k, xy.tolist()) for n, k, xy in shapes.shape_parts(whole + point)]
     assert got == [(1, 0, [[2.0, 1.0], [4.0, 3.0]]), (1, 1, [[6.0, 5.0]]), (2, 0, [[2.0, 1.0], [4.0, 3.0]])]
     assert list(shapes.shape_parts(whole[:100])) == [] and list(shapes.shape_parts(b"")) == []
+
+
+def test_close_spelling_leaves_out_nothing_close(spark):
+    from tidings.operators import search
+
+    texts = ["a widgt here", "wiget", "wigdet", "the gadget", "xidget", "w i d", "idge", "mid get", "", "widow", "bigot", "at et"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = {r["t"]: r["s"] for r in frame.select("t", search.close_spelling("widget", F.col("t")).alias("s")).collect()}
+    for t in texts:
+        want = tx.word_similarity("widget", t)
+        assert got[t] == want or (want < 0.4 and got[t] == 0.0), t
