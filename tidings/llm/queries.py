@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidings.llm import decontaminate, language, lines, mixing, passages, quality_model, quality_rules, simhash, token_files, toxicity
+from tidings.llm import alignment, decontaminate, hard_negatives, language, lines, mixing, passages, quality_model, quality_rules, simhash, suffix_dedup, token_files, toxicity
 from tidings.llm.common import table
 
 
@@ -46,9 +46,21 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_alignment(spark, sf_dir):
+    return alignment.aligned(table(spark, sf_dir, "documents"))
+
+
+def op12_suffixes(spark, sf_dir):
+    return suffix_dedup.stripped(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
 def oracle_sql():
-    return {"op6_lines": lines.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
+    return {"op6_lines": lines.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op12_suffixes": suffix_dedup.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
