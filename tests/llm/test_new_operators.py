@@ -95,17 +95,18 @@ def test_alignment_equals_brute_force_on_documents(docs):
 
 def test_blocks_keep_cuts_and_counts_apart():
     align, own = alignment.aligner(*alignment.default_paths()), alignment.Block()
+    align.forget()
     align.learn(["some", "words", "▁"])
-    for doc, text in ((1, "some words some"), (2, "some ▁"), (3, "words")):
-        own.add(doc, text, align)
+    for doc, parts in ((1, ["some", "words", "some"]), (2, ["some", "▁"]), (3, ["words"]), (4, [])):
+        own.add(doc, parts, 10, align)
     block = own.row(7, align).to_pylist()[0]
-    assert [d["n_groups"] for d in block["docs"]][1] == 0 and np.frombuffer(block["lengths"], "<u4").tolist() == [3, 0, 1]
+    assert [d["n_groups"] for d in block["docs"]][1] == 0 and np.frombuffer(block["lengths"], "<u4").tolist() == [3, 0, 1, 0]
     assert sum(block["times"]) == sum(d["n_groups"] for d in block["docs"])
 
 
 def test_transducer_closes_groups_where_nothing_dangles():
     walk = alignment.Transducer({1: b"ab", 2: b"c", 3: b"de"}, {5: b"a", 6: b"bcd", 7: b"e", 8: b"ab"})
-    assert walk.groups([1, 2, 3], [5, 6, 7]) == [([1, 2, 3], [5, 6, 7])] and walk.groups([1, 2, 3, 1], [5, 6, 7, 8]) == [([1, 2, 3], [5, 6, 7]), ([1], [8])]
+    assert walk.groups([1, 2, 3], [5, 6, 7]) == [(0, 3, 0, 3)] and walk.groups([1, 2, 3, 1], [5, 6, 7, 8]) == [(0, 3, 0, 3), (3, 4, 3, 4)]
     assert walk.groups([1], [5]) is None and walk.groups([2], [5]) is None and walk.groups([1], [8, 5]) is None and walk.groups([], []) == []
 
 

@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from tidings.llm.common import dropped, small_batches, written
 from tidings.llm.token_files import breaks_at_spaces
 
-BLOCK = 1 << 21
-LIMIT = 500_000  # cuts or transitions that a task remembers before it starts afresh
+BLOCK = 1 << 20
+LIMIT = 200_000  # cuts or states that a task remembers before it starts afresh
 B_BITS = 24  # an id pair is a long: A's id above, B's id in the low bits
 
 
@@ -53,6 +53,8 @@ def byte_values() -> dict[str, int]:
 class ByteTokens:
     """Side A: a byte-level BPE of the tokenizers library, special tokens' strings taken as text."""
 
+    GLUED = 32
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -62,9 +64,23 @@ class ByteTokens:
         self.cuts = breaks_at_spaces(json.loads(self.lib.to_str()))
         value = byte_values()
         self.bytes_of = {i: bytes(map(value.__getitem__, t)) for t, i in self.lib.get_vocab(with_added_tokens=False).items() if all(c in value for c in t)}
+        self.size = np.zeros(max(self.bytes_of) + 1, np.int64)
+        for i, b in self.bytes_of.items():
+            self.size[i] = len(b)
 
     def encode(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.lib.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+        """The ids of space+part for each part. Where cuts are safe, parts are encoded GLUED to a text and told apart by their bytes."""
+        if not self.cuts:
+            return [e.ids for e in self.lib.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+        glued = [" " + " ".join(parts[a : a + self.GLUED]) for a in range(0, len(parts), self.GLUED)]
+        ids = [i for e in self.lib.encode_batch_fast(glued, add_special_tokens=False) for i in e.ids]
+        reach = np.cumsum(self.size[ids])
+        stops = np.cumsum([len(p.encode()) + 1 for p in parts])
+        ends = np.searchsorted(reach, stops)
+        if not (len(reach) and reach[-1] == stops[-1] and (reach[ends] == stops).all()):  # bytes that the vocabulary can't hold
+            return [e.ids for e in self.lib.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
+        ends = (ends + 1).tolist()
+        return [ids[a:z] for a, z in zip([0, *ends], ends)]
 
 
 class PieceTokens:
@@ -90,56 +106,59 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
-        self.number = {(0, b""): 0}  # (side that leads, its unmatched bytes) -> state; 0 is where both sides have ended together
+        self.number = {(0, b""): 0}  # (side whose token comes next, bytes that the other leads by) -> state; in 0 both sides have ended together
         self.states = [(0, b"")]
-        self.known: dict[tuple[int, int], int] = {}
+        self.moves: list[dict[int, int]] = [{}]  # for each state, next token -> state after it
 
     def move(self, state: int, token: int) -> int:
         """The state after the next token: of A where nothing dangles, else of the side that lags. -1: the bytes differ."""
-        lead, rest = self.states[state]
-        side = 0 if not rest else 1 - lead
+        side, rest = self.states[state]
         own = self.bytes_of[side].get(token)
         if not own:
             after = None
-        elif not rest:
-            after = (0, own)
         elif rest.startswith(own):
-            after = (lead if len(own) < len(rest) else 0, rest[len(own) :])
-        else:
-            after = (side, own[len(rest) :]) if own.startswith(rest) else None
-        if after is None:
-            to = -1
+            after = (side if len(own) < len(rest) else 0, rest[len(own) :])
         else:
+            after = (1 - side, own[len(rest) :]) if own.startswith(rest) else None
+        to = -1
+        if after is not None:
             to = self.number.setdefault(after, len(self.states))
             if to == len(self.states):
                 self.states.append(after)
-        self.known[state, token] = to
+                self.moves.append({})
+        self.moves[state][token] = to
         return to
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[list[int], list[int]]] | None:
-        if len(self.known) > LIMIT or len(self.states) > LIMIT:
+    def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int, int, int]] | None:
+        """For each group, where its ids of a begin and end, and those of b."""
+        if len(self.states) > LIMIT:
             self.forget()
-        out, own, at, state = [], ([], []), [0, 0], 0
-        both = (a, b)
-        while state or at[0] < len(a) or at[1] < len(b):
-            side = 1 - self.states[state][0] if state else 0
-            if at[side] == len(both[side]):
-                return None
-            token = both[side][at[side]]
-            at[side] += 1
-            own[side].append(token)
-            to = self.known.get((state, token))
+        out, state, i, j, from_i, from_j = [], 0, 0, 0, 0, 0
+        moves, states = self.moves, self.states
+        while i < len(a) or j < len(b):
+            if states[state][0]:
+                if j == len(b):
+                    return None
+                token = b[j]
+                j += 1
+            else:
+                if i == len(a):
+                    return None
+                token = a[i]
+                i += 1
+            to = moves[state].get(token)
             state = self.move(state, token) if to is None else to
-            if state < 0:
-                return None
-            if not state:
-                out.append(own)
-                own = ([], [])
-        return out
+            if state <= 0:
+                if state:
+                    return None
+                out.append((from_i, i, from_j, j))
+                from_i, from_j = i, j
+        return None if state else out
 
 
 class Aligner:
-    """Texts to cuts, and what a cut holds: (number of A ids, of B ids, its groups as text, its links as id pairs)."""
+    """Texts to cuts, and what each cut that a task has met holds: number of A ids (-1: the bytes differ), of B ids, of groups, its
+    groups as text, its links as id pairs."""
 
     CUT = re.compile(r"(?<=\S) (?=\S)")
     UNSAFE = re.compile(r"\A | \Z|\s | \s")
@@ -148,7 +167,13 @@ class Aligner:
         self.a, self.b = ByteTokens(a_path), PieceTokens(b_path)
         self.whole = not (self.a.cuts and self.b.cuts)
         self.walk = Transducer(self.a.bytes_of, self.b.bytes_of)
-        self.known: dict[str, tuple | None] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.shown: list[bytes] = []
+        self.links: list[bytes] = []
+        self.counts = array("i")  # three numbers a cut
 
     def cuts(self, text: str) -> list[str]:
         if self.whole:
@@ -156,16 +181,21 @@ class Aligner:
         return text.split(" ") if self.UNSAFE.search(text) is None else self.CUT.split(text)
 
     def learn(self, parts: list[str]) -> None:
-        for first in range(0, len(parts), 1000):
-            some = parts[first : first + 1000]
+        for first in range(0, len(parts), 1024):
+            some = parts[first : first + 1024]
             for part, a, b in zip(some, self.a.encode(some), self.b.encode(some)):
-                same = b"".join([self.a.bytes_of.get(i, b"") for i in a]) == b" " + part.encode()
-                groups = self.walk.groups(a, b) if same else None
-                if groups is None:
-                    self.known[part] = None
-                    continue
-                shown = ";".join(f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups).encode()
-                self.known[part] = (len(a), len(b), shown, array("q", [(x[-1] << B_BITS) + y[-1] for x, y in groups]).tobytes())  # nothing that the collector has to visit
+                groups = self.walk.groups(a, b)
+                if groups is None or b"".join([self.a.bytes_of[i] for i in a]) != b" " + part.encode():
+                    row, shown, links = (-1, 0, 0), b"", b""
+                else:
+                    x, y = list(map(str, a)), list(map(str, b))
+                    shown = ";".join([f"{x[i]}|{y[k]}" if j - i == l - k == 1 else f"{','.join(x[i:j])}|{','.join(y[k:l])}" for i, j, k, l in groups]).encode()
+                    links = array("q", [(a[j - 1] << B_BITS) + b[l - 1] for _, j, _, l in groups]).tobytes()
+                    row = (len(a), len(b), len(groups))
+                self.number[part] = len(self.shown)
+                self.shown.append(shown)
+                self.links.append(links)
+                self.counts.extend(row)
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -193,35 +223,31 @@ BLOCKS = "block long, docs array<struct<doc_id:long,n_a:long,n_b:long,n_groups:l
 class Block:
     def __init__(self):
         self.docs, self.lengths, self.cuts, self.size = [], [], [], 0
-        self.number: dict[str, int] = {}
 
-    def add(self, doc_id, text: str, align: Aligner) -> None:
-        self.size += len(text) + 16
-        parts = align.cuts(text) if text else []
-        known = align.known
-        found = [known[p] for p in parts]
-        if not parts or None in found:
+    def add(self, doc_id, parts: list[str], size: int, align: Aligner) -> None:
+        """A document of these cuts (none: no tokens)."""
+        self.size += size
+        cuts = np.fromiter(map(align.number.__getitem__, parts), "<u4", len(parts))
+        counts = np.frombuffer(align.counts, np.int32).reshape(-1, 3)[cuts]
+        if not len(cuts) or (counts[:, 0] < 0).any():
             self.docs.append((doc_id, 0, 0, 0, ""))
             self.lengths.append(0)
             return
-        a, b, shown, links = zip(*found)
-        self.docs.append((doc_id, sum(a), sum(b), sum(map(len, links)) // 8, hashlib.sha256(b";".join(shown)).hexdigest()))
-        self.lengths.append(len(parts))
-        number = self.number
-        self.cuts.append(np.fromiter([number.setdefault(p, len(number)) for p in parts], "<u4", len(parts)))
+        digest = hashlib.sha256(b";".join(map(align.shown.__getitem__, cuts.tolist()))).hexdigest()
+        self.docs.append((doc_id, *counts.sum(axis=0, dtype=np.int64).tolist(), digest))
+        self.lengths.append(len(cuts))
+        self.cuts.append(cuts)
 
     def row(self, block: int, align: Aligner) -> pa.RecordBatch:
-        cuts = np.concatenate(self.cuts) if self.cuts else np.zeros(0, "<u4")
-        links = [align.known[p][3] for p in self.number]
+        distinct, cuts = np.unique(np.concatenate([np.zeros(0, "<u4"), *self.cuts]), return_inverse=True)
+        links = [align.links[k] for k in distinct.tolist()]
         count = np.array([len(x) // 8 for x in links], "<u4")
-        flat = np.frombuffer(b"".join(links), np.int64)
-        pairs, place = np.unique(flat, return_inverse=True)
-        often = np.repeat(np.bincount(cuts, minlength=len(links)), count)
+        pairs, place = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True)
         times = np.zeros(len(pairs), np.int64)
-        np.add.at(times, place, often)
+        np.add.at(times, place, np.repeat(np.bincount(cuts, minlength=len(links)), count))
         names = ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")
         docs = [dict(zip(names, d)) for d in self.docs]
-        raw = [np.array(self.lengths, "<u4").tobytes(), cuts.tobytes(), count.tobytes(), place.astype("<u4").tobytes()]
+        raw = [np.array(self.lengths, "<u4").tobytes(), cuts.astype("<u4").tobytes(), count.tobytes(), place.astype("<u4").tobytes()]
         kind = pa.list_(pa.struct([(n, pa.int64()) for n in names[:4]] + [(names[4], pa.string())]))
         values = [pa.array([block], pa.int64()), pa.array([docs], kind), *[pa.array([x], pa.binary()) for x in raw], pa.array([pairs], pa.list_(pa.int64())), pa.array([times], pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(values, names=["block", "docs", "lengths", "cuts", "link_counts", "links", "pairs", "times"])
@@ -241,15 +267,19 @@ def blocks(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
                 if own.docs and own.size + size > BLOCK:
                     yield own.row(number, align)
                     number, own = number + 1, Block()
-                if len(align.known) > LIMIT and not own.docs:
-                    align.known.clear()
-                fresh = dict.fromkeys(p for t in found[first:last] if t for p in align.cuts(t))
-                align.learn([p for p in fresh if p not in align.known])
-                for doc, text in zip(ids[first:last], found[first:last]):
-                    own.add(doc, text or "", align)
+                if len(align.shown) > LIMIT and not own.docs:
+                    align.forget()
+                parts = [align.cuts(t) if t else [] for t in found[first:last]]
+                fresh = set()
+                for p in parts:
+                    fresh.update(p)
+                align.learn(list(fresh.difference(align.number)))
+                for doc, own_parts, text in zip(ids[first:last], parts, found[first:last]):
+                    own.add(doc, own_parts, len(text or "") + 16, align)
                 first = last
         if own.docs:
             yield own.row(number, align)
+        align.forget()  # the worker goes on to other stages
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, BLOCKS)
 
