@@ -82,3 +82,13 @@ def test_a_search_goes_on_to_close_spellings_only_where_words_find_little(spark,
     assert (13, 0) in few and {t for _, t in few} == {0, 1} and (1, 1) in few
     near = [r for r in indexes.searched(items, "doc_id", path, cells, ["zzzz"], ask).collect()]
     assert near and {r["tier"] for r in near} == {2} and len(near) <= 8 and near[0]["doc_id"] == 1 and all(1 - r["closeness"] <= indexes.MEANING for r in near)
+
+
+@pytest.mark.parametrize("title, many", [
+    ("Debrief for the crew", False), ("Midweek in review", False), ("Newsletter to the editor", False), ("Brief for the crew", True), ("The week in review: storms", True), ("Letters to the editor", True), ("Live updates: vote", True), ("Olive: a tree", False),
+    ("The latest on the storm", True), ("The latestest", False), ("World - storm", True), ("A world - storm", False), ("World news today", True), ("My world news", False), ("Evening news brief", True), ("WHAT TO KNOW TODAY", True), (None, False), ("", False),
+])
+def test_headlines_of_pages_on_many_stories(spark, title, many):
+    from tidings.operators.joins import roundup
+
+    assert spark.createDataFrame([(title,)], "t string").select(roundup(F.col("t"))).first()[0] is many

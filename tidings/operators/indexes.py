@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidings.functions.text import folded, trigrams
 from tidings.operators.graph import shared_folder
 from tidings.operators.search import by_close_spelling, by_words
+from tidings.operators.similarity import best_of
 
 BUCKETS = 64
 #: Similarity that a word spelled differently must reach, beside other words and alone; the distance in meaning that still counts.
@@ -167,13 +168,7 @@ class Cells:
                 m = np.array(some["v"].tolist(), float)
                 for a in range(0, len(ids), 1024):
                     sim = np.round(np.array(asks["v"].iloc[a : a + 1024].tolist(), float) @ m.T, 6)
-                    sim[ids[a : a + 1024, None] == own] = -np.inf
-                    low = np.partition(sim, -k, axis=1)[:, -k, None] if len(own) > k else np.full((len(sim), 1), -np.inf)
-                    i, j = np.nonzero((sim >= low) & np.isfinite(sim))
-                    order = np.lexsort((own[j], -sim[i, j], i))
-                    i, j = i[order], j[order]
-                    first = np.arange(len(i)) - np.searchsorted(i, i) < k
-                    i, j = i[first], j[first]
+                    i, j = best_of(sim, ids[a : a + 1024], own, k)
                     out.append(pd.DataFrame({"id": ids[a + i], "other": own[j], "sim": sim[i, j]}))
             return pd.concat(out)
 

@@ -55,9 +55,9 @@ def similar_pairs_in_window(vectors: DataFrame, least: float, hours: int = 72) -
     span = F.floor(F.unix_micros("at") / (hours * 3_600_000_000)).cast("long")
     own = vectors.select("id", F.unix_micros("at").alias("at"), F.col("v").cast("array<double>").alias("v"), span.alias("own"))
     spread = own.withColumn("span", F.explode(F.array("own", F.col("own") + 1)))
-    counts = own.groupBy("own").count().agg(F.max("count")).first()[0] or 0
-    blocks = max(1, -(-counts // (2 * BLOCK)))
-    spread = spread.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # each span has blocks by its own rows, so a busy one copies no other span's rows
+    blocks = spread.groupBy("span").count().select("span", F.ceil(F.col("count") / (2 * BLOCK)).alias("blocks"))
+    spread = spread.join(blocks, "span").withColumn("k", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     pair = spread.select("span", F.least("k", "other").alias("p"), F.greatest("k", "other").alias("q"), "k", "own", "id", "at", "v")
 
     def run(frame):
@@ -133,6 +133,17 @@ def similar_pairs_lsh(vectors: DataFrame, least: float, dims: int, bands: int =
     return near.mapInArrow(compared, "a long, b long, sim double").groupBy("a", "b").agg(F.max("sim").alias("sim"))
 
 
+def best_of(sim: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the k greatest entries in each row of sim, by falling value and then by ``own`` of the column; a row's own id is no partner."""
+    sim = np.where(ids[:, None] == own, -np.inf, sim)
+    low = np.partition(sim, -k, axis=1)[:, -k, None] if len(own) > k else -np.inf
+    i, j = np.nonzero((sim >= low) & (sim > -np.inf))  # ties of the last one too; only these are sorted
+    order = np.lexsort((own[j], -sim[i, j], i))
+    i, j = i[order], j[order]
+    first = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[first], j[first]
+
+
 def top_neighbours(vectors: DataFrame, queries: DataFrame, k: int, per_block: int = 4096) -> DataFrame:
     """id, other, sim, rank: the k nearest vectors of each query (JN8). queries: id, v.
 
@@ -154,10 +165,8 @@ def top_neighbours(vectors: DataFrame, queries: DataFrame, k: int, per_block: in
             m = np.array(some["v"].tolist(), float)
             for a in range(0, len(ids), BLOCK):
                 sim = np.round(np.array(asks["v"].iloc[a : a + BLOCK].tolist(), float) @ m.T, 6)
-                for r, one in enumerate(ids[a : a + BLOCK]):
-                    best = np.lexsort((own, -sim[r]))[: k + 1]
-                    best = best[own[best] != one][:k]
-                    out.append(pd.DataFrame({"id": one, "other": own[best], "sim": sim[r][best]}))
+                i, j = best_of(sim, ids[a : a + BLOCK], own, k)
+                out.append(pd.DataFrame({"id": ids[a + i], "other": own[j], "sim": sim[i, j]}))
         return pd.concat(out)
 
     near = v.cogroup(q).applyInPandas(run, "id long, other long, sim double")

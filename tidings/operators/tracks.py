@@ -127,10 +127,10 @@ def areas(cells: DataFrame, size: float) -> DataFrame:
     return cells.groupBy("area").agg(F.sum(cell_area_km2(F.col("cy"), size)).alias("km2"))
 
 
-def changes(before: DataFrame, after: DataFrame, size: float) -> DataFrame:
-    """change, km2: what the later cells gain and lose (GEO3), from 0.01 km2 on."""
-    keys = ["cy", "cx"]
-    part = lambda a, b, name: a.select(*keys).distinct().join(b.select(*keys).distinct(), keys, "left_anti").agg(F.lit(name).alias("change"), F.coalesce(F.sum(cell_area_km2(F.col("cy"), size)), F.lit(0.0)).alias("km2"))
+def changes(before: DataFrame, after: DataFrame, size: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, change, km2: what the later cells gain and lose (GEO3), from 0.01 km2 on; over all cells, or for each value of ``by``."""
+    keys = [*by, "cy", "cx"]
+    part = lambda a, b, name: a.select(*keys).distinct().join(b.select(*keys).distinct(), keys, "left_anti").groupBy(*by).agg(F.lit(name).alias("change"), F.coalesce(F.sum(cell_area_km2(F.col("cy"), size)), F.lit(0.0)).alias("km2"))
     return part(after, before, "gained").unionByName(part(before, after, "lost")).filter(F.col("km2") >= 0.01)
 
 

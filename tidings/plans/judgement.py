@@ -58,11 +58,12 @@ def cl5(spark, d):
     return out.groupBy("story_id").agg(F.count("*").alias("items"))
 
 
-@query("gr7_citations", """with l as (select distinct l_suppkey as url, (l_partkey % 97) as cites from lineitem where l_quantity > 48), d1 as (select 1 as root, cites as url, 1 as depth from l where url = 1), d2 as (select 1 as root, l.cites as url, 2 as depth from d1 join l on l.url = d1.url),
- u as (select 1 as root, 1::bigint as url, 0 as depth union all select * from d1 union all select * from d2) select root::bigint as root, url, min(depth)::int as depth from u group by 1, 2""")
+@query("gr7_citations", """with l as (select distinct l_suppkey as url, (l_partkey % 97) as cites from lineitem), r as (select s_suppkey as root from supplier), u as (select root, root as url, 0 as depth from r union all select root, cites, 1 from r join l on l.url = root
+ union all select root, y.cites, 2 from r join l x on x.url = root join l y on y.url = x.cites) select root, url, min(depth)::int as depth from u group by 1, 2""")
 def gr7(spark, d):
-    links = Tables(spark, d).lineitem.filter("l_quantity > 48").select(F.col("l_suppkey").alias("url"), (F.col("l_partkey") % 97).alias("cites")).distinct()
-    return cluster.cited(spark.createDataFrame([(1,)], "root long"), links)
+    t = Tables(spark, d)
+    links = t.lineitem.select(F.col("l_suppkey").alias("url"), (F.col("l_partkey") % 97).alias("cites")).distinct()
+    return cluster.cited(t.supplier.select(F.col("s_suppkey").alias("root")), links)
 
 
 @query("geo7_regions", "select c_custkey, case when lat between 0 and 30 and lon between -50 and 50 and c_nationkey in (1, 2, 3) then 'south' when lat between 20 and 60 and lon between -90 and 90 and c_nationkey in (3, 4, 5) then 'north' end as region from (select *, ((c_custkey * 37) % 121 - 60) as lat, ((c_custkey * 71) % 341 - 170) as lon from customer)")

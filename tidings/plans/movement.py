@@ -28,9 +28,9 @@ def flt4(spark, d):
     return positions(spark, d).filter(geo.in_box(F.col("lat"), F.col("lon"), -10, 20, 10, -20)).select("id")
 
 
-@query("sf20_distances", f"with {EV} select id, round({HAV.format('lat', 'lon', '10e0', '20e0')}, 3) as haversine, round({COS.format('lat', 'lon', '10e0', '20e0')}, 3) as cosines from e where kind = 'view'")
+@query("sf20_distances", f"with {EV} select id, round({HAV.format('lat', 'lon', '10e0', '20e0')}, 3) as haversine, round({COS.format('lat', 'lon', '10e0', '20e0')}, 3) as cosines from e")
 def sf20(spark, d):
-    p = positions(spark, d).filter("kind = 'view'")
+    p = positions(spark, d)
     to = (F.col("lat"), F.col("lon"), F.lit(10.0), F.lit(20.0))
     return p.select("id", F.round(geo.haversine_km(*to), 3).alias("haversine"), F.round(geo.cosines_km(*to), 3).alias("cosines"))
 
@@ -97,11 +97,11 @@ def geo1(spark, d):
     return tracks.areas(tracks.cover(boxes(spark, d, 0.0), 0.25), 0.25).select("area", F.round("km2", 4).alias("km2"))
 
 
-@query("geo3_gained_lost", f"""with a as (select distinct cy, cx from ({CELL.format(box=BOX.format(0))}) where area = 1), b as (select distinct cy, cx from ({CELL.format(box=BOX.format(0.5))}) where area = 1)
- select 'gained' as change, round(sum({KM2}), 4) as km2 from (select * from b except select * from a) union all select 'lost', round(sum({KM2}), 4) from (select * from a except select * from b)""")
+@query("geo3_gained_lost", f"""with a as ({CELL.format(box=BOX.format(0))}), b as ({CELL.format(box=BOX.format(0.5))})
+ select area, 'gained' as change, round(sum({KM2}), 4) as km2 from (select * from b except select * from a) group by 1 union all select area, 'lost', round(sum({KM2}), 4) from (select * from a except select * from b) group by 1""")
 def geo3(spark, d):
-    c = lambda plus: tracks.cover(boxes(spark, d, plus), 0.25).filter("area = 1")
-    return tracks.changes(c(0.0), c(0.5), 0.25).select("change", F.round("km2", 4).alias("km2"))
+    c = lambda plus: tracks.cover(boxes(spark, d, plus), 0.25)
+    return tracks.changes(c(0.0), c(0.5), 0.25, ("area",)).select("area", "change", F.round("km2", 4).alias("km2"))
 
 
 @query("geo5_held_cells", f"""with p as (select s_suppkey as id, (s_nationkey % 2)::int as side, (s_suppkey % 7) + 0.13e0 as lat, (s_suppkey % 11) + 0.07e0 as lon, case when s_suppkey % 2 = 0 then 60e0 else 35e0 end as r from supplier),

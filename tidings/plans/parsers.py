@@ -100,16 +100,16 @@ AREA = "pow(0.25e0 * 111.195e0, 2) * cos(radians((cy + 0.5e0) * 0.25e0))"
 NEAR = "6371e0 * acos(least(1e0, greatest(-1e0, sin(radians((cy + 0.5e0) * 0.25e0)) * sin(radians(3.1e0)) + cos(radians((cy + 0.5e0) * 0.25e0)) * cos(radians(3.1e0)) * cos(radians(4.1e0 - (cx + 0.5e0) * 0.25e0))))) <= 200"
 
 
-@query("geo4_taken_nearby", f"""with b(s, w) as (select (s_suppkey % 7)::double, (s_suppkey % 11)::double from supplier where s_nationkey % 3 = 1), g as (select cy, cx from unnest(range(-10, 60)) y(cy), unnest(range(-10, 60)) x(cx)),
- o as (select distinct cy, cx from g, b where (cy + 0.5e0) * 0.25e0 >= s and (cy + 0.5e0) * 0.25e0 < s + 1.5e0 and (cx + 0.5e0) * 0.25e0 >= w and (cx + 0.5e0) * 0.25e0 < w + 1.5e0),
- n as (select distinct cy, cx from g, b where (cy + 0.5e0) * 0.25e0 >= s and (cy + 0.5e0) * 0.25e0 < s + 1.5e0 and (cx + 0.5e0) * 0.25e0 >= w + 0.5e0 and (cx + 0.5e0) * 0.25e0 < w + 2e0)
- select round(sum({AREA}), 4) as km2 from (select * from n except select * from o) where {NEAR}""")
+@query("geo4_taken_nearby", f"""with b(area, s, w) as (select (s_nationkey % 3)::bigint, (s_suppkey % 7)::double, (s_suppkey % 11)::double from supplier), g as (select cy, cx from unnest(range(-10, 60)) y(cy), unnest(range(-10, 60)) x(cx)),
+ o as (select distinct area, cy, cx from g, b where (cy + 0.5e0) * 0.25e0 >= s and (cy + 0.5e0) * 0.25e0 < s + 1.5e0 and (cx + 0.5e0) * 0.25e0 >= w and (cx + 0.5e0) * 0.25e0 < w + 1.5e0),
+ n as (select distinct area, cy, cx from g, b where (cy + 0.5e0) * 0.25e0 >= s and (cy + 0.5e0) * 0.25e0 < s + 1.5e0 and (cx + 0.5e0) * 0.25e0 >= w + 0.5e0 and (cx + 0.5e0) * 0.25e0 < w + 2e0)
+ select area, round(sum({AREA}), 4) as km2 from (select * from n except select * from o) where {NEAR} group by 1""")
 def geo4(spark, d):
     from tidings.plans.movement import boxes
 
-    here = lambda c: c.filter("area = 1").filter(cosines_km((F.col("cy") + 0.5) * 0.25, (F.col("cx") + 0.5) * 0.25, F.lit(3.1), F.lit(4.1)) <= 200)
+    here = lambda c: c.filter(cosines_km((F.col("cy") + 0.5) * 0.25, (F.col("cx") + 0.5) * 0.25, F.lit(3.1), F.lit(4.1)) <= 200)
     old, new = here(tracks.cover(boxes(spark, d, 0.0), 0.25)), here(tracks.cover(boxes(spark, d, 0.5), 0.25))
-    return tracks.changes(old, new, 0.25).filter("change = 'gained'").select(F.round("km2", 4).alias("km2"))
+    return tracks.changes(old, new, 0.25, ("area",)).filter("change = 'gained'").select("area", F.round("km2", 4).alias("km2"))
 
 
 @query("st1_st6_clamped_stream", "select event_id, floor(epoch(least(ts, timestamp '2024-01-20')))::bigint as at from events")

@@ -142,12 +142,12 @@ def src16(spark, d):
     return Tables(spark, d).pages.select("page_id", tx.link_kind(F.col("url")).alias("kind"), tx.canonical_link(messy).alias("link"))
 
 
-@query("src17_date_in_link", "select o_orderkey, case when o_orderkey % 4 = 3 then null else epoch(date_trunc('day', o_orderdate) + interval 12 hour)::bigint end as at from orders where o_orderdate >= timestamp '2000-01-01'")
+@query("src17_date_in_link", "select o_orderkey, case when o_orderkey % 4 = 3 then null else strftime(date_trunc('day', o_orderdate + interval 10 year) + interval 12 hour, '%Y-%m-%d %H:%M') end as at from orders")
 def src17(spark, d):
-    day = F.col("o_orderdate")
+    """Dates of all orders, ten years on: a year of two digits is one of this century."""
+    day = F.add_months("o_orderdate", 120)
     tail = F.when(F.col("o_orderkey") % 4 == 0, F.date_format(day, "yyyy/M/d")).when(F.col("o_orderkey") % 4 == 1, F.date_format(day, "yyyy-MM-dd")).when(F.col("o_orderkey") % 4 == 2, F.date_format(day, "M-d-yy")).otherwise("99-99-99")
-    o = Tables(spark, d).orders.filter("o_orderdate >= timestamp '2000-01-01'")
-    return o.select("o_orderkey", F.unix_seconds(tx.date_in_link(F.concat(F.lit("https://a.example/x/"), tail, F.lit("/story?x=1")))).alias("at"))
+    return Tables(spark, d).orders.select("o_orderkey", F.date_format(tx.date_in_link(F.concat(F.lit("https://a.example/x/"), tail, F.lit("/story?x=1"))), "yyyy-MM-dd HH:mm").alias("at"))
 
 
 DESKS = [("red", 2, ["red", "widget"]), ("blue", 1, ["blue", "bolt"]), ("ring", 3, ["ring", "small ring"])]
