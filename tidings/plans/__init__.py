@@ -2,7 +2,7 @@
 
 
 def _registry():
-    from tidings.plans import aggregates, feeds_and_streams, histories, incremental, judgement, languages, movement, parsers, plug_ins, registry, relations, searches, texts, views  # noqa: F401
+    from tidings.plans import aggregates, feeds_and_streams, histories, incremental, judgement, languages, movement, names, parsers, plug_ins, registry, relations, searches, texts, views  # noqa: F401
 
     return registry
 
