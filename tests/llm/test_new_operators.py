@@ -104,10 +104,15 @@ def test_blocks_keep_cuts_and_counts_apart():
     assert sum(block["times"]) == sum(d["n_groups"] for d in block["docs"])
 
 
-def test_transducer_closes_groups_where_nothing_dangles():
+@pytest.mark.parametrize("few", [0, 100])
+def test_transducer_closes_groups_where_nothing_dangles(few):
+    """In step and one by one."""
     walk = alignment.Transducer({1: b"ab", 2: b"c", 3: b"de"}, {5: b"a", 6: b"bcd", 7: b"e", 8: b"ab"})
-    assert walk.groups([1, 2, 3], [5, 6, 7]) == [(0, 3, 0, 3)] and walk.groups([1, 2, 3, 1], [5, 6, 7, 8]) == [(0, 3, 0, 3), (3, 4, 3, 4)]
-    assert walk.groups([1], [5]) is None and walk.groups([2], [5]) is None and walk.groups([1], [8, 5]) is None and walk.groups([], []) == []
+    walk.FEW = few
+    a, b = [[1, 2, 3], [1, 2, 3, 1], [1], [2], [1], [], [2, 3], [1]], [[5, 6, 7], [5, 6, 7, 8], [5], [5], [8, 5], [], [], [8]]
+    fits, pair, x, y, flat = walk.groups(a, b)
+    assert fits.tolist() == [True, True, False, False, False, True, False, True]
+    assert list(zip(pair.tolist(), x.tolist(), y.tolist())) == [(0, 3, 3), (1, 6, 6), (1, 7, 7), (7, 13, 12)]
 
 
 # --- suffix-array dedup -------------------------------------------------------------------------

@@ -99,7 +99,10 @@ class PieceTokens:
 
 
 class Transducer:
-    """Groups of two token sequences over the same bytes; None where the bytes differ."""
+    """Groups of token sequences of both sides over the same bytes. Many sequences are walked at once, a token of each in a step;
+    what is long beyond the others is finished alone."""
+
+    FEW = 24  # as few walks are not worth numpy's calls
 
     def __init__(self, a: dict[int, bytes], b: dict[int, bytes]):
         self.bytes_of = (a, b)
@@ -108,12 +111,13 @@ class Transducer:
     def forget(self) -> None:
         self.number = {(0, b""): 0}  # (side whose token comes next, bytes that the other leads by) -> state; in 0 both sides have ended together
         self.states = [(0, b"")]
-        self.moves: list[dict[int, int]] = [{}]  # for each state, next token -> state after it
+        self.moves: dict[int, int] = {}  # state and token as one number -> state after it
+        self.keys, self.to, self.side = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int8)  # the same, sorted; side of each state
 
-    def move(self, state: int, token: int) -> int:
+    def move(self, key: int) -> int:
         """The state after the next token: of A where nothing dangles, else of the side that lags. -1: the bytes differ."""
-        side, rest = self.states[state]
-        own = self.bytes_of[side].get(token)
+        (side, rest), own = self.states[key >> B_BITS], None
+        own = self.bytes_of[side].get(key & ((1 << B_BITS) - 1))
         if not own:
             after = None
         elif rest.startswith(own):
@@ -125,34 +129,88 @@ class Transducer:
             to = self.number.setdefault(after, len(self.states))
             if to == len(self.states):
                 self.states.append(after)
-                self.moves.append({})
-        self.moves[state][token] = to
+        self.moves[key] = to
         return to
 
-    def groups(self, a: list[int], b: list[int]) -> list[tuple[int, int, int, int]] | None:
-        """For each group, where its ids of a begin and end, and those of b."""
+    def moved(self, keys: np.ndarray) -> np.ndarray:
+        """move() of many; what is remembered is looked up."""
+        at = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        fresh = np.unique(keys[self.keys[at] != keys] if len(self.keys) else keys)
+        if not len(fresh):
+            return self.to[at]
+        for key in fresh.tolist():
+            if key not in self.moves:
+                self.move(key)
+        keys_, to = (np.fromiter(x, np.int64, len(self.moves)) for x in (self.moves.keys(), self.moves.values()))
+        order = np.argsort(keys_)
+        self.keys, self.to, self.side = keys_[order], to[order], np.array([s for s, _ in self.states], np.int8)
+        return self.to[np.searchsorted(self.keys, keys)]
+
+    def groups(self, a: list[list[int]], b: list[list[int]]):
+        """For pairs of sequences: which pairs fit, and of all groups of these, in order, the pair and where its ids end in the flat a and b."""
         if len(self.states) > LIMIT:
             self.forget()
-        out, state, i, j, from_i, from_j = [], 0, 0, 0, 0, 0
-        moves, states = self.moves, self.states
-        while i < len(a) or j < len(b):
+        flat, begin, stop = [], [], []
+        for sequences in (a, b):
+            n = np.array([len(x) for x in sequences], np.int64)
+            flat.append(np.array([*[i for x in sequences for i in x], 0], np.int64))  # one more, for sides that have ended
+            stop.append(np.cumsum(n))
+            begin.append(stop[-1] - n)
+        i, j = begin[0].copy(), begin[1].copy()
+        state, bad = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
+        live, out = np.arange(len(a)), []
+        while True:
+            live = live[(i[live] < stop[0][live]) | (j[live] < stop[1][live])]
+            if len(live) < max(1, self.FEW):
+                break
+            now = state[live]
+            of_b = self.side[now] == 1
+            ended = np.where(of_b, j[live] >= stop[1][live], i[live] >= stop[0][live])
+            bad[live[ended]] = True
+            live, now, of_b = live[~ended], now[~ended], of_b[~ended]
+            to = self.moved((now << B_BITS) + np.where(of_b, flat[1][j[live]], flat[0][i[live]]))
+            i[live] += ~of_b
+            j[live] += of_b
+            state[live] = to
+            bad[live[to < 0]] = True
+            closed = live[to == 0]
+            out.append((closed, i[closed], j[closed]))
+            live = live[to >= 0]
+        for k in live.tolist():
+            rest = self.finished(k, flat, i[k], j[k], int(stop[0][k]), int(stop[1][k]), int(state[k]))
+            bad[k] = rest is None
+            state[k] = 0
+            if rest:
+                x, y = zip(*rest)
+                out.append((np.full(len(x), k), np.array(x), np.array(y)))
+        bad |= state != 0
+        pair, x, y = (np.concatenate([o[c] for o in out]) if out else np.zeros(0, np.int64) for c in range(3))
+        order = np.lexsort((x, pair))
+        order = order[~bad[pair[order]]]
+        return ~bad, pair[order], x[order], y[order], flat
+
+    def finished(self, k, flat, i, j, i_stop, j_stop, state):
+        """One pair's groups from a state on: their ends, or None where the bytes differ."""
+        a, b = flat[0][i:i_stop].tolist(), flat[1][j:j_stop].tolist()
+        x = y = 0
+        out, moves, states = [], self.moves, self.states
+        while x < len(a) or y < len(b):
             if states[state][0]:
-                if j == len(b):
+                if y == len(b):
                     return None
-                token = b[j]
-                j += 1
+                key = (state << B_BITS) + b[y]
+                y += 1
             else:
-                if i == len(a):
+                if x == len(a):
                     return None
-                token = a[i]
-                i += 1
-            to = moves[state].get(token)
-            state = self.move(state, token) if to is None else to
+                key = (state << B_BITS) + a[x]
+                x += 1
+            to = moves.get(key)
+            state = self.move(key) if to is None else to
             if state <= 0:
                 if state:
                     return None
-                out.append((from_i, i, from_j, j))
-                from_i, from_j = i, j
+                out.append((i + x, j + y))
         return None if state else out
 
 
@@ -172,8 +230,9 @@ class Aligner:
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.shown: list[bytes] = []
-        self.links: list[bytes] = []
         self.counts = array("i")  # three numbers a cut
+        self.links, self.reach = array("q"), array("q", [0])  # the links of all cuts, and where each one's end
+        self.known: dict[bytes, bytes] = {}  # ids of a group -> its text
 
     def cuts(self, text: str) -> list[str]:
         if self.whole:
@@ -181,21 +240,40 @@ class Aligner:
         return text.split(" ") if self.UNSAFE.search(text) is None else self.CUT.split(text)
 
     def learn(self, parts: list[str]) -> None:
-        for first in range(0, len(parts), 1024):
-            some = parts[first : first + 1024]
-            for part, a, b in zip(some, self.a.encode(some), self.b.encode(some)):
-                groups = self.walk.groups(a, b)
-                if groups is None or b"".join([self.a.bytes_of[i] for i in a]) != b" " + part.encode():
-                    row, shown, links = (-1, 0, 0), b"", b""
-                else:
-                    x, y = list(map(str, a)), list(map(str, b))
-                    shown = ";".join([f"{x[i]}|{y[k]}" if j - i == l - k == 1 else f"{','.join(x[i:j])}|{','.join(y[k:l])}" for i, j, k, l in groups]).encode()
-                    links = array("q", [(a[j - 1] << B_BITS) + b[l - 1] for _, j, _, l in groups]).tobytes()
-                    row = (len(a), len(b), len(groups))
-                self.number[part] = len(self.shown)
-                self.shown.append(shown)
-                self.links.append(links)
-                self.counts.extend(row)
+        for first in range(0, len(parts), 8192):
+            self.learned(parts[first : first + 8192])
+
+    def learned(self, some: list[str]) -> None:
+        ids = self.a.encode(some), self.b.encode(some)
+        fits, pair, x, y, flat = self.walk.groups(*ids)
+        own = self.a.bytes_of
+        if b"".join([own[i] for part in ids[0] for i in part]) != (" " + " ".join(some)).encode():  # some part lost bytes: which?
+            lost = np.array([b"".join([own[i] for i in part]) != b" " + p.encode() for part, p in zip(ids[0], some)])
+            keep = ~lost[pair]
+            fits, pair, x, y = fits & ~lost, pair[keep], x[keep], y[keep]
+        n = np.bincount(pair, minlength=len(some))
+        self.links.frombytes(((flat[0][x - 1] << B_BITS) + flat[1][y - 1]).tobytes())
+        self.reach.frombytes((self.reach[-1] + np.cumsum(n)).tobytes())
+        # a group begins where the one before it in its cut ends
+        opens = np.r_[True, pair[1:] != pair[:-1]][: len(pair)]
+        raw = [f.astype("<u4").tobytes() for f in flat]
+        begin = [np.cumsum([0, *map(len, side)]) for side in ids]
+        a0, b0 = (np.where(opens, start[pair], np.r_[0, end[:-1]][: len(end)]) for start, end in zip(begin, (x, y)))
+        texts_, known = [], self.known
+        if len(known) > LIMIT:
+            known.clear()
+        for i, j, k, m in zip((4 * a0).tolist(), (4 * x).tolist(), (4 * b0).tolist(), (4 * y).tolist()):
+            key = raw[0][i:j] + b"||||" + raw[1][k:m] if j - i > 4 or m - k > 4 else raw[0][i:j] + raw[1][k:m]
+            text = known.get(key)
+            if text is None:
+                text = known[key] = b"|".join(b",".join(b"%d" % v for v in np.frombuffer(side, "<u4").tolist()) for side in (raw[0][i:j], raw[1][k:m]))
+            texts_.append(text)
+        numbers = np.zeros((len(some), 3), np.int32)
+        numbers[:, 0], numbers[:, 1], numbers[:, 2] = np.where(fits, np.diff(begin[0]), -1), np.where(fits, np.diff(begin[1]), 0), n
+        self.counts.frombytes(numbers.tobytes())
+        base, ends = len(self.shown), np.cumsum(n).tolist()
+        self.shown += [b";".join(texts_[p:q]) if q - p != 1 else texts_[p] for p, q in zip([0, *ends], ends)]
+        self.number.update(zip(some, range(base, base + len(some))))
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -240,14 +318,14 @@ class Block:
 
     def row(self, block: int, align: Aligner) -> pa.RecordBatch:
         distinct, cuts = np.unique(np.concatenate([np.zeros(0, "<u4"), *self.cuts]), return_inverse=True)
-        links = [align.links[k] for k in distinct.tolist()]
-        count = np.array([len(x) // 8 for x in links], "<u4")
-        pairs, place = np.unique(np.frombuffer(b"".join(links), np.int64), return_inverse=True)
-        times = np.zeros(len(pairs), np.int64)
-        np.add.at(times, place, np.repeat(np.bincount(cuts, minlength=len(links)), count))
+        reach = np.frombuffer(align.reach, np.int64)
+        begin, count = reach[distinct], np.diff(reach)[distinct]
+        links = np.frombuffer(align.links, np.int64)[np.repeat(begin - np.cumsum(count) + count, count) + np.arange(count.sum())]
+        pairs, place = np.unique(links, return_inverse=True)
+        times = np.bincount(place, np.repeat(np.bincount(cuts, minlength=len(distinct)), count), len(pairs)).astype(np.int64)
         names = ("doc_id", "n_a", "n_b", "n_groups", "groups_sha256")
         docs = [dict(zip(names, d)) for d in self.docs]
-        raw = [np.array(self.lengths, "<u4").tobytes(), cuts.astype("<u4").tobytes(), count.tobytes(), place.astype("<u4").tobytes()]
+        raw = [np.array(self.lengths, "<u4").tobytes(), cuts.astype("<u4").tobytes(), count.astype("<u4").tobytes(), place.astype("<u4").tobytes()]
         kind = pa.list_(pa.struct([(n, pa.int64()) for n in names[:4]] + [(names[4], pa.string())]))
         values = [pa.array([block], pa.int64()), pa.array([docs], kind), *[pa.array([x], pa.binary()) for x in raw], pa.array([pairs], pa.list_(pa.int64())), pa.array([times], pa.list_(pa.int64()))]
         return pa.RecordBatch.from_arrays(values, names=["block", "docs", "lengths", "cuts", "link_counts", "links", "pairs", "times"])
