@@ -12,7 +12,8 @@ from parity import duck, rows
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidings.llm import alignment, hard_negatives, suffix_dedup
+from tidings.llm import alignment, hard_negatives, near_texts, simhash, suffix_dedup
+from tidings.llm.common import WordHash
 
 SF = "/root/testdata/sf0.001"
 TEXTS = "doc_id long, text string"
@@ -231,3 +232,52 @@ def test_blocks_hold_each_row_once_and_in_order(spark, monkeypatch):
 
 def test_hard_negatives_equal_their_sql(spark):
     assert rows(hard_negatives.mined(spark.read.parquet(f"{SF}/embeddings.parquet")).toPandas()) == rows(duck(SF).sql(hard_negatives.ORACLE).df())
+
+
+# --- near copies: rows without an id, and pages with one template -----------------------------------
+
+
+def test_links_through_rows_without_an_id_join_components(spark, monkeypatch):
+    """Fingerprints in chains of two bits; every second one has no row with an id."""
+    prints = [(1, 0), (None, 3), (2, 15), (None, 63), (7, 255), (9, (1 << 40) + (7 << 30)), (None, 7 << 50), (None, (7 << 50) + (3 << 20)), (5, 15)]
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: docs.select("doc_id", "fp"))
+    got = simhash.near_copies(spark.createDataFrame(prints, "doc_id long, fp long"))
+    assert Counter((r["doc_id"], int(r["fingerprint"], 16), r["component_id"]) for r in got.collect()) == Counter(
+        [(1, 0, 1), (None, 3, 1), (2, 15, 1), (None, 63, 1), (7, 255, 1), (9, (1 << 40) + (7 << 30), 9), (None, 7 << 50, None), (None, (7 << 50) + (3 << 20), None), (5, 15, 1)])
+
+
+def pages_of(n, own=60, template=140):
+    return [(i, " ".join([f"t{k}" for k in range(template)] + [f"p{i}w{k}" for k in range(own)])) for i in range(n)]
+
+
+def test_rare_pairs_hold_every_similar_pair():
+    draw = np.random.default_rng(2)
+    base = [draw.integers(0, 1 << 62, 60).astype(np.uint64) for _ in range(6)]
+    sets_ = []
+    for k in range(120):
+        own = base[k % 6].copy()
+        own[: k % 17] = draw.integers(0, 1 << 62, k % 17).astype(np.uint64)
+        sets_.append(np.unique(own[: 60 - k % 3]))
+    fp = np.array([near_texts.set_print(x) for x in sets_], np.int64).view(np.uint64)
+    met = {(int(i), int(j)) for a, b in near_texts.rare_pairs(sets_, fp) for i, j in zip(a, b)}
+    close = {(min(i, j), max(i, j)) for a, b in near_texts.close_pairs(fp, near_texts.RADIUS) for i, j in zip(a.tolist(), b.tolist())}
+    want = {(i, j) for i in range(120) for j in range(i + 1, 120) if near_texts.similar(sets_[i], sets_[j])} & close
+    assert want and want <= met and len(met) < 120 * 119 / 2
+
+
+def test_pages_with_a_template_stay_and_their_copies_go(spark, monkeypatch):
+    monkeypatch.setattr(near_texts, "MANY", 20)
+    pages = pages_of(300)
+    copies = [(1000 + i, t.replace("t70 ", "other ", 1)) for i, t in pages[:40]] + [(None, pages[50][1].replace("t9 ", "x ", 1)), (None, "of its own " + " ".join(f"z{k}" for k in range(50)))]
+    kept = simhash.one_each(spark.createDataFrame(pages + copies, TEXTS).repartition(3))
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.select("doc_id").collect()) == [(False, i) for i in range(300)] + [(True, None)]
+
+
+def test_template_pages_make_few_pairs():
+    """Ten times the pages make about ten times the pairs."""
+    made = []
+    for n in (50, 500):
+        hashes = WordHash()
+        sets_ = [near_texts.shingles(t.encode().split(), hashes) for _, t in pages_of(n)]
+        made.append(sum(len(i) for i, _ in near_texts.rare_pairs(sets_, np.zeros(n, np.uint64))))
+    assert made[1] <= 12 * made[0] + n

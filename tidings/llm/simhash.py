@@ -15,8 +15,8 @@ Equal fingerprints collapse first, so groups of copies cost one row. A bucket re
 not joined yet, so links stay fewer than fingerprints; no link between different groups is lost.
 
 Nulls and texts without words have fingerprint zero and are linked like any other. A text of fewer words than a shingle is one
-shingle. Repeated rows are separate documents of the same fingerprint. A row without doc_id gets the component of its
-fingerprint, but names none (null where no row of the component has an id). Very long texts cost memory in proportion to the text. Other columns
+shingle. Repeated rows are separate documents of the same fingerprint. A row without doc_id links
+and gets its component like any other, but names none (null where no row of the component has an id). Very long texts cost memory in proportion to the text. Other columns
 are ignored whatever their names; an empty table gives no rows.
 """
 
@@ -131,10 +131,12 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of each document."""
     prints = written(fingerprints(docs), "simhash")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = links(nodes.filter("rep is not null"))
-    labels = components(found)
+    # a fingerprint stands for itself, so one whose rows have no id still joins others
+    labels = components(links(nodes.select("fp", F.col("fp").alias("rep"))))
+    group = nodes.join(labels, nodes["fp"] == labels["u"], "left").select("fp", "rep", F.coalesce("label", "fp").alias("group"))
+    least = group.groupBy("group").agg(F.min("rep").alias("component_id"))
     # as a written table, Spark can split its join where very many documents have one fingerprint
-    classes = written(nodes.join(labels, nodes["rep"] == labels["u"], "left").select("fp", F.coalesce("label", "rep").alias("component_id")), "simhash-classes")
+    classes = written(group.join(least, "group").select("fp", "component_id"), "simhash-classes")
     out = prints.join(classes, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
