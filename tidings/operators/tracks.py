@@ -92,10 +92,11 @@ def cover(boxes: DataFrame, size: float) -> DataFrame:
     return b.select("area", F.explode(F.sequence(first("south"), last("north"))).alias("cy"), F.col("west"), F.col("east")).select("area", "cy", F.explode(F.sequence(first("west"), last("east"))).alias("cx")).distinct()
 
 
-def polygon_cells(polygons: DataFrame, size: float) -> DataFrame:
+def polygon_cells(polygons: DataFrame, size: float, holes: bool = False) -> DataFrame:
     """area, cy, cx: the cells whose middle lies in a polygon (GEO1, SRC23), by counting the edges that a ray to the east crosses.
 
-    polygons: area, ring (array of struct lat, lon; closed or not); an area may have several. Each polygon is dealt to the
+    polygons: area, ring (array of struct lat, lon; closed or not); an area may have several, which add up, or of which (``holes``) those inside
+    others are taken out. Each polygon is dealt to the
     rows of cells that it reaches; a row needs its crossings only, sorted, and the cells between each odd and even one."""
     p = polygons.filter(F.size("ring") >= 3).withColumn("k", F.monotonically_increasing_id())
     ends = F.transform("ring", lambda a, i: F.struct(a["lat"].alias("ay"), a["lon"].alias("ax"), F.get("ring", (i + 1) % F.size("ring"))["lat"].alias("by"), F.get("ring", (i + 1) % F.size("ring"))["lon"].alias("bx")))
@@ -104,7 +105,7 @@ def polygon_cells(polygons: DataFrame, size: float) -> DataFrame:
     first, last = F.ceil(F.least("ay", "by") / size - 0.5), F.ceil(F.greatest("ay", "by") / size - 0.5) - 1
     rows = edges.filter(first <= last).withColumn("cy", F.explode(F.sequence(first, last)))
     at = (F.col("bx") - F.col("ax")) * ((F.col("cy") + 0.5) * size - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")
-    crossings = rows.groupBy("area", "k", "cy").agg(F.array_sort(F.collect_list(at)).alias("x"))  # as many as a ring has edges in a row
+    crossings = rows.groupBy("area", F.lit(0).alias("k") if holes else "k", "cy").agg(F.array_sort(F.collect_list(at)).alias("x"))  # as many as a ring has edges in a row
     spans = F.transform(F.sequence(F.lit(0), F.expr("size(x) div 2 - 1").cast("int")), lambda j: F.struct(F.get("x", j * 2).alias("west"), F.get("x", j * 2 + 1).alias("east")))
     s = crossings.filter(F.size("x") >= 2).select("area", "cy", F.explode(spans).alias("s")).withColumns({"a": F.ceil(F.col("s.west") / size - 0.5), "z": F.ceil(F.col("s.east") / size - 0.5) - 1})
     return s.filter("a <= z").select("area", "cy", F.explode(F.sequence("a", "z")).alias("cx")).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidings.functions import geo
 from tidings.functions.scoring import towards_score
-from tidings.operators import sinks, tracks
+from tidings.operators import outlines, sinks, tracks
 from tidings.plans.registry import query
 from tidings.plans.relations import HAV
 from tidings.tables import Tables
@@ -97,6 +97,24 @@ def geo1(spark, d):
     return tracks.areas(tracks.cover(boxes(spark, d, 0.0), 0.25), 0.25).select("area", F.round("km2", 4).alias("km2"))
 
 
+@query("geo1c_outlines", CELL.format(box=BOX.format(0)))
+def geo1c(spark, d):
+    """The cells inside the outlines of areas: the areas' own cells again."""
+    return tracks.polygon_cells(outlines.outlines(tracks.cover(boxes(spark, d, 0.0), 0.25), 0.25), 0.25, holes=True)
+
+
+#: Cells without another one beside them on the side that an edge faces: the length of all outlines, in cells.
+@query("snk7b_outline_lengths", f"""with c as ({CELL.format(box=BOX.format(0))}) select area, sum((not exists (select 1 from c o where o.area = c.area and o.cy = c.cy + 1 and o.cx = c.cx))::int + (not exists (select 1 from c o where o.area = c.area and o.cy = c.cy - 1 and o.cx = c.cx))::int
+ + (not exists (select 1 from c o where o.area = c.area and o.cy = c.cy and o.cx = c.cx + 1))::int + (not exists (select 1 from c o where o.area = c.area and o.cy = c.cy and o.cx = c.cx - 1))::int)::bigint as edges from c group by 1""")
+def snk7b(spark, d):
+    """How long the rings of each area's outline are together."""
+    r = F.col("ring")
+    step = F.transform(F.sequence(F.lit(0), F.size(r) - 2), lambda i: F.abs(F.get(r, i + 1)["lat"] - F.get(r, i)["lat"]) + F.abs(F.get(r, i + 1)["lon"] - F.get(r, i)["lon"]))
+    length = F.aggregate(step, F.lit(0.0), lambda a, x: a + x)
+    o = outlines.outlines(tracks.cover(boxes(spark, d, 0.0), 0.25), 0.25)
+    return o.groupBy("area").agg(F.round(F.sum(length) / 0.25).cast("long").alias("edges"))
+
+
 @query("geo3_gained_lost", f"""with a as ({CELL.format(box=BOX.format(0))}), b as ({CELL.format(box=BOX.format(0.5))})
  select area, 'gained' as change, round(sum({KM2}), 4) as km2 from (select * from b except select * from a) group by 1 union all select area, 'lost', round(sum({KM2}), 4) from (select * from a except select * from b) group by 1""")
 def geo3(spark, d):
