@@ -111,7 +111,7 @@ def test_transducer_closes_groups_where_nothing_dangles(few):
     walk = alignment.Transducer({1: b"ab", 2: b"c", 3: b"de"}, {5: b"a", 6: b"bcd", 7: b"e", 8: b"ab"})
     walk.FEW = few
     a, b = [[1, 2, 3], [1, 2, 3, 1], [1], [2], [1], [], [2, 3], [1]], [[5, 6, 7], [5, 6, 7, 8], [5], [5], [8, 5], [], [], [8]]
-    fits, pair, x, y, flat = walk.groups(a, b)
+    fits, pair, x, y = walk.groups(alignment.flat(a), alignment.flat(b))
     assert fits.tolist() == [True, True, False, False, False, True, False, True]
     assert list(zip(pair.tolist(), x.tolist(), y.tolist())) == [(0, 3, 3), (1, 6, 6), (1, 7, 7), (7, 13, 12)]
 

@@ -27,6 +27,7 @@ import json
 import os
 import re
 from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,12 @@ def byte_values() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists one after the other, and their lengths."""
+    n = np.array([len(x) for x in lists], np.int64)
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(n.sum())), n
+
+
 class ByteTokens:
     """Side A: a byte-level BPE of the tokenizers library, special tokens' strings taken as text."""
 
@@ -64,23 +71,28 @@ class ByteTokens:
         self.cuts = breaks_at_spaces(json.loads(self.lib.to_str()))
         value = byte_values()
         self.bytes_of = {i: bytes(map(value.__getitem__, t)) for t, i in self.lib.get_vocab(with_added_tokens=False).items() if all(c in value for c in t)}
-        self.size = np.zeros(max(self.bytes_of) + 1, np.int64)
-        for i, b in self.bytes_of.items():
-            self.size[i] = len(b)
-
-    def encode(self, parts: list[str]) -> list[list[int]]:
-        """The ids of space+part for each part. Where cuts are safe, parts are encoded GLUED to a text and told apart by their bytes."""
-        if not self.cuts:
-            return [e.ids for e in self.lib.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        glued = [" " + " ".join(parts[a : a + self.GLUED]) for a in range(0, len(parts), self.GLUED)]
-        ids = [i for e in self.lib.encode_batch_fast(glued, add_special_tokens=False) for i in e.ids]
-        reach = np.cumsum(self.size[ids])
-        stops = np.cumsum([len(p.encode()) + 1 for p in parts])
-        ends = np.searchsorted(reach, stops)
-        if not (len(reach) and reach[-1] == stops[-1] and (reach[ends] == stops).all()):  # bytes that the vocabulary can't hold
-            return [e.ids for e in self.lib.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)]
-        ends = (ends + 1).tolist()
-        return [ids[a:z] for a, z in zip([0, *ends], ends)]
+        every = [self.bytes_of.get(i, b"") for i in range(max(self.lib.get_vocab(with_added_tokens=True).values()) + 1)]
+        self.size = np.array([len(b) for b in every], np.int64)
+        self.begin, self.table = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(every), np.uint8)
+
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of space+part for each part, one after the other, and how many each has. Where cuts are safe, parts are encoded
+        GLUED to a text and told apart by their bytes."""
+        if self.cuts:
+            glued = [" " + " ".join(parts[a : a + self.GLUED]) for a in range(0, len(parts), self.GLUED)]
+            ids, _ = flat([e.ids for e in self.lib.encode_batch_fast(glued, add_special_tokens=False)])
+            reach = np.cumsum(self.size[ids])
+            stops = np.cumsum([len(p.encode()) + 1 for p in parts])
+            ends = np.searchsorted(reach, stops)
+            if len(reach) and reach[-1] == stops[-1] and (reach[ends] == stops).all():
+                return ids, np.diff(ends + 1, prepend=0)
+        # whole texts, or bytes that the vocabulary can't hold
+        return flat([e.ids for e in self.lib.encode_batch_fast([" " + p for p in parts], add_special_tokens=False)])
+
+    def text(self, ids: np.ndarray) -> bytes:
+        """The bytes of ids."""
+        n = self.size[ids]
+        return self.table[np.repeat(self.begin[ids] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes()
 
 
 class PieceTokens:
@@ -94,8 +106,8 @@ class PieceTokens:
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
         self.bytes_of = {i: bytes([int(p[3:5], 16)]) if self.lib.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)}
 
-    def encode(self, parts: list[str]) -> list[list[int]]:
-        return self.lib.encode(parts, num_threads=1)
+    def encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return flat(self.lib.encode(parts, num_threads=1))
 
 
 class Transducer:
@@ -146,19 +158,16 @@ class Transducer:
         self.keys, self.to, self.side = keys_[order], to[order], np.array([s for s, _ in self.states], np.int8)
         return self.to[np.searchsorted(self.keys, keys)]
 
-    def groups(self, a: list[list[int]], b: list[list[int]]):
-        """For pairs of sequences: which pairs fit, and of all groups of these, in order, the pair and where its ids end in the flat a and b."""
+    def groups(self, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]):
+        """For pairs of sequences (ids one after the other, their numbers): which pairs fit, and of all groups of these, in order, the pair and where
+        its ids end in a and b."""
         if len(self.states) > LIMIT:
             self.forget()
-        flat, begin, stop = [], [], []
-        for sequences in (a, b):
-            n = np.array([len(x) for x in sequences], np.int64)
-            flat.append(np.array([*[i for x in sequences for i in x], 0], np.int64))  # one more, for sides that have ended
-            stop.append(np.cumsum(n))
-            begin.append(stop[-1] - n)
-        i, j = begin[0].copy(), begin[1].copy()
-        state, bad = np.zeros(len(a), np.int64), np.zeros(len(a), bool)
-        live, out = np.arange(len(a)), []
+        flat = [np.r_[ids, 0] for ids, _ in (a, b)]  # one more, for sides that have ended
+        stop = [np.cumsum(n) for _, n in (a, b)]
+        i, j = stop[0] - a[1], stop[1] - b[1]
+        state, bad = np.zeros(len(i), np.int64), np.zeros(len(i), bool)
+        live, out = np.arange(len(i)), []
         while True:
             live = live[(i[live] < stop[0][live]) | (j[live] < stop[1][live])]
             if len(live) < max(1, self.FEW):
@@ -187,7 +196,7 @@ class Transducer:
         pair, x, y = (np.concatenate([o[c] for o in out]) if out else np.zeros(0, np.int64) for c in range(3))
         order = np.lexsort((x, pair))
         order = order[~bad[pair[order]]]
-        return ~bad, pair[order], x[order], y[order], flat
+        return ~bad, pair[order], x[order], y[order]
 
     def finished(self, k, flat, i, j, i_stop, j_stop, state):
         """One pair's groups from a state on: their ends, or None where the bytes differ."""
@@ -232,7 +241,7 @@ class Aligner:
         self.shown: list[bytes] = []
         self.counts = array("i")  # three numbers a cut
         self.links, self.reach = array("q"), array("q", [0])  # the links of all cuts, and where each one's end
-        self.known: dict[bytes, bytes] = {}  # ids of a group -> its text
+        self.known: dict = {}  # a group's link, or its ids -> its text
 
     def cuts(self, text: str) -> list[str]:
         if self.whole:
@@ -244,36 +253,48 @@ class Aligner:
             self.learned(parts[first : first + 8192])
 
     def learned(self, some: list[str]) -> None:
-        ids = self.a.encode(some), self.b.encode(some)
-        fits, pair, x, y, flat = self.walk.groups(*ids)
-        own = self.a.bytes_of
-        if b"".join([own[i] for part in ids[0] for i in part]) != (" " + " ".join(some)).encode():  # some part lost bytes: which?
-            lost = np.array([b"".join([own[i] for i in part]) != b" " + p.encode() for part, p in zip(ids[0], some)])
+        (a, n_a), (b, n_b) = self.a.encode(some), self.b.encode(some)
+        fits, pair, x, y = self.walk.groups((a, n_a), (b, n_b))
+        if self.a.text(a) != (" " + " ".join(some)).encode():  # some part lost bytes: which?
+            ends = np.cumsum(n_a).tolist()
+            lost = np.array([self.a.text(a[i:j]) != b" " + p.encode() for i, j, p in zip([0, *ends], ends, some)])
             keep = ~lost[pair]
             fits, pair, x, y = fits & ~lost, pair[keep], x[keep], y[keep]
         n = np.bincount(pair, minlength=len(some))
-        self.links.frombytes(((flat[0][x - 1] << B_BITS) + flat[1][y - 1]).tobytes())
+        links = (a[x - 1] << B_BITS) + b[y - 1]
+        self.links.frombytes(links.tobytes())
         self.reach.frombytes((self.reach[-1] + np.cumsum(n)).tobytes())
-        # a group begins where the one before it in its cut ends
+        shown, stops = self.texts(a, b, x, y, links, pair, n_a, n_b), np.cumsum(n).tolist()
+        numbers = np.stack([np.where(fits, n_a, -1), np.where(fits, n_b, 0), n], axis=1).astype(np.int32)
+        self.counts.frombytes(numbers.tobytes())
+        self.number.update(zip(some, range(len(self.shown), len(self.shown) + len(some))))
+        self.shown += [b";".join(shown[p:q]) for p, q in zip([0, *stops], stops)]
+
+    def texts(self, a, b, x, y, links, pair, n_a, n_b) -> list[bytes]:
+        """The text of each group: it begins where the one before it in its pair ends."""
         opens = np.r_[True, pair[1:] != pair[:-1]][: len(pair)]
-        raw = [f.astype("<u4").tobytes() for f in flat]
-        begin = [np.cumsum([0, *map(len, side)]) for side in ids]
-        a0, b0 = (np.where(opens, start[pair], np.r_[0, end[:-1]][: len(end)]) for start, end in zip(begin, (x, y)))
-        texts_, known = [], self.known
-        if len(known) > LIMIT:
-            known.clear()
-        for i, j, k, m in zip((4 * a0).tolist(), (4 * x).tolist(), (4 * b0).tolist(), (4 * y).tolist()):
-            key = raw[0][i:j] + b"||||" + raw[1][k:m] if j - i > 4 or m - k > 4 else raw[0][i:j] + raw[1][k:m]
+        from_a, from_b = (np.where(opens, (np.cumsum(m) - m)[pair], np.r_[0, end[:-1]][: len(end)]) for m, end in ((n_a, x), (n_b, y)))
+        single = (x - from_a == 1) & (y - from_b == 1)  # most groups: an id of either side, which the link names
+        if len(self.known) > LIMIT // 4:
+            self.known.clear()
+        known, out = self.known, np.empty(len(pair), object)
+        distinct, place = np.unique(links[single], return_inverse=True)
+        names = np.empty(len(distinct), object)
+        for k, link in enumerate(distinct.tolist()):
+            text = known.get(link)
+            if text is None:
+                text = known[link] = b"%d|%d" % (link >> B_BITS, link & ((1 << B_BITS) - 1))
+            names[k] = text
+        out[single] = names[place]
+        rest = np.flatnonzero(~single)
+        left, right = a.tolist(), b.tolist()
+        for k, i, j, p, q in zip(rest.tolist(), from_a[rest].tolist(), x[rest].tolist(), from_b[rest].tolist(), y[rest].tolist()):
+            key = (*left[i:j], -1, *right[p:q])
             text = known.get(key)
             if text is None:
-                text = known[key] = b"|".join(b",".join(b"%d" % v for v in np.frombuffer(side, "<u4").tolist()) for side in (raw[0][i:j], raw[1][k:m]))
-            texts_.append(text)
-        numbers = np.zeros((len(some), 3), np.int32)
-        numbers[:, 0], numbers[:, 1], numbers[:, 2] = np.where(fits, np.diff(begin[0]), -1), np.where(fits, np.diff(begin[1]), 0), n
-        self.counts.frombytes(numbers.tobytes())
-        base, ends = len(self.shown), np.cumsum(n).tolist()
-        self.shown += [b";".join(texts_[p:q]) if q - p != 1 else texts_[p] for p, q in zip([0, *ends], ends)]
-        self.number.update(zip(some, range(base, base + len(some))))
+                text = known[key] = b"|".join([b",".join([b"%d" % v for v in side]) for side in (left[i:j], right[p:q])])
+            out[k] = text
+        return out.tolist()
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
