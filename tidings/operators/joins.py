@@ -73,15 +73,17 @@ def without_pairs(pairs: DataFrame, *excluded: DataFrame) -> DataFrame:
     return pairs
 
 
-def co_occurring(members: DataFrame, group: str, entity: str, least_df: int = 2, most_df: int = 15, least_shared: int = 2) -> DataFrame:
-    """a, b, shared: pairs of groups that share entities of document frequency least_df..most_df (JN15).
+def co_occurring(members: DataFrame, group: str, entity: str, least_df: int = 2, most_df: int = 15, least_shared: int = 2, evidence: int = 0) -> DataFrame:
+    """a, b, shared: pairs of groups that share entities of document frequency least_df..most_df (JN15); with ``evidence``, the first so many
+    of them by name as well (GR2).
 
     The bound on the frequency also bounds the pairs an entity makes, so no entity is quadratic in the data."""
     m = members.select(F.col(group).alias("g"), F.col(entity).alias("e")).distinct()
     df = m.groupBy("e").agg(F.count("*").alias("df")).filter(F.col("df").between(least_df, most_df))
     m = m.join(df, "e").select("g", "e")
     p = m.select(F.col("g").alias("a"), "e").join(m.select(F.col("g").alias("b"), "e"), "e").filter("a < b")
-    return p.groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least_shared)
+    names = [F.slice(F.array_sort(F.collect_list("e")), 1, evidence).alias("evidence")] if evidence else []
+    return p.groupBy("a", "b").agg(F.count("*").alias("shared"), *names).filter(F.col("shared") >= least_shared)
 
 
 #: Organisations that so many unrelated stories name that sharing them says nothing.

@@ -69,3 +69,42 @@ def scout_state(accounts: DataFrame, candidate_days: int = 7, least_posts: int =
         .when((a("status") == "following") & weak, "paused").when((a("status") == "paused") & ~a("protected") & (a("status_days") >= 30), "removed").otherwise(a("status"))
     )
     return accounts.withColumn("next_status", nxt)
+
+
+def decided(stories: DataFrame, desks: list[dict], exclusions: list[dict], includes: list[str], heavy: list[str]) -> DataFrame:
+    """story_id, desk, routed, reason, desk_score, significance, relevance, confidence: the whole decision by rules (TR1).
+
+    stories: story_id, text, themes, countries, urls, tiers (arrays). desks: key, priority, phrases, themes (prefixes), countries;
+    exclusions: key, phrases, urls (what a link may hold); heavy: prefixes of weighty themes. Everything is a column expression over
+    a story's row, so a decision costs no shuffle."""
+    text = F.col("text")
+    list_of = lambda c: F.coalesce(F.col(c), F.array().cast("array<string>"))
+    begins = lambda prefixes: F.array_distinct(F.filter(list_of("themes"), lambda t: F.array_contains(F.array(*[F.startswith(t, F.lit(p)) for p in prefixes]), True))) if prefixes else F.array().cast("array<string>")
+    holds = lambda parts: lambda u: F.array_contains(F.array(*[F.contains(F.lower(u), F.lit(p)) for p in parts]), True)
+    rows = []
+    for d in desks:
+        near = F.arrays_overlap(list_of("countries"), F.array(*map(F.lit, d["countries"]))) if d.get("countries") else F.lit(False)
+        found = F.size(phrases_found(text, d["phrases"]))
+        # themes and places say little alone: they strengthen a desk's own words
+        hint = 0.5 * F.least(F.size(begins(d.get("themes"))), F.lit(3)) + F.when(near, 0.75).otherwise(0.0)
+        rows.append(F.struct(F.when(found > 0, F.least(found, F.lit(5)) + hint).otherwise(0.0).alias("score"), F.lit(d["priority"]).alias("priority"), F.lit(d["key"]).alias("desk"), near.alias("near")))
+    urls = list_of("urls")
+    against = []
+    for k, x in enumerate(exclusions):
+        held = F.filter(urls, holds(x["urls"])) if x.get("urls") else F.array()
+        strength = F.size(phrases_found(text, x["phrases"])) + 3.0 * F.size(held) / F.greatest(F.size(urls), F.lit(1))
+        against.append(F.struct(strength.alias("strength"), F.lit(-k).alias("order"), F.lit(x["key"]).alias("key")))
+    s = stories.select(
+        "story_id", F.array(*rows).alias("desks"), F.array_max(F.array(*against)).alias("against"), F.size(phrases_found(text, includes)).alias("wanted"),
+        (F.size(begins(heavy)) > 0).alias("heavy"), F.array_contains(list_of("tiers"), "A").alias("trusted"))
+    best = F.array_max("desks")
+    s = s.select("*", best["score"].alias("best"), best["desk"].alias("first"), F.exists("desks", lambda d: d["near"]).alias("near"), F.when(F.col("against.strength") >= 1, F.col("against")).alias("out")).drop("desks", "against")
+    score, out = F.col("best"), F.col("out")
+    routed = (score >= 1.5) & (out.isNull() | (score >= F.greatest(F.lit(2.5), out["strength"] + 0.5)))
+    s = s.withColumn("routed", routed)
+    weight = 1.0 + F.least(F.lit(2.0), score / 2.5) + F.when(F.col("heavy"), 0.75).otherwise(0.0) + F.when(F.col("trusted"), 0.5).otherwise(0.0) + F.when(F.col("wanted") > 0, 0.5).otherwise(0.0)
+    sure = F.when(F.col("routed") & (score >= 3) & out.isNull(), 0.9).when(F.col("routed"), F.when(score >= 2, 0.6).otherwise(0.45))
+    sure = sure.when(F.col("near") & out.isNull(), 0.45).when(score < 0.75, 0.9).when(out.isNotNull() & (score < 2), 0.7).otherwise(0.45)
+    return s.select(
+        "story_id", F.when(F.col("routed") | (score >= 1), F.col("first")).alias("desk"), "routed", F.when(~F.col("routed"), F.coalesce(out["key"], F.lit("no_desk_match"))).alias("reason"), score.alias("desk_score"),
+        F.round(F.least(F.lit(5.0), weight), 2).alias("significance"), F.round(F.when(F.col("routed"), F.least(F.lit(1.0), score / 5 + 0.1 * F.col("wanted"))).otherwise(F.least(F.lit(0.2), score / 10)), 3).alias("relevance"), sure.alias("confidence"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidings.functions import text as tx
-from tidings.functions.vectors import cosine
+from tidings.functions.vectors import cosine, mean_vectors, scaled
 from tidings.operators import cluster, places, review, similarity
 from tidings.plans.registry import query
 from tidings.plans.relations import PAIRS, vectors
@@ -58,6 +58,18 @@ def cl5(spark, d):
     return out.groupBy("story_id").agg(F.count("*").alias("items"))
 
 
+CENTRE = "select story, list_transform(range(0, 64), lambda i: list_extract(list(x order by place), i + 1)) as m from (select story, place, avg(x) as x from (select case when vec_id % 50 = 0 then -vec_id else label end as story, unnest(range(0, 64)) as place, unnest(embedding)::double as x from embeddings) group by 1, 2) group by 1"
+
+
+@query("cl5b_centroids_after_splits", f"with c as ({CENTRE}) select story, i as place, round(m[i + 1] / sqrt(list_dot_product(m, m)), 6) as x from c, unnest(range(0, 64)) r(i)")
+def cl5b(spark, d):
+    """Detached items are stories of their own; the centroids of all stories are computed anew, at length 1."""
+    e = Tables(spark, d).embeddings.select(F.col("vec_id").alias("item_id"), F.col("label").cast("long").alias("story_id"), "embedding")
+    out = cluster.detached(e, e.filter("item_id % 50 = 0").select("item_id"))
+    m = mean_vectors(out, ["story_id"], "embedding").select(F.col("story_id").alias("story"), F.posexplode(scaled(F.col("mean"))).alias("place", "x"))
+    return m.select("story", F.col("place").cast("long").alias("place"), F.round("x", 6).alias("x"))
+
+
 @query("gr7_citations", """with l as (select distinct l_suppkey as url, (l_partkey % 97) as cites from lineitem), r as (select s_suppkey as root from supplier), u as (select root, root as url, 0 as depth from r union all select root, cites, 1 from r join l on l.url = root
  union all select root, y.cites, 2 from r join l x on x.url = root join l y on y.url = x.cites) select root, url, min(depth)::int as depth from u group by 1, 2""")
 def gr7(spark, d):
@@ -215,7 +227,11 @@ def ag24(spark, d):
     e = Tables(spark, d).events
     p = e.filter("event_type = 'click'").select("event_id", "user_id", "ts")
     others = e.filter("event_type <> 'click'").select(F.col("user_id").alias("u"), F.col("event_type").alias("outlet"), F.col("ts").alias("t"))
-    o = p.join(others, (F.col("user_id") == F.col("u")) & (F.col("t") > F.col("ts")) & (F.col("t") <= F.col("ts") + F.expr("interval 48 hours"))).groupBy("event_id").agg(F.countDistinct("outlet").alias("outlets"), F.min("t").alias("first"))
+    # a post meets its user's reports of its own span of 48 hours and the next one, not all of them
+    span = lambda c: F.floor(F.unix_micros(c) / (48 * 3_600_000_000)).cast("long")
+    spread = p.withColumn("span", F.explode(F.array(span("ts"), span("ts") + 1)))
+    near = spread.join(others.withColumnRenamed("u", "user_id").withColumn("span", span("t")), ["user_id", "span"])
+    o = near.filter((F.col("t") > F.col("ts")) & (F.col("t") <= F.col("ts") + F.expr("interval 48 hours"))).groupBy("event_id").agg(F.countDistinct("outlet").alias("outlets"), F.min("t").alias("first"))
     j = p.join(o, "event_id", "left").withColumn("lead", (F.unix_micros("first") - F.unix_micros("ts")) / 6e7)
     return j.groupBy("user_id").agg(F.count("*").alias("posts"), F.count("first").alias("corroborated"), F.count_if(F.col("outlets") >= 2).alias("early"), F.round(F.percentile("lead", F.lit(0.5)), 3).alias("median_lead"))
 

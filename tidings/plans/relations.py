@@ -146,6 +146,14 @@ def jn15(spark, d):
     return c.withColumn("weight", F.least(F.lit(1.0), F.col("shared") / 4.0))
 
 
+@query("gr2b_same_actor_evidence", """with m as (select distinct l_suppkey as g, l_partkey as e from lineitem), d as (select e from m group by 1 having count(*) between 2 and 15), k as (select g, e from m join d using (e))
+ select a.g as a, b.g as b, count(*) as shared, array_to_string(list(a.e order by a.e)[1:8], ',') as evidence from k a join k b on a.e = b.e and a.g < b.g group by 1, 2 having count(*) >= 2""")
+def gr2b(spark, d):
+    """Suppliers of the same parts, with the first eight parts that tie them."""
+    c = joins.co_occurring(Tables(spark, d).lineitem, "l_suppkey", "l_partkey", 2, 15, 2, evidence=8)
+    return c.withColumn("evidence", F.array_join("evidence", ","))
+
+
 @query("jn16_excluded_pairs", f"with {PAIRS.format(least=0.35)} select a, b, sim from p where (a + b) % 7 <> 0")
 def jn16(spark, d):
     p = similarity.similar_pairs(vectors(spark, d), 0.35)

@@ -161,6 +161,32 @@ def tr1(spark, d):
     return triage.routed(triage.desk_scores(p, DESKS))
 
 
+FULL_DESKS = [{"key": "red", "priority": 2, "phrases": ["red", "widget"], "themes": ["WAR"], "countries": ["C1"]}, {"key": "blue", "priority": 1, "phrases": ["blue", "bolt"]}, {"key": "ring", "priority": 3, "phrases": ["ring", "small ring"], "themes": ["TAX", "LAW"], "countries": ["C2", "C3"]}]
+OUT = [{"key": "plates", "phrases": ["plate", "hot plate"], "urls": ["/sport/"]}, {"key": "old", "phrases": ["old"], "urls": []}]
+HAS = lambda w: rf"regexp_matches(t, '\b{w}\b')::int"
+
+
+@query("tr1b_full_rules", rf"""with p as (select a.p_partkey as story_id, a.p_name || ', ' || coalesce(b.p_name, '') as t, a.p_partkey % 4 as c, a.p_size % 3 as th, a.p_partkey % 5 as u, a.p_partkey % 3 as tier from part a left join part b on b.p_partkey = a.p_partkey + 1),
+ k as (select *, {HAS('red')} + {HAS('widget')} as r, {HAS('blue')} + {HAS('bolt')} as b, {HAS('ring')} * (1 + (regexp_matches(t, 'small ring') and regexp_matches(regexp_replace(t, 'small ring', '', 'g'), '\bring\b'))::int) as g, regexp_matches(regexp_replace(t, 'hot plate', '', 'g'), '\bplate\b')::int + regexp_matches(t, 'hot plate')::int + 3e0 * (case u when 0 then 0 when 1 then 0.5e0 else 1 end) * (u < 3)::int as x1, {HAS('old')}::double as x2, {HAS('gizmo')} + {HAS('large')} as w from p),
+ s as (select *, case when r > 0 then least(r, 5) + 0.5e0 * (th > 0)::int + 0.75e0 * (c = 1)::int else 0e0 end as sr, case when b > 0 then least(b, 5)::double else 0e0 end as sb, case when g > 0 then least(g, 5) + 0.5e0 * (th > 1)::int + 0.75e0 * (c in (2, 3))::int else 0e0 end as sg from k),
+ m as (select *, greatest(sr, sb, sg) as best, case when sg = greatest(sr, sb, sg) then 'ring' when sr = greatest(sr, sb, sg) then 'red' else 'blue' end as first, case when greatest(x1, x2) >= 1 then case when x1 >= x2 then 'plates' else 'old' end end as o, greatest(x1, x2) as xs from s),
+ z as (select *, best >= 1.5 and (o is null or best >= greatest(2.5e0, xs + 0.5e0)) as routed from m)
+ select story_id, case when routed or best >= 1 then first end as desk, routed, case when not routed then coalesce(o, 'no_desk_match') end as reason, best as desk_score, round(least(5e0, 1e0 + least(2e0, best / 2.5e0) + 0.75e0 * (th > 1)::int + 0.5e0 * (tier = 0)::int + 0.5e0 * (w > 0)::int), 2) as significance,
+  round(case when routed then least(1e0, best / 5e0 + 0.1e0 * w) else least(0.2e0, best / 10e0) end, 3) as relevance, case when routed and best >= 3 and o is null then 0.9e0 when routed and best >= 2 then 0.6e0 when routed then 0.45e0 when c <> 0 and o is null then 0.45e0 when best < 0.75 then 0.9e0 when o is not null and best < 2 then 0.7e0 else 0.45e0 end as confidence from z""")
+def tr1b(spark, d):
+    """Desk, exclusion, significance, relevance and confidence of each story."""
+    part = Tables(spark, d).part
+    k, here = F.col("p_partkey"), F.lit("https://a.example/sport/1")
+    after = part.select((k - 1).alias("p_partkey"), F.col("p_name").alias("next"))
+    words = lambda *w: F.array(*map(F.lit, w))
+    none = F.array().cast("array<string>")
+    p = part.join(after, "p_partkey", "left").select(
+        k.alias("story_id"), F.concat("p_name", F.lit(", "), F.coalesce("next", F.lit(""))).alias("text"), F.array(F.concat(F.lit("C"), k % 4)).alias("countries"),
+        F.when(F.col("p_size") % 3 == 0, none).when(F.col("p_size") % 3 == 1, words("WAR_X", "ODD")).otherwise(words("WAR_X", "WAR_X", "TAX_A", "ODD")).alias("themes"),
+        F.when(k % 5 == 0, words("https://b.example/x")).when(k % 5 == 1, F.array(here, F.lit("https://b.example/x"))).when(k % 5 == 2, F.array(here, F.upper(here))).otherwise(none).alias("urls"), F.when(k % 3 == 0, words("B", "A")).otherwise(words("B")).alias("tiers"))
+    return triage.decided(p, FULL_DESKS, OUT, ["gizmo", "large"], ["TAX"])
+
+
 @query("tr2_second_opinions", """select p_partkey as story_id, case when p_size < 30 and p_partkey % 5 > 1 and p_partkey % 2 = 0 then 'second' else 'first' end as desk, case when p_size < 30 and p_partkey % 5 > 1 and p_partkey % 2 = 0 then (p_size / 10e0 + 3e0) / 2 else p_size / 10e0 end as significance,
  case when p_size < 30 and p_partkey % 5 > 1 and p_partkey % 2 = 0 then 'second' else 'first' end as backend from part""")
 def tr2(spark, d):
