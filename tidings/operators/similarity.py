@@ -150,7 +150,8 @@ def top_neighbours(vectors: DataFrame, queries: DataFrame, k: int, per_block: in
     Vectors and queries are dealt into blocks that meet in pairs, so neither is held whole anywhere; each pair of
     blocks keeps the k best of each query, then ranks merge."""
     left, right = (max(1, -(-t.count() // per_block)) for t in (vectors, queries))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    # both sides' numbers are of one type: an int and a long of one value hash apart, and cogroup would let their rows miss each other
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     kinds = lambda t: t.select("id", F.col("v").cast("array<double>").alias("v"))
     v = kinds(vectors).withColumn("p", block(left)).withColumn("q", spread(right)).groupBy("p", "q")
