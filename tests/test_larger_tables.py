@@ -1,6 +1,9 @@
 """What only larger tables show: several blocks, ties of rounding, many places in a cell, long lists of names."""
 
 import numpy as np
+from pyspark.sql import functions as F
+
+from tidings.functions.scoring import channel_score
 from tidings.operators import similarity
 
 
@@ -17,3 +20,22 @@ def test_neighbours_are_found_across_several_blocks(spark):
     for i in range(0, 300, 10):
         best = sorted((-sim[i, j], j) for j in range(300) if j != i)[:5]
         assert [r["other"] for r in sorted((r for r in found if r["id"] == i), key=lambda r: r["rank"])] == [j for _, j in best]
+
+
+def test_channel_scores_round_as_their_sql_does(spark):
+    """1000 * s and 100 * s * 10 are not the same number where s lies on the edge of a rounding."""
+    def s(p, r, f, c, e, y):
+        return 0.35 * (c + 1) / (e + 4) + 0.35 * (y + 0.5) / (c + 3) + 0.2 * (r + 1) / (p + 3) + 0.1 * (1 - f / p)
+
+    def told(x):
+        return np.floor(1000.0 * x + 0.5) / 10.0
+
+    g = np.stack(np.meshgrid(*[np.arange(1, 13), *[np.arange(8)] * 5], indexing="ij")).reshape(6, -1).astype(float)
+    x = s(*g)
+    edge = np.flatnonzero(told(x) != np.floor(100 * x * 10.0 + 0.5) / 10.0)
+    assert len(edge)
+    rows = g[:, edge].T.astype(int).tolist()
+    names = ["posts", "routed", "forwarded", "corroborated", "evaluable", "early"]
+    df = spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"{n} long" for n in names))
+    found = df.select(*names, channel_score(*[F.col(n) for n in names]).alias("score")).collect()
+    assert all(r["score"] == told(s(*[r[n] for n in names])) for r in found)

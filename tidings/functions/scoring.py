@@ -39,7 +39,7 @@ def channel_score(posts: Column, routed: Column, forwarded: Column, corroborated
     """0 to 100: how often a channel is right, early and on topic, and how little it forwards; priors for small counts."""
     s = 0.35 * (corroborated + 1) / (evaluable + 4) + 0.35 * (early + 0.5) / (corroborated + 3)
     s = s + 0.2 * (routed + 1) / (posts + 3) + 0.1 * (1 - F.coalesce(F.try_divide(forwarded, posts), F.lit(0.0)))
-    return half_up(100 * s, 1)
+    return F.floor(1000.0 * s + 0.5) / 10.0  # not half_up(100 * s, 1): 100 * s * 10 may fall on the other side of a half
 
 
 def towards_score(population: Column, off_degrees: Column, km: Column) -> Column:
