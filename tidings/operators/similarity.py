@@ -18,10 +18,11 @@ BLOCK = 1024
 def similar_pairs(vectors: DataFrame, least: float, blocks: int | None = None) -> DataFrame:
     """a < b, sim: pairs of rows (id, v) with a dot product of at least ``least`` (JN7), rounded to 6 digits.
 
-    The number of blocks follows the number of vectors, so that a block keeps about 2 * BLOCK of them."""
-    blocks = blocks or max(4, -(-vectors.count() // (2 * BLOCK)))
+    The number of blocks follows the number of vectors, so that a block keeps about 8 * BLOCK of them. A vector travels once for
+    each block, in the type it comes in."""
+    blocks = blocks or max(4, -(-vectors.count() // (8 * BLOCK)))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    own = vectors.select("id", F.col("v").cast("array<double>").alias("v"), block.alias("k"))
+    own = vectors.select("id", "v", block.alias("k"))
     spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     pair = spread.select(F.least("k", "other").alias("p"), F.greatest("k", "other").alias("q"), "k", "id", "v")
 
