@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidings.functions import geo
-from tidings.functions.scoring import towards_score
 from tidings.operators import outlines, sinks, tracks
 from tidings.plans.registry import query
 from tidings.plans.relations import HAV
@@ -48,11 +47,11 @@ def sf21(spark, d):
  y as (select *, log10(greatest(c_acctbal, 0) + 10e0) - off / 60e0 - km / 80e0 as score from x where km between 2 and 40 and off <= 35), r as (select *, row_number() over (partition by s_suppkey order by score desc, c_custkey) as k from y) select s_suppkey, c_custkey, round(score, 6) as score from r where k = 1""")
 def sf22(spark, d):
     t = Tables(spark, d)
-    x = t.supplier.join(t.customer, F.col("s_nationkey") == F.col("c_nationkey"))
-    x = x.withColumns({"km": F.abs(F.col("s_suppkey") * 7 - F.col("c_custkey") * 3) % 60, "off": (F.col("s_suppkey") * 11 + F.col("c_custkey") * 5) % 50})
-    x = x.withColumn("score", towards_score(F.greatest("c_acctbal", F.lit(0.0)), F.col("off"), F.col("km"))).filter("score is not null")
-    best = x.groupBy("s_suppkey").agg(F.max(F.struct("score", (-F.col("c_custkey")).alias("c"))).alias("b"))
-    return best.select("s_suppkey", (-F.col("b.c")).alias("c_custkey"), F.round("b.score", 6).alias("score"))
+    towns = t.customer.select(F.col("c_nationkey").alias("area"), F.col("c_custkey").alias("town"), F.greatest("c_acctbal", F.lit(0.0)).alias("population"))
+    arrows = t.supplier.select(F.col("s_nationkey").alias("area"), F.col("s_suppkey").alias("arrow"))
+    km, off = F.abs(F.col("arrow") * 7 - F.col("town") * 3) % 60, (F.col("arrow") * 11 + F.col("town") * 5) % 50
+    best = tracks.aims(arrows, towns, off, km)
+    return best.select(F.col("arrow").alias("s_suppkey"), F.col("town").alias("c_custkey"), F.round("score", 6).alias("score"))
 
 
 @query("wn8_grouped_reports")
