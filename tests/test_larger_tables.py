@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidings.functions.geo import haversine_km
 from tidings.functions.scoring import channel_score
+from tidings.llm import near_texts
 from tidings.operators import joins, similarity, tracks
 
 
@@ -78,3 +79,15 @@ def test_aims_that_need_more_towns_than_the_first(spark):
     for first in (4, 2048):
         got = tracks.aims(*frames, off, km, first).collect()
         assert {r["arrow"]: (round(r["score"], 9), -r["town"]) for r in got} == best and len(got) == len(best)
+
+
+def test_near_dedup_links_close_fingerprints_by_their_blocks(spark):
+    """Nodes without any band: what operator 3's buckets find, chains and equal fingerprints included."""
+    prints = [0, 3, 15, 15, 1 << 40, (1 << 40) + 1, 7 << 50]
+    nodes = spark.createDataFrame([(i, fp) for i, fp in enumerate(prints)], "node long, fp long")
+    got = {tuple(r) for r in near_texts.close_prints(nodes).collect()}
+    root = list(range(len(prints)))
+    for a, b in got:
+        low, high = sorted((root[a], root[b]))
+        root = [low if r == high else r for r in root]
+    assert root == [0, 0, 0, 0, 0, 0, 6]

@@ -112,9 +112,9 @@ class WordHash(dict):
 
     LIMIT = 400_000
 
-    def __init__(self, norm=None):
+    def __init__(self, norm=None, limit: int = LIMIT):
         super().__init__()
-        self.norm = norm
+        self.norm, self.limit = norm, limit
 
     def __missing__(self, word: bytes) -> int:
         key = self.norm(word) if self.norm else word
@@ -122,7 +122,7 @@ class WordHash(dict):
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > self.LIMIT:  # a cache only: starting afresh changes no result
+        if len(self) > self.limit:  # a cache only: starting afresh changes no result
             self.clear()
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 

@@ -4,7 +4,8 @@ Texts of the same words collapse first (lower case of A-Z, ASCII white space). E
 its shingle set. At similarity 0.8 two fingerprints differ in about 10 bits, in 12 where the sets are tiny; RADIUS = 26 bits leaves
 out fewer than 1 such pair in 10,000 at worst, and 9 in 10 of unrelated texts (32 bits apart). No set of blocks of 64 bits gives small
 buckets at that radius, so buckets come from the shingles: 20 bands of 4 min-hashes, of which a pair at similarity 0.8
-shares none with probability (1 - 0.8**4)**20, 3 in 100,000 (at 0.9: 2 in 10**10).
+shares none with probability (1 - 0.8**4)**20, 3 in 100,000 (at 0.9: 2 in 10**10). What the blocks can serve comes from them first:
+fingerprints within 2 bits are linked by operator 3's own buckets and tiles (close_prints) and verified like all others.
 
 Buckets do not emit all their pairs: first each member meets one of its bucket's 4 hubs at most, drawn by a hash, so
 that groups of copies link up at linear cost; what is then still apart in one bucket goes through the tiles in the bucket's task:
@@ -25,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidings.llm import simhash
 from tidings.llm.common import Spans, WordHash, dropped, packed, small_batches, text_keys, texts, written
 from tidings.llm.components import components
 from tidings.llm.tiles import bounds, close_pairs
@@ -72,7 +74,7 @@ def prints(docs: DataFrame) -> DataFrame:
     """doc_id, ka, kb, same (equal for texts of the same words), n (size of the shingle set), fp, bands."""
 
     def run(batches):
-        hashes = WordHash()
+        hashes = WordHash(limit=100_000)
         for b in batches:
             same, n, fp, keys = [], [], [], []
             for text in texts(b):
@@ -84,6 +86,7 @@ def prints(docs: DataFrame) -> DataFrame:
                 keys.append(bands(s))
             columns = [*b.columns[:3], pa.array(same, pa.binary()), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ka", "kb", "same", "n", "fp", "bands"])
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     read = docs.select("doc_id", *text_keys(F.col("text")), F.col("text").cast("string").alias("text"))
     return read.mapInArrow(run, "doc_id long, ka long, kb long, same binary, n long, fp long, bands array<long>")
@@ -93,10 +96,11 @@ def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, s: the shingle set of each wanted node (columns node, doc_id, ka, kb)."""
 
     def run(batches):
-        hashes = WordHash()
+        hashes = WordHash(limit=100_000)
         for b in batches:
             found = [shingles(t.lower().split(), hashes).view(np.int64) for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "s"])
+        pa.default_memory_pool().release_unused()
 
     text = docs.select(F.col("doc_id").alias("id"), *text_keys(F.col("text"), ("a", "b")), F.col("text").cast("string").alias("text"))
     both = text.join(wanted, F.expr("id <=> doc_id and a = ka and b = kb"))
@@ -217,30 +221,41 @@ def across(dealt: DataFrame, nodes: DataFrame, sets_: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
+def close_prints(nodes: DataFrame) -> DataFrame:
+    """a < b: pairs of nodes to be verified that connect those whose fingerprints are within simhash.RADIUS bits: the buckets of pairs of
+    blocks and their tiles (simhash.links) join different fingerprints, and nodes of one fingerprint meet the first of them."""
+    first = nodes.groupBy("fp").agg(F.min("node").alias("rep"))
+    same = nodes.join(first, "fp").filter("node <> rep").select("rep", "node")
+    pairs = simhash.links(first).toDF("rep", "node").union(same)
+    return pairs.select(F.least("rep", "node").alias("a"), F.greatest("rep", "node").alias("b")).distinct()
+
+
 def links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """u, v: links that connect the groups of near copies among nodes (columns node, doc_id, ka, kb, n, fp, bands)."""
     dealt = nodes.select("node", "n", "fp", F.explode("bands").alias("key"))
     hub = F.min_by(F.struct("node", "n", "fp"), F.xxhash64("node", F.pmod("key", F.lit(4))))
     shared = dealt.groupBy("key").agg(F.count("*").alias("m"), hub.alias("hub")).filter("m > 1")
     dealt = written(dealt.join(shared, "key").select("key", "node", "n", "fp", "hub"), "near-buckets")  # few: most buckets have one member
-    company = dealt.select("node").distinct()
+    close = written(close_prints(nodes), "near-prints-close")
+    company = dealt.select("node").union(close.select("a")).union(close.select("b")).distinct()
     sets_ = written(sets(docs, nodes.select("node", "doc_id", "ka", "kb").join(company, "node")), "near-sets")
     stars = dealt.filter("node <> hub.node").filter(alike(F.col("n"), F.col("hub.n"), F.col("fp"), F.col("hub.fp")))
-    stars = written(stars.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct(), "near-stars")
+    stars = stars.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+    stars = written(stars.union(close).distinct(), "near-stars")
     found = written(verified(stars, sets_), "near-links")
     labels = components(found).withColumnRenamed("u", "node")
     now = written(dealt.join(labels, "node", "left").select("key", "node", "n", "fp", F.coalesce("label", "node").alias("label")), "near-labelled")
     apart = now.groupBy("key").agg(F.count("*").alias("m"), F.min("label").alias("l"), F.max("label").alias("h")).filter("m > 2 and l <> h").select("key")
     rest = written(across(now.join(apart, "key", "left_semi"), nodes, sets_), "near-rest")
     found = written(found.union(rest), "near-links")
-    for t in (dealt, sets_, now, stars, rest):
+    for t in (dealt, close, sets_, now, stars, rest):
         dropped(t)
     return found
 
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """One row of each group of near copies, see simhash.one_each()."""
-    with small_batches(docs.sparkSession):
+    with small_batches(docs.sparkSession, 4):
         return _kept_rows(docs)
 
 
