@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidings.functions.geo import haversine_km
 from tidings.functions.scoring import channel_score
 from tidings.llm import near_texts
-from tidings.operators import joins, names, similarity, tracks
+from tidings.operators import cluster, histories, joins, names, similarity, tracks
 
 
 def test_neighbours_are_found_across_several_blocks(spark):
@@ -103,3 +103,33 @@ def test_names_with_one_first_word_meet_no_place_in_vain(spark, monkeypatch):
     assert sorted(map(tuple, got.filter("name <> 'the the the'").collect())) == [(i, 0, f"the w{i} x") for i in range(3000)]
     assert got.filter("name = 'the the the'").groupBy("id").count().filter("count = 33").count() == 3000
     assert time.monotonic() - begin < 60
+
+
+def test_asks_of_one_spot_share_their_answer(spark):
+    """400,000 asks of one spot and a day with 50 marks on each of 40 days: each ask met all marks."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int"))
+    maps = spark.range(40).select(F.lit(1).cast("long").alias("track"), day.alias("day"))
+    marks = maps.join(spark.range(50).select((50 + F.col("id") / 1000.0).alias("lat"), F.lit(30.0).alias("lon")))
+    asks = spark.range(400_000).select(F.col("id").alias("ask"), F.lit(1).cast("long").alias("track"), F.lit("2024-02-09").cast("date").alias("day"), F.lit(50.0).alias("lat"), F.lit(30.0).alias("lon"))
+    begin = time.monotonic()
+    got = histories.persistence(asks, maps, marks).groupBy("run_days", "at_least", "maps_last_year", "marked_last_year").count().collect()
+    assert [tuple(r) for r in got] == [(40, True, 40, 40, 400_000)]
+    assert time.monotonic() - begin < 40
+
+
+def test_merges_hold_what_they_have_changed_only(spark):
+    """One component of 200,000 pairs, of which few can merge; the order of pairs is that of one pass."""
+    n = 2000
+    pairs = spark.range(200_000).select((F.col("id") % n).alias("a"), ((F.col("id") * 7919 + F.floor(F.col("id") / n)) % n).alias("b"), (0.4 + F.pmod(F.col("id") * 48271, F.lit(99_991)) / 1e6).alias("sim")).filter("a < b").groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    sizes = spark.range(n).select("id", (F.col("id") % 40 + 1).alias("n"))
+    count, gone, want = {i: i % 40 + 1 for i in range(n)}, set(), {}
+    for r in sorted(pairs.collect(), key=lambda r: (r["sim"], r["a"], r["b"]), reverse=True):
+        a, b = r["a"], r["b"]
+        if a not in gone and b not in gone and r["sim"] >= cluster.merge_needs_of(0.4, min(count[a], count[b])):
+            keep, drop = (a, b) if count[a] >= count[b] else (b, a)
+            count[keep] += count[drop]
+            gone.add(drop)
+            want[drop] = keep
+    last = lambda x: last(want[x]) if x in want else x
+    got = {r["gone"]: r["kept"] for r in cluster.greedy_merges(pairs, sizes, 0.4, most=n).collect()}
+    assert got == {g: last(g) for g in want} and len(got) > 100
