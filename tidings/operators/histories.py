@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections import defaultdict
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidings.functions.geo import haversine_km
+from tidings.operators.graph import saved
 from tidings.operators.joins import as_of
 from tidings.operators.tracks import _km
 
@@ -40,29 +42,37 @@ def persistence(asks: DataFrame, maps: DataFrame, marks: DataFrame, near_km: flo
     """ask, since, run_days, at_least, maps_last_year, marked_last_year (WN9): how long a mark has been near a spot, as it moves.
 
     asks: ask, track, day, lat, lon; maps: track, day (days that have a map); marks: track, day, lat, lon. An ask meets its track's days
-    and the marks within reach_km up to its day; marked_last_year counts maps of 365 days with a mark near the spot itself or on the walk."""
-    kinds = "ask long, since date, run_days int, at_least boolean, maps_last_year int, marked_last_year int"
-    days = asks.join(maps.distinct().withColumnRenamed("day", "d"), "track").filter("d <= day").groupBy("ask").agg(F.array_sort(F.collect_list("d")).alias("days"))
+    and the marks within reach_km up to its day; marked_last_year counts maps of 365 days with a mark near the spot itself or on the walk.
+    Asks of one spot and day share their answer, and a task holds the marks of one of them."""
+    kinds = "one long, since date, run_days int, at_least boolean, maps_last_year int, marked_last_year int"
+    spot = ["track", "day", "lat", "lon"]
+    spots = saved(asks.groupBy(*spot).agg(F.min("ask").alias("one")))
+    days = spots.join(maps.distinct().withColumnRenamed("day", "d"), "track").filter("d <= day").groupBy("one").agg(F.array_sort(F.collect_list("d")).alias("days"))
     m = marks.select("track", F.col("day").alias("d"), F.col("lat").alias("y"), F.col("lon").alias("x"))
-    near = asks.join(m, "track").filter((F.col("d") <= F.col("day")) & (haversine_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")) <= reach_km))
-    near = near.groupBy("ask").agg(F.collect_list(F.struct("d", "y", "x")).alias("marks"))
+    near = spots.join(m, "track").filter((F.col("d") <= F.col("day")) & (haversine_km(F.col("lat"), F.col("lon"), F.col("y"), F.col("x")) <= reach_km))
+    near = near.groupBy("one").agg(F.collect_list(F.struct("d", "y", "x")).alias("marks"))
 
-    def run(frames):
-        for f in frames:
+    def run(batches):
+        for b in batches:
             rows = []
-            for ask, day, lat, lon, own, some in zip(f["ask"], f["day"], f["lat"], f["lon"], f["days"], f["marks"]):
-                own = [] if own is None else list(own)[::-1]
+            for k in range(b.num_rows):
+                one, day, lat, lon, own, some = (c[0] for c in b.slice(k, 1).to_pydict().values())
+                own = (own or [])[::-1]
                 at = defaultdict(list)
-                for s in () if some is None else some:
+                for s in some or ():
                     at[s["d"]].append((s["y"], s["x"]))
                 since, at_least, passed = walked_back(own, at, day, lat, lon, near_km, gap_days) if own else (None, False, set())
                 year = [d for d in own if (day - d).days < 365]
                 here = sum(d in passed or any(_km(lat, lon, *p) <= near_km for p in at.get(d, ())) for d in year)
-                rows.append((ask, since, (day - since).days + 1 if since else 0, at_least, len(year), here))
-            yield pd.DataFrame(rows, columns=[k.split()[0] for k in kinds.split(", ")])
-
-    both = asks.select("ask", "day", "lat", "lon").join(days, "ask", "left").join(near, "ask", "left")
-    return both.select("ask", "day", "lat", "lon", "days", "marks").mapInPandas(run, kinds)
+                rows.append((one, since, (day - since).days + 1 if since else 0, at_least, len(year), here))
+            types = [pa.int64(), pa.date32(), pa.int32(), pa.bool_(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows) if rows else [[]] * 6, types)], names=[k.split()[0] for k in kinds.split(", ")])
+
+    both = spots.select("one", "day", "lat", "lon").join(days, "one", "left").join(near, "one", "left")
+    told = both.select("one", "day", "lat", "lon", "days", "marks").mapInArrow(run, kinds)
+    of = spots.select("one", *[F.col(c).alias(f"own_{c}") for c in spot]).join(told, "one")
+    same = [F.col(c).eqNullSafe(F.col(f"own_{c}")) for c in spot]
+    return asks.join(of, same).select("ask", *[k.split()[0] for k in kinds.split(", ")[1:]])
 
 
 def snapshot_and_previous(probes: DataFrame, snapshots: DataFrame, key: str, at: str, snap_at: str, snap: str, days: int, slack: Column | None = None) -> DataFrame:
