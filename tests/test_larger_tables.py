@@ -133,3 +133,29 @@ def test_merges_hold_what_they_have_changed_only(spark):
     last = lambda x: last(want[x]) if x in want else x
     got = {r["gone"]: r["kept"] for r in cluster.greedy_merges(pairs, sizes, 0.4, most=n).collect()}
     assert got == {g: last(g) for g in want} and len(got) > 100
+
+
+def test_groups_that_share_one_entity_make_no_pairs(spark):
+    """Small groups: pairs of entities; large groups: pairs of groups. Both say the same as all pairs do."""
+    rng = np.random.default_rng(9)
+    small = {(int(g), int(e)) for g, e in zip(rng.integers(0, 300, 900), rng.integers(0, 40, 900))}
+    large = {(int(g), int(e)) for g, e in zip(rng.integers(0, 12, 400), rng.integers(0, 300, 400))}
+    for rows in (small, large):
+        of = {}
+        for g, e in rows:
+            of.setdefault(e, set()).add(g)
+        fits = {e for e, gs in of.items() if 2 <= len(gs) <= 40}
+        own = {g: sorted(e for x, e in rows if x == g and e in fits) for g in {g for g, _ in rows}}
+        want = {(a, b): sorted(set(own[a]) & set(own[b])) for a in own for b in own if a < b}
+        for least in (1, 2, 3):
+            got = joins.co_occurring(spark.createDataFrame(list(rows), "g long, e long"), "g", "e", 2, 40, least, evidence=5).collect()
+            assert {(r["a"], r["b"]): (r["shared"], r["evidence"]) for r in got} == {k: (len(v), v[:5]) for k, v in want.items() if len(v) >= least}
+
+
+def test_reports_of_a_track_without_a_silence_hold_live_events_only(spark):
+    """40,000 reports a minute apart, each far from those of the last hours: every report met all events of its track."""
+    rows = spark.range(40_000).select(F.lit(1).cast("long").alias("track"), "id", F.timestamp_seconds(F.col("id") * 60).alias("at"), ((F.col("id") * 7) % 120 - 60).cast("double").alias("lat"), ((F.col("id") * 11) % 300 - 150).cast("double").alias("lon"))
+    begin = time.monotonic()
+    got = tracks.grouped_reports(rows, 1, 6.0)
+    assert got.agg(F.count("*"), F.count_if(F.col("event") == F.col("id"))).first() == (40_000, 40_000)
+    assert time.monotonic() - begin < 60

@@ -2,31 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidings.operators.joins import both_ways
-
-
-def shared_folder(spark) -> str:
-    """The folder that all executors see: spark.checkpoint.dir. Only a local session may leave it unset; it gets a temporary one."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="tidings-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def saved(df: DataFrame) -> DataFrame:
-    """df through a table in the shared folder: cuts the lineage of a loop and survives lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from tidings.tables import saved, shared_folder  # noqa: F401
 
 
 def components(nodes: DataFrame, edges: DataFrame, rounds: int = 50) -> DataFrame:
