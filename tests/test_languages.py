@@ -17,3 +17,14 @@ def test_languages_of_odd_texts(spark):
     got = {r["id"]: r["language"] for r in languages.detected(spark.createDataFrame(texts, "id long, text string"), "id", known).collect()}
     assert {k: got[k] for k in (1, 2, 3, 4, 5, 6, 8)} == {1: None, 2: None, 3: None, 4: None, 5: "en", 6: "ru", 8: "en"} and got[7] in ("en", "ru")
     assert languages.detected(spark.createDataFrame([], "id long, text string"), "id", known).count() == 0
+
+
+def test_texts_are_not_shuffled_to_be_told(spark, capsys):
+    """Grams were rows of a join before: each met the profiles after a shuffle of all of them, or as a copy for each language."""
+    known = languages.profiles(spark.createDataFrame([("en", "the cat and the dog sat"), ("ru", "это просто текст")], "lang string, text string"))
+    texts = spark.createDataFrame([(1, "the cat 𐐨𐐩 sat on it"), (2, "the"), (3, "это текст " * 300_000)], "id long, text string")
+    out = languages.detected(texts, "id", known)
+    assert {r["id"]: r["language"] for r in out.collect()} == {1: "en", 2: None, 3: "ru"}
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "MapInArrow" in plan and "Exchange" not in plan and "Generate" not in plan
