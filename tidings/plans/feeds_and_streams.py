@@ -136,7 +136,7 @@ def st5(spark, d):
     folder = f"{shared_folder(spark)}/st5-{uuid.uuid4().hex}"
     for k in range(4):
         a, z = (low + (high - low) * x / 4 for x in (k, k + 1))
-        e.filter((F.col("ts") >= a) & ((F.col("ts") < z) | F.lit(k == 3))).coalesce(1).write.mode("append").parquet(f"{folder}/events.parquet")
+        e.filter((F.col("ts") >= a) & ((F.col("ts") < z) | F.lit(k == 3))).repartition(1).write.mode("append").parquet(f"{folder}/events.parquet")  # read by all tasks, written by one
     out = flows.drained(flows.latest_state(flows.file_stream(spark, folder, "events", 1), "user_id", "ts", ["high"], "3 days"))
     return out.select("user_id", "at_us", "high")
 

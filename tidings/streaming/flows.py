@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,15 +76,16 @@ def latest_state(stream: DataFrame, key: str, at: str, fields: list[str], keep:
             held.remove()
             return
         now = dict(zip([x.name for x in state], held.get)) if held.exists else {}
-        for f in frames:
+        for f in frames:  # plain arrays: a key has few rows, and frames of frames would cost more than they
+            us = f[at].to_numpy().astype("datetime64[us]").astype("int64")
             for name in fields:
-                known = f[f[name].notna()]
+                x = f[name].to_numpy()
+                known = np.flatnonzero(~np.isnan(x))
                 if len(known):
-                    r = known.loc[known[at].idxmax()]
-                    us = r[at].value // 1000
-                    if us >= (now.get(f"{name}_us") or -1):
-                        now[name], now[f"{name}_us"] = float(r[name]), us
-            now["last_us"] = max(now.get("last_us") or 0, f[at].max().value // 1000)
+                    r = known[us[known].argmax()]
+                    if us[r] >= (now.get(f"{name}_us") or -1):
+                        now[name], now[f"{name}_us"] = float(x[r]), int(us[r])
+            now["last_us"] = max(now.get("last_us") or 0, int(us.max()))
         held.update(tuple(now.get(x.name) for x in state))
         held.setTimeoutTimestamp(int(now["last_us"] // 1000 + hold.value // 1_000_000))
         yield pd.DataFrame([[k[0], now["last_us"], *[now.get(f) for f in fields]]], columns=[key, "at_us", *fields])
