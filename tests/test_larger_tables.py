@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tidings.functions.geo import haversine_km
 from tidings.functions.scoring import channel_score
+from tidings.functions.text import folded, trigrams
 from tidings.llm import near_texts
-from tidings.operators import cluster, histories, joins, names, similarity, tracks
+from tidings.operators import cluster, histories, indexes, joins, names, similarity, tracks
 
 
 def test_neighbours_are_found_across_several_blocks(spark):
@@ -159,3 +160,30 @@ def test_reports_of_a_track_without_a_silence_hold_live_events_only(spark):
     got = tracks.grouped_reports(rows, 1, 6.0)
     assert got.agg(F.count("*"), F.count_if(F.col("event") == F.col("id"))).first() == (40_000, 40_000)
     assert time.monotonic() - begin < 60
+
+
+def test_lists_of_trigrams_are_those_of_each_text_in_any_blocks(spark, monkeypatch):
+    """Blocks of one text, of several and of all; letters of two and four bytes; more letters than a table of their trigrams has room for."""
+    some = ["", None, " x ", "a", "Été, étés; été!", "ab_c 12 \U00010400\U0001d400z", "".join(chr(c) for c in range(0x4E00, 0x5400)), "\u0391\u0398 " * 50, "the the", "-- .", "nai\u0308ve"]
+    texts = spark.createDataFrame([(i, x) for i, x in enumerate(some)], "id long, text string").coalesce(1)
+    words = {r["id"]: [w for w in (r["t"] or "").split(" ") if w] for r in texts.select("id", F.regexp_replace(folded(F.col("text")), r"[^\p{L}\p{N}_]+", " ").alias("t")).collect()}
+    want = sorted((i, g) for i, ws in words.items() for g in {g for w in ws for g in trigrams(w)})
+    for block in (1, 30, 1_000_000):
+        monkeypatch.setattr(indexes, "BLOCK", block)
+        assert sorted((r["id"], r["trigram"]) for r in spark.read.parquet(indexes.trigram_index(texts, "id")).collect()) == want
+
+
+def test_searches_read_texts_once_and_fold_candidates_only(spark, capsys):
+    """Spark took the look at the folded text below the join with the candidates, and each search read all texts."""
+    rows = [(i, f"word{i} tion ing er") for i in range(50)]
+    texts = spark.createDataFrame(rows, "id long, text string")
+    path = indexes.trigram_index(texts, "id")
+    indexes.spelled(texts, path, "id", ["word7"], fuzzy=False).explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0].splitlines()
+    assert not any("translate" in x for x in plan[next(k for k, x in enumerate(plan) if "Join" in x) + 1 :])
+    asked = [["word7"], ["tion", "word1"], ["er"], ["nowhere"], ["a"], ["w", "word49"]]
+    for fuzzy in (False, True):
+        got = indexes.spelled_all(texts, path, "id", asked, fuzzy=fuzzy)
+        one = [(k, r["id"]) for k, words in enumerate(asked) for r in indexes.spelled(texts, path, "id", words, fuzzy=fuzzy).collect()]
+        assert sorted((r["search"], r["id"]) for r in got.collect()) == sorted(one) and (0, 7) in one and (5, 49) in one
+        assert fuzzy or sorted(one) == sorted((k, i) for k, words in enumerate(asked) for i, x in rows if all(w in x for w in words))

@@ -2,29 +2,67 @@
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidings.functions.text import folded, trigrams
 from tidings.operators.graph import shared_folder
-from tidings.operators.search import by_close_spelling, by_words
+from tidings.operators.search import close_spelling
 from tidings.operators.similarity import best_of
+from tidings.tables import saved
 
-BUCKETS = 64
+#: Folders of lists; bytes of text that are listed together.
+BUCKETS, BLOCK = 64, 1_000_000
 #: Similarity that a word spelled differently must reach, beside other words and alone; the distance in meaning that still counts.
 NEAR, NEAR_ALONE, MEANING = 0.4, 0.55, 0.42
 
 
-def text_trigrams(text: Column) -> Column:
-    """The distinct trigrams of a folded text's words, two spaces before and one behind each word."""
-    words = F.array_distinct(F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
-    of = lambda w: F.transform(F.sequence(F.lit(1), F.length(w) + 1), lambda i: F.substring(F.concat(F.lit("  "), w, F.lit(" ")), i, F.lit(3)))
-    return F.array_distinct(F.flatten(F.transform(words, of)))
+def spaced(text: Column) -> Column:
+    """A folded text's words, a space before and behind each."""
+    return F.concat(F.lit(" "), F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
+
+
+def numbered(values: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of values from 0 to end, in order, and each value's place among them: by marks where these take no more room than a sort."""
+    if end > max(1 << 20, 4 * len(values)):
+        return np.unique(values, return_inverse=True)
+    marks = np.zeros(end, bool)
+    marks[values] = True
+    return np.flatnonzero(marks), (np.cumsum(marks, dtype=np.int32) - 1)[values]
+
+
+def lists_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The trigrams of spaced texts (two spaces before and one behind each word), how many texts have each, and these texts' places, list by list."""
+    size = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
+    raw = np.frombuffer(texts.buffers()[2], np.uint8, size[-1] - size[0], size[0])
+    point = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    starts = size - size[0] if len(point) == len(raw) else np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[size - size[0]]
+    seen = np.zeros(0x110000, bool)
+    seen[point] = True
+    seen[32] = False
+    chars = np.concatenate([[32], np.flatnonzero(seen)]).astype(np.uint32)  # the space is letter 0
+    n = len(chars)
+    rank = np.zeros(0x110000, np.int32 if n**3 < 1 << 31 else np.int64)
+    rank[chars] = np.arange(n)
+    r = rank[point]
+    two = r[:-2] * (r[1:-1] > 0)  # before a word's first letter stand two spaces
+    word = (r[2:] > 0) | (r[1:-1] > 0)  # a text begins and ends with a space: no trigram begins earlier
+    first = r[1:2] if len(r) > 1 else r[:0]
+    code = np.concatenate([first[first > 0], ((two * n + r[1:-1]) * n + r[2:])[word]])
+    place = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(starts))
+    codes, at = numbered(code, n**3)
+    pairs = at.astype(np.int64) * len(texts) + np.concatenate([place[1:2][first > 0], place[2:][word]])
+    pairs = np.unique(pairs) if len(codes) * len(texts) > max(1 << 20, 16 * len(pairs)) else np.flatnonzero(np.bincount(pairs, minlength=1))
+    names = np.ascontiguousarray(chars[np.stack([codes // n**2, codes // n % n, codes % n], axis=1)]).view("<U3").reshape(-1).tolist() if len(codes) else []
+    return names, np.bincount(pairs // len(texts), minlength=len(codes)), pairs % len(texts)
 
 
 def bucket_of(trigram: Column) -> Column:
@@ -34,10 +72,27 @@ def bucket_of(trigram: Column) -> Column:
 def trigram_index(items: DataFrame, key: str, text: str = "text", path: str | None = None) -> str:
     """Writes posting lists (trigram, key) of items' folded texts, in folders by hash of the trigram and sorted by it; the path.
 
-    A list is as many rows as texts have the trigram, so a frequent one is no row of any size."""
+    A list is as many rows as texts have the trigram, so a frequent one is no row of any size. Texts meet in blocks of BLOCK bytes or one text;
+    a block's list of a trigram travels and is sorted as one row, so there are far fewer of these than postings."""
     path = path or f"{shared_folder(items.sparkSession)}/trigrams-{uuid.uuid4().hex}"
-    each = items.select(key, F.explode(text_trigrams(folded(F.col(text)))).alias("trigram")).withColumn("bucket", bucket_of(F.col("trigram")))
-    each.hint("rebalance", "bucket").sortWithinPartitions("bucket", "trigram").write.partitionBy("bucket").parquet(path)
+    most, kind = BLOCK, T.StructType([T.StructField("trigram", T.StringType()), T.StructField("keys", T.ArrayType(items.schema[key].dataType))])
+
+    def listed(batches):
+        for b in batches:
+            keys, texts = b.column(0), b.column(1).cast(pa.string())
+            ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            i = 0
+            while i < len(texts):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+                names, sizes, places = lists_of(texts.slice(i, j - i))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), keys.slice(i, j - i).take(pa.array(places)))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), lists], names=["trigram", "keys"])
+                i = j
+
+    lists = items.select(key, spaced(folded(F.col(text)))).mapInArrow(listed, kind).withColumn("bucket", bucket_of(F.col("trigram")))
+    lists = lists.hint("rebalance", "bucket").sortWithinPartitions("bucket", "trigram", F.col("keys")[0])
+    # once more by what a writer of folders asks for: rows that stand in order already are compared once each
+    lists.select(F.explode("keys").alias(key), "trigram", "bucket").sortWithinPartitions("bucket", "trigram").write.partitionBy("bucket").parquet(path)
     return path
 
 
@@ -60,32 +115,69 @@ def postings(spark: SparkSession, path: str, wanted: list[tuple[int, str, bool]]
     return lists.join(F.broadcast(query), "trigram")
 
 
-def candidates(spark: SparkSession, path: str, key: str, words: list[str], fuzzy: bool) -> DataFrame | None:
-    """Keys of the texts that can match: for each word, all trigrams inside it (as written), or enough of its own for the similarity.
-
-    A similarity is what is shared over at least the word's own trigrams. None: no word has trigrams, so any text can match."""
-    wanted = needs(words)
-    if not wanted:
-        return None
-    near = NEAR if len(words) > 1 else NEAR_ALONE
-    named = sorted({n for n, _, _ in wanted})
-    inside = {n: len({g for m, g, i in wanted if m == n and i}) for n in named}
-    own = {n: len(set(trigrams(words[n]))) for n in named}
-    shared = postings(spark, path, wanted).groupBy(key, "word").agg(F.count_if("inside").alias("inner"), F.count("*").alias("n"))
-    enough = F.lit(False)
-    for n in named:
-        fits = F.col("inner") == inside[n]
-        if fuzzy and len(words[n]) >= 4:
-            fits = fits | (F.col("n") >= math.ceil(near * own[n] - 1e-9))
-        enough = enough | ((F.col("word") == n) & fits)
-    return shared.filter(enough).groupBy(key).agg(F.count("*").alias("hits")).filter(F.col("hits") == len(named)).select(key)
+def candidates(spark: SparkSession, path: str, key: str, searches: list[list[str]], fuzzy: bool) -> tuple[DataFrame | None, list[int]]:
+    """key, can: the searches (by number) that a text can match: for each word, all trigrams inside it (as written), or enough of its own for the
+    similarity. And the searches of which no word has trigrams, so that any text can match.
+
+    A similarity is what is shared over at least the word's own trigrams. All searches read the lists once."""
+    words = sorted({w for s in searches for w in s if len(w) >= 3})
+    free = [k for k, s in enumerate(searches) if not set(s) & set(words)]
+    if not words:
+        return None, free
+    wanted, number = needs(words), {w: n for n, w in enumerate(words)}
+    counts = [F.count_if((F.col("word") == n) & F.col("inside")).alias(f"inner{n}") for n in range(len(words))] + [F.count_if(F.col("word") == n).alias(f"n{n}") for n in range(len(words))]
+
+    def fits(w, near):
+        n, own = number[w], len(set(trigrams(w)))
+        written = F.col(f"inner{n}") == len({g for m, g, i in wanted if m == n and i})
+        return written | (F.col(f"n{n}") >= math.ceil(near * own - 1e-9)) if fuzzy and len(w) >= 4 else written
+
+    shared = postings(spark, path, wanted).groupBy(key).agg(*counts)
+    can = [F.when(all_of([fits(w, NEAR if len(s) > 1 else NEAR_ALONE) for w in set(s) & set(words)]), F.lit(k)) for k, s in enumerate(searches) if k not in free]
+    return shared.select(key, F.array_compact(F.array(*can)).alias("can")).filter(F.size("can") > 0), free
+
+
+def all_of(tests: list[Column]) -> Column:
+    return functools.reduce(lambda a, b: a & b, tests, F.lit(True))
+
+
+def any_of(tests: list[Column]) -> Column:
+    return functools.reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def spelled_all(items: DataFrame, path: str, key: str, searches: list[list[str]], text: str = "text", fuzzy: bool = True, number: str = "search") -> DataFrame:
+    """What search.by_close_spelling (or by_words) finds for each search, with the index: items' columns, the search's number, and if fuzzy closeness.
+
+    The texts are read once for all searches. Only candidates are folded and looked at: this stands in columns above the join and
+    in what is exploded, not in a filter, which Spark would take below the join."""
+    some, free = candidates(items.sparkSession, path, key, searches, fuzzy)
+    always = F.array(*map(F.lit, free)).cast("array<int>")
+    if some is None:
+        t = items.withColumn("_can", always)
+    elif free:
+        t = items.join(some.withColumnRenamed("can", "_can"), key, "left").withColumn("_can", F.concat(F.coalesce("_can", F.array().cast("array<int>")), always))
+    else:
+        t = items.join(some.withColumnRenamed("can", "_can"), key)
+    words = sorted({w for s in searches for w in s})
+    has, like = {w: F.col(f"_has{n}") for n, w in enumerate(words)}, {w: F.col(f"_like{n}") for n, w in enumerate(words)}
+    t = t.withColumn("_folded", folded(F.col(text)))
+    t = t.withColumns({f"_has{n}": F.contains("_folded", F.lit(w)) for n, w in enumerate(words)})
+    can = [F.array_contains("_can", k) & (any_of([has[w] for w in s]) if fuzzy and len(s) > 1 else F.lit(True)) for k, s in enumerate(searches)]
+    if fuzzy:
+        looked = {w: F.when(any_of([can[k] for k, s in enumerate(searches) if w in s]), F.col("_folded")) for w in words}
+        t = t.withColumns({f"_like{n}": close_spelling(w, looked[w]) if len(w) >= 4 else F.when(has[w], 1.0).otherwise(0.0) for n, w in enumerate(words)})
+    found = []
+    for k, s in enumerate(searches):
+        near = all_of([has[w] | (like[w] >= (NEAR if len(s) > 1 else NEAR_ALONE)) if fuzzy else has[w] for w in s])
+        one = F.struct(F.lit(k).alias(number), (sum((like[w] for w in dict.fromkeys(s)), F.lit(0.0)) if fuzzy else F.lit(0.0)).alias("closeness"))
+        found.append(F.when(can[k] & near, one))
+    t = t.select(*items.columns, F.explode(F.array_compact(F.array(*found))).alias("_found"))
+    return t.select(*items.columns, f"_found.{number}", *["_found.closeness"] * fuzzy)
 
 
 def spelled(items: DataFrame, path: str, key: str, words: list[str], text: str = "text", fuzzy: bool = True) -> DataFrame:
     """What search.by_close_spelling (or by_words) finds, with the index: only texts of candidates are looked at."""
-    some = candidates(items.sparkSession, path, key, words, fuzzy)
-    some = items if some is None else items.join(some, key, "left_semi")
-    return by_close_spelling(some, words, text) if fuzzy else by_words(some, words, text)
+    return spelled_all(items, path, key, [words], text, fuzzy, "_search").drop("_search")
 
 
 class Cells:
@@ -176,19 +268,29 @@ class Cells:
         return found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other"))).filter(F.col("rank") <= k)
 
 
+def searched_all(items: DataFrame, key: str, trigram_path: str, cells: Cells, searches: list[list[str]], vectors: list[list[float]], limit: int = 25, meaning: int = 8, few: int = 3) -> DataFrame:
+    """search (its number), key, tier, closeness of searches, each with its vector (TR12): texts with all words (tier 0); with fewer than ``few`` of these, close
+    spellings as well (tier 1), up to ``limit`` together; and what is nearest in meaning, within the distance MEANING and not among them (tier 2), up to ``meaning``.
+
+    items: key (a long, as in the cells' id), text. Order within a tier: closeness, then key. Texts and lists are read once for the words
+    and once for close spellings; what is found, at most ``limit`` rows a search, is kept in tables."""
+    spark, order = items.sparkSession, (F.desc("closeness"), key)
+    first = lambda t, n, *by: t.withColumn("_rank", F.row_number().over(Window.partitionBy("search").orderBy(*by))).filter(F.col("_rank") <= n).drop("_rank")
+    exact = spelled_all(items, trigram_path, key, searches, fuzzy=False).select("search", key, F.lit(0).alias("tier"), F.lit(0.0).alias("closeness"))
+    found = saved(first(exact, limit, key))
+    hits = {r["search"]: r["count"] for r in found.groupBy("search").count().collect()}
+    little = [k for k in range(len(searches)) if hits.get(k, 0) < few]
+    if little:
+        of = F.element_at(F.array(*map(F.lit, little)), F.col("search") + 1)
+        more = spelled_all(items, trigram_path, key, [searches[k] for k in little]).select(of.alias("search"), key, F.lit(1).alias("tier"), F.round("closeness", 6).alias("closeness"))
+        found = saved(first(found.unionByName(more.join(found.select("search", key), ["search", key], "left_anti")), limit, "tier", *order))
+    asks = spark.createDataFrame([(-1 - k, [float(x) for x in v]) for k, v in enumerate(vectors)], "id long, v array<double>")
+    near = cells.nearest(asks, meaning + limit, cells.probes_for(0.95)).filter(1 - F.col("sim") <= MEANING)
+    near = near.select((-1 - F.col("id")).cast("int").alias("search"), F.col("other").alias(key), F.lit(2).alias("tier"), F.round("sim", 6).alias("closeness"))
+    near = first(near.join(found.select("search", key), ["search", key], "left_anti"), meaning, *order)
+    return found.unionByName(near).orderBy("search", "tier", *order)
+
+
 def searched(items: DataFrame, key: str, trigram_path: str, cells: Cells, words: list[str], vector: list[float], limit: int = 25, meaning: int = 8, few: int = 3) -> DataFrame:
-    """key, tier, closeness of one search (TR12): texts with all words (tier 0); with fewer than ``few`` of these, close spellings as well (tier 1), up to
-    ``limit`` together; and what is nearest in meaning, within the distance MEANING and not among them (tier 2), up to ``meaning``.
-
-    items: key (a long, as in the cells' id), text. Order within a tier: closeness, then key."""
-    spark = items.sparkSession
-    exact = spelled(items, trigram_path, key, words, fuzzy=False).select(key, F.lit(0).alias("tier"), F.lit(0.0).alias("closeness")).orderBy(key).limit(limit)
-    enough = len(exact.take(few)) >= few
-    found = exact
-    if not enough:
-        more = spelled(items, trigram_path, key, words).join(exact.select(key), key, "left_anti")
-        found = exact.unionByName(more.select(key, F.lit(1).alias("tier"), F.round("closeness", 6).alias("closeness"))).orderBy("tier", F.desc("closeness"), key).limit(limit)
-    ask = spark.createDataFrame([(-1, [float(x) for x in vector])], "id long, v array<double>")
-    near = cells.nearest(ask, meaning + limit, cells.probes_for(0.95)).filter(1 - F.col("sim") <= MEANING).select(F.col("other").alias(key), F.lit(2).alias("tier"), F.round("sim", 6).alias("closeness"))
-    near = near.join(found.select(key), key, "left_anti").orderBy(F.desc("closeness"), key).limit(meaning)
-    return found.unionByName(near)
+    """key, tier, closeness of one search, as of searched_all."""
+    return searched_all(items, key, trigram_path, cells, [words], [vector], limit, meaning, few).drop("search")

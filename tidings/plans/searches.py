@@ -24,11 +24,7 @@ def trigram_index(spark, d):
     """All texts with all words of a search, found by posting lists."""
     items = Tables(spark, d).documents.select("doc_id", "text")
     path = indexes.trigram_index(items, "doc_id")
-    out = None
-    for n, words in enumerate(ASKED):
-        one = indexes.spelled(items, path, "doc_id", words, fuzzy=False).select(F.lit(n).alias("search"), "doc_id")
-        out = one if out is None else out.union(one)
-    return out
+    return indexes.spelled_all(items, path, "doc_id", ASKED, fuzzy=False).select("search", "doc_id")
 
 
 @query("jn8b_recall_of_cells", "select count(*) as queries, true as recall_reached from embeddings where vec_id % 100 = 0")
@@ -51,8 +47,5 @@ def search(spark, d):
     v = vectors(spark, d)
     path, cells = indexes.trigram_index(items, "doc_id"), indexes.Cells(v, cells=24)
     vector = v.filter("id = 0").first()["v"]
-    out = None
-    for n, words in enumerate([*ASKED, *MISSPELLED]):
-        one = indexes.searched(items, "doc_id", path, cells, words, vector).withColumn("search", F.lit(n))
-        out = one if out is None else out.union(one)
-    return out.select("search", "doc_id", "tier", "closeness")
+    searches = [*ASKED, *MISSPELLED]
+    return indexes.searched_all(items, "doc_id", path, cells, searches, [vector] * len(searches)).select("search", "doc_id", "tier", "closeness")
