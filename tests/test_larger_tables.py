@@ -5,11 +5,12 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
+from tidings.functions import text
 from tidings.functions.geo import haversine_km
 from tidings.functions.scoring import channel_score
 from tidings.functions.text import folded, trigrams
 from tidings.llm import near_texts
-from tidings.operators import cluster, histories, indexes, joins, names, similarity, tracks
+from tidings.operators import cluster, histories, indexes, joins, names, search, similarity, tracks
 
 
 def test_neighbours_are_found_across_several_blocks(spark):
@@ -187,3 +188,37 @@ def test_searches_read_texts_once_and_fold_candidates_only(spark, capsys):
         one = [(k, r["id"]) for k, words in enumerate(asked) for r in indexes.spelled(texts, path, "id", words, fuzzy=fuzzy).collect()]
         assert sorted((r["search"], r["id"]) for r in got.collect()) == sorted(one) and (0, 7) in one and (5, 49) in one
         assert fuzzy or sorted(one) == sorted((k, i) for k, words in enumerate(asked) for i, x in rows if all(w in x for w in words))
+
+
+def test_close_spellings_by_arrays_are_those_of_each_text():
+    """Random texts of few letters, with runs that repeat: the same number as by following every run."""
+    rng = np.random.default_rng(4)
+    made = lambda letters, n: "".join(rng.choice(list(letters), n))
+    for _ in range(400):
+        word, some = made("abc", rng.integers(0, 9)), [made("abcé _-", n) for n in rng.choice([0, 1, 5, 30, 150], 4)] + [made("ab ", 4) * rng.integers(1, 40)]
+        for least in (0.4, 0.55):
+            want = [s if (s := text.word_similarity(word, t)) >= least else 0.0 for t in some]
+            assert text.word_similarities(word, some, least).tolist() == want
+
+
+def test_close_spellings_in_many_long_texts(spark):
+    """20,000 texts of 300 words, each of which shares trigrams with the word: every run of each text was followed."""
+    word = F.conv((F.pmod(F.xxhash64("id", F.col("i")), F.lit(2000)) * 9973).cast("string"), 10, 36)
+    texts = spark.range(20_000).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(300)))).groupBy("id").agg(F.concat_ws(" ", F.collect_list(F.concat(F.when(F.col("i") % 4 == 0, "eau").when(F.col("i") % 4 == 1, "ux").otherwise(""), F.lower(word)))).alias("text"))
+    texts = texts.localCheckpoint()
+    begin = time.monotonic()
+    assert texts.agg(F.count_if(search.close_spelling("eaueuxe", F.col("text")) >= 0.4)).first()[0] > 0
+    assert time.monotonic() - begin < 15
+
+
+def test_searches_together_find_what_each_finds_alone(spark):
+    texts = spark.createDataFrame([(i, f"enfants {i} perdus" if i % 3 else f"entants {i} rouge") for i in range(60)] + [(60, "un rouje"), (61, None)], "doc_id long, text string")
+    v = np.random.default_rng(2).standard_normal((60, 8))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    path, cells = indexes.trigram_index(texts, "doc_id"), indexes.Cells(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>"), cells=4)
+    asked = [["enfants"], ["rouje"], ["enfantz", "perdus"], ["zzzz"], ["un"]]
+    got = [tuple(r) for r in indexes.searched_all(texts, "doc_id", path, cells, asked, [v[k].tolist() for k in range(5)]).select("search", "doc_id", "tier", "closeness").collect()]
+    for k, words in enumerate(asked):
+        alone = indexes.searched(texts, "doc_id", path, cells, words, v[k].tolist()).select("doc_id", "tier", "closeness").collect()
+        assert [r[1:] for r in got if r[0] == k] == [tuple(r) for r in alone]
+    assert {r[2] for r in got if r[0] == 2} >= {1} and sum(r[0] == 0 and r[2] == 0 for r in got) == 25

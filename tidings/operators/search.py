@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidings.functions.text import folded, word_similarity_udf
+from tidings.functions.text import folded, word_similarity_from
 
 
 def by_words(items: DataFrame, words: list[str], text: str = "text") -> DataFrame:
@@ -20,13 +20,13 @@ def by_words(items: DataFrame, words: list[str], text: str = "text") -> DataFram
 
 
 def close_spelling(word: str, text: Column) -> Column:
-    """word_similarity of a word of 4 letters or more in a text; 0 where too few trigrams can be shared to reach 0.4.
+    """word_similarity of a word of 4 letters or more in a text; 0 where it is below 0.4, which a text that has the word as written reaches.
 
     Two trigrams must then be shared at least, so one besides the word's first letter: an inner one, the first two
     letters of a word or its last two. Only texts that have one go through Python."""
     inner = {word[i : i + 3] for i in range(len(word) - 2)}
     some = "|".join([*map(re.escape, sorted(inner)), r"(?<![\p{L}\p{N}_])" + re.escape(word[:2]), re.escape(word[-2:]) + r"(?![\p{L}\p{N}_])"])
-    return F.coalesce(word_similarity_udf(F.lit(word), F.when(text.rlike(some), text)), F.lit(0.0))
+    return F.coalesce(word_similarity_from(F.lit(word), F.when(text.rlike(some), text), F.lit(0.4)), F.lit(0.0))
 
 
 def by_close_spelling(items: DataFrame, words: list[str], text: str = "text") -> DataFrame:
