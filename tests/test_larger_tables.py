@@ -1,8 +1,10 @@
 """What only larger tables show: several blocks, ties of rounding, many places in a cell, long lists of names."""
 
+import itertools
 import time
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidings.functions import text
@@ -11,6 +13,7 @@ from tidings.functions.scoring import channel_score
 from tidings.functions.text import folded, trigrams
 from tidings.llm import near_texts
 from tidings.operators import cluster, histories, indexes, joins, names, search, similarity, tracks
+from tidings.plans import all_queries
 
 
 def test_neighbours_are_found_across_several_blocks(spark):
@@ -222,3 +225,68 @@ def test_searches_together_find_what_each_finds_alone(spark):
         alone = indexes.searched(texts, "doc_id", path, cells, words, v[k].tolist()).select("doc_id", "tier", "closeness").collect()
         assert [r[1:] for r in got if r[0] == k] == [tuple(r) for r in alone]
     assert {r[2] for r in got if r[0] == 2} >= {1} and sum(r[0] == 0 and r[2] == 0 for r in got) == 25
+
+
+@pytest.fixture(scope="module")
+def alike(spark, tmp_path_factory):
+    """A folder of 4,000 vectors that are all alike, 8 million pairs of about 0.5, and events of none of them; the similarities."""
+    rng = np.random.default_rng(11)
+    m = rng.standard_normal((4000, 64))
+    m[:, 0] = np.sqrt((m[:, 1:] ** 2).sum(axis=1))
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    folder = str(tmp_path_factory.mktemp("alike"))
+    spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "vec_id long, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+    spark.createDataFrame([(-1,)], "user_id long").write.parquet(f"{folder}/events.parquet")
+    sim = np.zeros((4000, 4000))
+    for k in range(64):  # as SQL adds up
+        sim += np.outer(m[:, k].astype(float), m[:, k].astype(float))
+    return folder, sim
+
+
+def merged_of(sim):
+    """gone -> kept of the registered rule, all stories of size 1."""
+    n, gone, into, by_sim = np.ones(len(sim), int), set(), {}, 0
+    a, b = np.triu_indices(len(sim), 1)
+    s = np.round(sim[a, b], 6)
+    order = np.lexsort((b, a, s))[::-1]
+    pairs = [(None, a, a + 5) for a in range(0, len(sim) - 5, 50)]
+    for s, a, b in itertools.chain(pairs, zip(s[order].tolist(), a[order].tolist(), b[order].tolist())):
+        if (a + b) % 7 == 0 or a in gone or b in gone or (s is not None and s < cluster.merge_needs_of(0.35, min(n[a], n[b]))):
+            continue
+        keep, drop = (a, b) if n[a] >= n[b] else (b, a)
+        n[keep] += n[drop]
+        gone.add(drop)
+        into[drop] = keep
+        by_sim += s is not None
+        if by_sim == 500:
+            break
+    last = lambda x: last(into[x]) if x in into else x
+    return {g: last(g) for g in into}
+
+
+def test_absorbed_pairs_of_vectors_that_are_all_alike(spark, alike):
+    """8 million pairs went one after the other through the pass of merges, were made three times and shuffled twice."""
+    folder, sim = alike
+    begin = time.monotonic()
+    got = all_queries()["cl4_absorbed"](spark, folder).agg(F.count("*"), F.sum("a"), F.sum("b"), F.sum(F.col("a") * F.col("b"))).first()
+    assert time.monotonic() - begin < 80
+    story = np.arange(len(sim))
+    for gone, kept in merged_of(sim).items():
+        story[gone] = kept
+    a, b = np.nonzero(np.triu(sim >= 0.35, 1))
+    x, y = np.minimum(story[a], story[b]), np.maximum(story[a], story[b])
+    code = np.unique((x * len(sim) + y)[x != y])
+    a, b = np.divmod(code, len(sim))
+    assert tuple(got) == (len(a), a.sum(), b.sum(), (a * b).sum())
+
+
+def test_rows_of_one_story_meet_others_once(spark):
+    """1,500 rows end in one story, more than a tile has; some in stories of two; a vector is missing."""
+    m = np.random.default_rng(12).standard_normal((3000, 8))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)] + [(3000, None)], "id long, v array<double>")
+    merges = spark.createDataFrame([(i, 2) for i in range(1500) if i != 2] + [(i, i + 1) for i in range(2000, 2400, 2)], "gone long, kept long")
+    want = cluster.rekeyed_pairs(similarity.similar_pairs(v, 0.8, 4).select("a", "b"), merges).collect()
+    got = cluster.absorbed_pairs(v, 0.8, merges).collect()
+    assert len(got) == len(set(got)) and set(got) == set(want) and len(got) > 5000
+    assert cluster.absorbed_pairs(v.filter("id < 0"), 0.8, merges).count() == 0

@@ -1,12 +1,14 @@
 """Similarity joins of unit vectors.
 
 similar_pairs is exact and runs as tiles: vectors are dealt into blocks, a task multiplies one pair of blocks, and
-only pairs at or above the threshold leave it. Blocks meet through an equi-join on the pair of block numbers, so no side is
+only pairs at or above the threshold leave it. Each pair of blocks is a partition, so no side is
 broadcast and memory holds two blocks. Exact all-pairs work is quadratic; similar_pairs_lsh trades recall for less.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -15,37 +17,97 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 
 
-def similar_pairs(vectors: DataFrame, least: float, blocks: int | None = None) -> DataFrame:
-    """a < b, sim: pairs of rows (id, v) with a dot product of at least ``least`` (JN7), rounded to 6 digits.
+#: Bytes of vectors in a block of rows (as doubles), rows of a block of few, and the shape of a tile.
+HELD, FEW, TILE = 32 << 20, 2048, (512, 1024)
+
+
+def meetings(vectors: DataFrame, told: Callable, schema: str, by: str = "id", blocks: int | None = None) -> DataFrame:
+    """What ``told`` makes of the pairs of rows (v, and whole numbers, ``by`` among them) that are alike.
+
+    Rows are dealt into blocks by a hash of ``by``; each pair of blocks is a partition of its own, so a vector travels once for each block, in the
+    type it comes in, and a task holds two blocks. told(rows, hits) gets the columns as arrays and yields columns of the schema. hits(floor,
+    asks) yields i, j, sim for one tile of rows after the other: the pairs that reach floor[0], which may rise meanwhile, and the lesser of
+    asks[i] and asks[j] (sim is not rounded). Rows of a block are in order of asks or ``by``; a pair of two rows comes once. Products are taken
+    in single precision; what they leave in doubt or find is multiplied again in double precision, one place after the other, as SQL does."""
+    kind = "array<float>" if vectors.schema["v"].dataType.simpleString() == "array<float>" else "array<double>"
+    whole = [c for c in vectors.columns if c != "v"]
+    own = vectors.filter("v is not null").select(*[F.col(c).cast("long").alias(c) for c in whole], F.col("v").cast(kind).alias("v"))
+    count, width = own.agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = blocks or max(1, -(-count // max(FEW, HELD // (8 * (width or 1)))), min(8, -(-count // FEW)))
+    spread = own.withColumn("k", F.pmod(F.xxhash64(by), F.lit(blocks))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    low, high = F.least("k", "other"), F.greatest("k", "other")
+    dealt = spread.repartitionById(blocks * (blocks + 1) // 2, (F.shiftright(high * (high + 1), 1) + low).cast("int"))
+    names, kinds = zip(*((c.split()[0], {"long": pa.int64(), "double": pa.float64()}[c.split()[1]]) for c in schema.split(", ")))
+
+    def run(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        rows = {c: table.column(c).to_numpy() for c in [*whole, "k", "other"]}
+        m = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column("v").chunks]).reshape(len(rows["k"]), -1)
+        ends = sorted((rows["k"][0], rows["other"][0]))
+        sides = [np.flatnonzero(rows["k"] == k) for k in ends]
+        out, waiting = [], 0
+        for columns in told(rows, lambda floor, asks=None: tiles(m, *sides, rows[by] if asks is None else asks, floor, asks, ends[0] == ends[1])):
+            out.append(columns)
+            waiting += len(columns[0])
+            if waiting >= 1 << 16:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), kinds)], names=list(names))
+                out, waiting = [], 0
+        if waiting:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out), kinds)], names=list(names))
+
+    return dealt.mapInArrow(run, schema)
+
+
+def tiles(m: np.ndarray, one: np.ndarray, two: np.ndarray, order: np.ndarray, floor: list, asks: np.ndarray | None, same: bool):
+    """i, j, sim of each tile's pairs, see meetings; same: both sides are one block, of which a pair is taken once."""
+    if not len(one) or not len(two):
+        return
+    one, two = (side[np.argsort(order[side], kind="stable")] for side in (one, two))
+    with np.errstate(all="ignore"):
+        long = [float(np.nan_to_num(np.sqrt(np.einsum("ij,ij->i", m[side], m[side], dtype=float)), nan=0.0, posinf=np.inf).max()) for side in (one, two)]
+        kind = np.float32 if (doubt := 1.2e-7 * (m.shape[1] + 4) * long[0] * long[1]) < 1e-3 else np.float64
+        doubt = doubt if kind is np.float32 else 2.3e-16 * (m.shape[1] + 4) * long[0] * long[1]
+        x, y = m[one].astype(kind, copy=False), np.ascontiguousarray(m[two].T.astype(kind, copy=False))
+        needs = [None if asks is None else asks[side] for side in (one, two)]
+        for a in range(0, len(one), TILE[0]):
+            for b in range(a if same else 0, len(two), TILE[1]):
+                least = floor[0] if asks is None else max(floor[0], min(needs[0][a : a + TILE[0]].min(), needs[1][b : b + TILE[1]].min()) - 1e-6)
+                near = x[a : a + TILE[0]] @ y[:, b : b + TILE[1]] >= kind(least - doubt - 1e-7)
+                flat = near.reshape(-1)
+                if flat.size % 8:
+                    at = np.flatnonzero(flat)
+                else:  # eight at once: few are alike
+                    at = (np.flatnonzero(flat.view(np.uint64))[:, None] * 8 + np.arange(8)).reshape(-1)
+                    at = at[flat[at]]
+                i, j = np.divmod(at, near.shape[1])
+                if same:
+                    later = j + b > i + a
+                    i, j = i[later], j[later]
+                i, j = one[i + a], two[j + b]
+                sim = np.concatenate([np.zeros(0)] + [np.cumsum(m[i[k : k + 4096]].astype(float) * m[j[k : k + 4096]], axis=1)[:, -1] for k in range(0, len(i), 4096)])
+                reach = sim >= (least if asks is None else np.maximum(floor[0], np.minimum(asks[i], asks[j]) - 1e-6))
+                if reach.any():
+                    yield i[reach], j[reach], sim[reach]
+
+
+def rounded(sim: np.ndarray) -> np.ndarray:
+    """To 6 digits, as SQL does: halves away from zero."""
+    return np.copysign(np.floor(np.abs(sim) * 1e6 + 0.5), sim) / 1e6
 
-    The number of blocks follows the number of vectors, so that a block keeps about 8 * BLOCK of them. A vector travels once for
-    each block, in the type it comes in."""
-    blocks = blocks or max(4, -(-vectors.count() // (8 * BLOCK)))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks))
-    own = vectors.select("id", "v", block.alias("k"))
-    spread = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    pair = spread.select(F.least("k", "other").alias("p"), F.greatest("k", "other").alias("q"), "k", "id", "v")
 
-    def run(frame):
-        import pandas as pd
+def similar_pairs(vectors: DataFrame, least: float, blocks: int | None = None) -> DataFrame:
+    """a < b, sim: pairs of rows (id, v) with a dot product of at least ``least`` (JN7), rounded to 6 digits."""
 
-        ids, k = frame["id"].to_numpy(), frame["k"].to_numpy()
-        m = np.array(frame["v"].tolist(), float)
-        out = []
-        p, q = int(frame["p"].iloc[0]), int(frame["q"].iloc[0])
-        one, two = np.flatnonzero(k == p), np.flatnonzero(k == q)
-        for a in range(0, len(one), BLOCK):
-            for b in range(0, len(two), BLOCK):
-                i, j = one[a : a + BLOCK], two[b : b + BLOCK]
-                sim = m[i] @ m[j].T
-                r, c = np.nonzero(sim >= least - 1e-12)
-                x, y = ids[i[r]], ids[j[c]]
-                keep = x < y if p == q else x != y
-                out.append(pd.DataFrame({"a": np.minimum(x, y)[keep], "b": np.maximum(x, y)[keep], "sim": sim[r, c][keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "sim": []}).astype({"a": "int64", "b": "int64"})
+    def told(rows, hits):
+        for i, j, sim in hits([least]):
+            x, y = rows["id"][i], rows["id"][j]
+            keep = x != y
+            yield np.minimum(x, y)[keep], np.maximum(x, y)[keep], rounded(sim[keep])
 
-    found = pair.groupBy("p", "q").applyInPandas(run, "a long, b long, sim double")
-    return found.select("a", "b", F.round("sim", 6).alias("sim"))
+    return meetings(vectors.select("id", "v"), told, "a long, b long, sim double", blocks=blocks)
 
 
 def similar_pairs_in_window(vectors: DataFrame, least: float, hours: int = 72) -> DataFrame:

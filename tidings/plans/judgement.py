@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidings.functions import text as tx
 from tidings.functions.vectors import cosine, mean_vectors, scaled
-from tidings.operators import cluster, places, review, similarity
+from tidings.operators import cluster, places, review
 from tidings.plans.registry import query
 from tidings.plans.relations import PAIRS, vectors
 from tidings.tables import Tables
@@ -33,22 +33,19 @@ MERGES = f"""{PAIRS.format(least=0.35)}, c0 as (select user_id as id, count(*) a
 
 def merges(spark, d):
     v = vectors(spark, d)
-    p = similarity.similar_pairs(v, 0.35)
     sizes = Tables(spark, d).events.groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
     confirmed = v.filter("id % 50 = 0").select(F.col("id").alias("a"), (F.col("id") + 5).alias("b")).join(v.select(F.col("id").alias("b")), "b", "left_semi")
-    splits = p.select("a", "b").unionByName(confirmed.select("a", "b")).filter("(a + b) % 7 = 0").select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return p, cluster.greedy_merges(p, sizes, 0.35, confirmed, splits)
+    return cluster.first_merges(v, sizes, 0.35, confirmed, lambda t: t.filter("(a + b) % 7 = 0").select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
 @query("cl3b_greedy_merges", f"with recursive {MERGES} select gone, kept from g")
 def cl3b(spark, d):
-    return merges(spark, d)[1]
+    return merges(spark, d)
 
 
 @query("cl4_absorbed", f"with recursive {MERGES}, x as (select least(coalesce(g1.kept, p.a), coalesce(g2.kept, p.b)) as a, greatest(coalesce(g1.kept, p.a), coalesce(g2.kept, p.b)) as b from p left join g g1 on p.a = g1.gone left join g g2 on p.b = g2.gone) select distinct a, b from x where a <> b")
 def cl4(spark, d):
-    p, merged = merges(spark, d)
-    return cluster.rekeyed_pairs(p.select("a", "b"), merged)
+    return cluster.absorbed_pairs(vectors(spark, d), 0.35, merges(spark, d))
 
 
 @query("cl5_detached", "select case when event_type = 'error' and value > 90 then -event_id else user_id end as story_id, count(*) as items from events group by 1")
