@@ -290,3 +290,28 @@ def test_rows_of_one_story_meet_others_once(spark):
     got = cluster.absorbed_pairs(v, 0.8, merges).collect()
     assert len(got) == len(set(got)) and set(got) == set(want) and len(got) > 5000
     assert cluster.absorbed_pairs(v.filter("id < 0"), 0.8, merges).count() == 0
+
+
+def test_merges_of_vectors_that_are_all_alike(spark, alike):
+    """500 merges rest on few of the 8 million pairs."""
+    folder, sim = alike
+    begin = time.monotonic()
+    got = {r["gone"]: r["kept"] for r in all_queries()["cl3b_greedy_merges"](spark, folder).collect()}
+    assert time.monotonic() - begin < 80
+    assert got == merged_of(sim) and len(got) > 500
+
+
+def test_first_merges_look_further_where_few_pairs_may_merge(spark, monkeypatch):
+    """All but one pair in 97 are split, so the most similar ones hold no merge: more of them are taken, at last all."""
+    rng = np.random.default_rng(13)
+    m = rng.standard_normal((300, 6))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "id long, v array<double>")
+    sizes = spark.createDataFrame([(i, int(n)) for i, n in enumerate(rng.integers(1, 60, 250))], "id long, n long")
+    confirmed = spark.createDataFrame([(3, 94), (50, 7)], "a long, b long")
+    apart = lambda t: t.filter("(a + b) % 97 <> 0")
+    pairs = similarity.similar_pairs(v, 0.35)
+    want = set(cluster.greedy_merges(pairs, sizes, 0.35, confirmed, apart(pairs.select("a", "b").union(confirmed)), most=6).collect())
+    assert len(want) == 7 and set(cluster.first_merges(v, sizes, 0.35, confirmed, apart, 6).collect()) == want
+    monkeypatch.setattr(cluster, "RANKED", 100)
+    assert set(cluster.first_merges(v, sizes, 0.35, confirmed, apart, 6).collect()) == want
