@@ -1,6 +1,7 @@
 """What only larger tables show: several blocks, ties of rounding, many places in a cell, long lists of names."""
 
 import itertools
+import re
 import time
 
 import numpy as np
@@ -315,3 +316,30 @@ def test_first_merges_look_further_where_few_pairs_may_merge(spark, monkeypatch)
     assert len(want) == 7 and set(cluster.first_merges(v, sizes, 0.35, confirmed, apart, 6).collect()) == want
     monkeypatch.setattr(cluster, "RANKED", 100)
     assert set(cluster.first_merges(v, sizes, 0.35, confirmed, apart, 6).collect()) == want
+
+
+def test_merge_candidates_travel_as_vectors(spark, tmp_path):
+    """Sizes meet vectors, not pairs: 4.5 million pairs were shuffled for each end's size."""
+    rng = np.random.default_rng(14)
+    m = rng.standard_normal((3000, 64))
+    m[:, 0] = np.sqrt(0.48 * (m[:, 1:] ** 2).sum(axis=1))  # similarities of about 0.32
+    m = (m / np.linalg.norm(m, axis=1, keepdims=True)).astype(np.float32)
+    n = rng.integers(0, 60, 3000)
+    spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(m)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i,) for i in np.repeat(np.arange(3000), n).tolist()], "user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where sizes are too many for a broadcast
+    try:
+        df = all_queries()["cl3_merge_candidates"](spark, str(tmp_path))
+        above = re.split("MapInArrow|FlatMapGroups", df._jdf.queryExecution().executedPlan().toString())[0]
+        assert "Exchange" not in above and "Join" not in above
+        got = df.agg(F.count("*"), F.sum("a"), F.sum("b"), F.sum("keep"), F.sum("sim")).first()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    n, sim = np.maximum(n, 1), np.zeros((3000, 3000))
+    for k in range(64):  # as SQL adds up
+        sim += np.outer(m[:, k].astype(float), m[:, k].astype(float))
+    a, b = np.nonzero(np.triu(sim >= 0.3, 1))
+    s, low = np.round(sim[a, b], 6), np.minimum(n[a], n[b])
+    keep = s >= np.array([cluster.merge_needs_of(0.3, k) for k in range(61)])[low]
+    a, b, s = a[keep], b[keep], s[keep]
+    assert tuple(got)[:4] == (len(a), a.sum(), b.sum(), np.where(n[a] >= n[b], a, b).sum()) and abs(got[4] - s.sum()) < 1e-3 and len(a) > 100_000

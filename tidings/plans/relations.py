@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidings.functions import geo
-from tidings.functions.scoring import join_needs, merge_needs
+from tidings.functions.scoring import join_needs
 from tidings.functions.vectors import merged_centroid, mean_vectors, norm
-from tidings.operators import graph, joins, similarity
+from tidings.operators import cluster, graph, joins, similarity
 from tidings.plans.registry import query
 from tidings.tables import Tables
 
@@ -194,10 +194,8 @@ def cl2(spark, d):
 @query("cl3_merge_candidates", f"""with {PAIRS.format(least=0.3)}, s as (select user_id as id, count(*) as n from events group by 1), q as (select p.*, coalesce(x.n, 1) as na, coalesce(y.n, 1) as nb from p left join s x on x.id = a left join s y on y.id = b)
  select a, b, sim, case when na >= nb then a else b end as keep from q where sim >= least(0.3e0 + 0.08e0, 0.3e0 + 0.015e0 * log2(greatest(least(na, nb), 1)))""")
 def cl3(spark, d):
-    p = similarity.similar_pairs(vectors(spark, d), 0.3)
-    n = Tables(spark, d).events.groupBy(F.col("user_id").alias("i")).agg(F.count("*").alias("n"))
-    q = p.join(n.select(F.col("i").alias("a"), F.col("n").alias("na")), "a", "left").join(n.select(F.col("i").alias("b"), F.col("n").alias("nb")), "b", "left").fillna(1, ["na", "nb"])
-    return q.filter(F.col("sim") >= merge_needs(0.3, F.least("na", "nb"))).select("a", "b", "sim", F.when(F.col("na") >= F.col("nb"), F.col("a")).otherwise(F.col("b")).alias("keep"))
+    sizes = Tables(spark, d).events.groupBy(F.col("user_id").alias("id")).agg(F.count("*").alias("n"))
+    return cluster.merge_candidates(vectors(spark, d), sizes, 0.3)
 
 
 @query("cl6_duplicate_candidates", f"with {PAIRS.format(least=0.3)} select a, b, sim from p where sim < 0.45e0 + 0.08e0 and (a * 31 + b) % 5 <> 0 order by sim desc, a, b limit 40")
